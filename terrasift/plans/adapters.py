@@ -120,8 +120,8 @@ cte("draws", f"""SELECT o_custkey%25 AS mission_id, {SCENARIO} AS scenario,
  CASE WHEN o_orderkey%10=0 THEN -5.5::DOUBLE ELSE 224.5::DOUBLE + o_custkey%64 END AS "row", 224.25::DOUBLE + o_orderkey%64 AS col FROM orders""")
 cte("draw_cells", """SELECT mission_id, scenario, CASE WHEN "row">=0 AND "row"<512 AND col>=0 AND col<512 THEN floor("row")::BIGINT ELSE -1 END AS "row",
  CASE WHEN "row">=0 AND "row"<512 AND col>=0 AND col<512 THEN floor(col)::BIGINT ELSE -1 END AS col FROM draws""")
-cte("mass", """SELECT mission_id, scenario, "row", col, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY mission_id, scenario) AS mass
- FROM draw_cells GROUP BY ALL""")
+cte("mass", """SELECT mission_id, scenario, "row", col, n::DOUBLE / sum(n) OVER (PARTITION BY mission_id, scenario) AS mass
+ FROM (SELECT mission_id, scenario, "row", col, count(*) AS n FROM draw_cells GROUP BY 1,2,3,4)""")
 
 
 def cell_terrain(cells: DataFrame) -> DataFrame:

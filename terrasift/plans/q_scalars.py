@@ -216,11 +216,11 @@ def p20(spark, sf):
         F.unix_seconds(timefn.parse_label_stamp(F.date_format(ts, "yyyy/MM/dd HH:mm:ss"))).alias("from_label"))
 
 
-@query("p21_korean_time", """SELECT event_id, 1704067200+event_id*61-32400 AS utc_s, 1704067200+event_id*61+32400 AS kst_s, round((event_id%40000)*61/3600.0::DOUBLE,2) AS hours FROM events""")
+@query("p21_korean_time", """SELECT event_id, 1704067200+event_id*61-32400 AS utc_s, 1704067200+event_id*61+32400 AS kst_s, round(((event_id%4000)*36+5)/3600.0::DOUBLE,2) AS hours FROM events""")
 def p21(spark, sf):
     e = F.col("event_id")
     ts = F.timestamp_seconds(F.lit(1704067200) + e * 61)
-    later = F.timestamp_seconds(F.lit(1704067200) + e * 61 + (e % 40000) * 61)
+    later = F.timestamp_seconds(F.lit(1704067200) + e * 61 + (e % 4000) * 36 + 5)
     return table(spark, sf, "events").select(
         "event_id", F.unix_seconds(timefn.kst_to_utc(ts)).alias("utc_s"), F.unix_seconds(timefn.utc_to_kst(ts)).alias("kst_s"), F.round(timefn.elapsed_hours(ts, later), 2).alias("hours"))
 

@@ -25,7 +25,7 @@ def with_ctes(body: str) -> str:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text)):
+        for word in dict.fromkeys(re.findall(r"(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z_0-9]*)", text)):
             if word in CTES and word not in order:
                 visit(CTES[word])
                 if word not in order:
