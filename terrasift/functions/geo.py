@@ -18,7 +18,9 @@ def _c(x) -> Column:
 
 
 def clip(x, lo, hi) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(float(lo))), F.lit(float(hi)))
+    """Bounded value; a missing value stays missing (``least`` and ``greatest`` would skip it)."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def floor_long(x) -> Column:
@@ -26,10 +28,11 @@ def floor_long(x) -> Column:
 
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle metres on the mean sphere."""
+    """Great-circle metres on the mean sphere; a missing coordinate gives NULL."""
     a1, o1, a2, o2 = (F.radians(_c(v)) for v in (lat1, lon1, lat2, lon2))
+    missing = (a1 + o1 + a2 + o2) * 0.0
     q = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return F.lit(2 * G.EARTH_M) * F.asin(F.sqrt(clip(q, 0, 1)))
+    return F.lit(2 * G.EARTH_M) * F.asin(F.sqrt(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))) + missing
 
 
 def wrap_degrees(d) -> Column:
@@ -284,8 +287,7 @@ def ground_factor(lc, road) -> Column:
 def walk_speed(dz, dist, factor, lo: float = 0.025, hi: float | None = 2.0) -> Column:
     """Directional walking speed on a slope, metres per second."""
     v = F.lit(1.667) * F.exp(F.lit(-3.5) * F.abs(_c(dz) / _c(dist) + 0.05)) * _c(factor) * G.MOBILITY
-    v = F.greatest(v, F.lit(lo))
-    return v if hi is None else F.least(v, F.lit(hi))
+    return clip(v, lo, float("inf") if hi is None else hi)
 
 
 # --- facilities ---
@@ -352,10 +354,17 @@ def polar_cell(dist, bearing) -> Column:
     return F.when(d >= RINGS * RING_M, F.lit(POLAR_CELLS).cast("bigint")).otherwise(idx)
 
 
+AREA_UNIT = math.pi * RING_M**2 / SECTORS
+TOTAL_UNITS = SECTORS * RINGS**2
+
+
+def polar_units(cell) -> Column:
+    """Area of a polar cell in whole units of the innermost cell."""
+    return 2 * floor_long(_c(cell) / SECTORS) + 1
+
+
 def polar_area(cell) -> Column:
-    """Area of a polar cell, from its ring number."""
-    ring = floor_long(_c(cell) / SECTORS).cast("double")
-    return F.lit(math.pi * RING_M**2 / SECTORS) * (2 * ring + 1)
+    return F.lit(AREA_UNIT) * polar_units(cell)
 
 
 def terrain_features(z, z0, e, w, n, s) -> Column:

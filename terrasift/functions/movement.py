@@ -58,7 +58,7 @@ def joint_class(bin_, turn) -> Column:
 
 def interval(d, u, scale=1.0) -> Column:
     d, u = _c(d), _c(u) * _c(scale)
-    return F.struct(F.greatest(F.lit(0.0), d - u).alias("lower"), (d + u).alias("upper"))
+    return F.struct(F.when(d > u, d - u).when(d <= u, 0.0).alias("lower"), (d + u).alias("upper"))
 
 
 def speed_features(grade, kind) -> Column:

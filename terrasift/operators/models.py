@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, movement, textfn
 from ..functions import grid as G
-from ..session import cut_lineage
+from ..session import cut_lineage, fan_out
 from .profile import exact_percentiles
 from .proximity import near_any
 
@@ -188,7 +188,7 @@ def bootstrap(df: DataFrame, cluster: str, value: str, n: int = 2000, seed: int
     """
     c = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     c = cut_lineage(dense_index(c, cluster), "clusters")
-    slots = c.select(F.col("idx").alias("slot"), "total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    slots = fan_out(c, "idx").select(F.col("idx").alias("slot"), "total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
     draw = F.floor(textfn.hash_uniform("slot", "rep", F.lit(seed), F.lit(1)) * F.col("total")).cast("bigint")
     hits = slots.select("rep", draw.alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("m"))
     reps = hits.join(c, "idx").groupBy("rep").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("mean"))
@@ -279,7 +279,7 @@ def fit_interval(df: DataFrame, folds: int | None = None, rounds: int = 9, point
     ids = list(range(folds)) if folds else [-1]
     own = F.col("fold") if folds else F.lit(-2)
     rows = df.select(own.cast("int").alias("own"), "lower", "upper").groupBy("own", "lower", "upper").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut_lineage(rows, "intervals")
+    rows = cut_lineage(fan_out(rows, "lower", "upper"), "intervals")
     best = {f: ((sum(MU_BOUNDS) / 2), (sum(SIGMA_BOUNDS) / 2), 0.0) for f in ids}
     half = [(MU_BOUNDS[1] - MU_BOUNDS[0]) / 2, (SIGMA_BOUNDS[1] - SIGMA_BOUNDS[0]) / 2]
     for _ in range(rounds):
@@ -319,7 +319,7 @@ def evaluate_interval(df: DataFrame, baseline: tuple[float, float], folds: int =
 # ---------------------------------------------------------------- terrain tilt on polar cells
 def polar_cells(cases: DataFrame) -> DataFrame:
     """Each case with its 5,760 polar cells, generated inside the row."""
-    return cases.withColumn("cell_idx", F.explode(F.sequence(F.lit(0), F.lit(geo.POLAR_CELLS - 1))))
+    return fan_out(cases, "case_id").withColumn("cell_idx", F.explode(F.sequence(F.lit(0), F.lit(geo.POLAR_CELLS - 1))))
 
 
 def ring_mass(radial: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
@@ -404,20 +404,20 @@ def fit_tilt(features: DataFrame, labels: DataFrame, radial: DataFrame, penalty:
 
 
 def running_area(mass: DataFrame) -> DataFrame:
-    """Cells of each case by falling mass density with the area up to and including each."""
-    area = geo.polar_area("cell_idx")
-    w = W.partitionBy("case_id").orderBy(F.desc("__density"), "cell_idx").rowsBetween(W.unboundedPreceding, 0)
-    m = mass.withColumn("__a", area).withColumn("__density", F.col("mass") / F.col("__a"))
-    return m.withColumn("area", F.sum("__a").over(w)).drop("__a", "__density")
-
+    """Cells of each case by falling mass density, with the area up to and including each in whole units.
 
-TOTAL_AREA = math.pi * (geo.RINGS * geo.RING_M) ** 2
+    The ring areas are odd multiples of the innermost cell, so the running sums are exact integers.
+    """
+    w = W.partitionBy("case_id").orderBy(F.desc("__density"), "cell_idx").rowsBetween(W.unboundedPreceding, 0)
+    m = mass.withColumn("__a", geo.polar_units("cell_idx")).withColumn("__density", F.col("mass") / F.col("__a"))
+    return m.withColumn("units", F.sum("__a").over(w)).drop("__a", "__density")
 
 
 def area_hits(mass: DataFrame, labels: DataFrame, shares: Sequence[float] = (0.1, 0.2, 0.3)) -> DataFrame:
     """Whether each case's true cell lies in the best 10, 20 and 30 % of the area."""
     r = running_area(mass).join(labels.select("case_id", F.col("label").alias("cell_idx")), ["case_id", "cell_idx"], "right")
-    return r.select("case_id", *[F.coalesce(F.col("area") <= s * TOTAL_AREA, F.lit(False)).alias(f"hit{round(s * 100)}") for s in shares])
+    inside = lambda s: F.coalesce(F.col("units") <= round(s * geo.TOTAL_UNITS), F.lit(False))
+    return r.select("case_id", *[inside(s).alias(f"hit{round(s * 100)}") for s in shares])
 
 
 def fold_summary(pred: DataFrame, folds: DataFrame, min_train: int = 20) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import q_scalars, q_tracks, q_mass, q_models  # noqa: F401
+from . import q_mass, q_models, q_paths, q_scalars, q_tracks  # noqa: F401
 from .registry import QUERIES, oracles  # noqa: F401

@@ -186,20 +186,20 @@ def a31(spark, sf):
 
 
 _MASSV = "((case_id*31+c*17)%1009+1)::DOUBLE"
-_AREA_SQL = f"""SELECT case_id, c, sum(a) OVER (PARTITION BY case_id ORDER BY mass/a DESC, c ROWS UNBOUNDED PRECEDING) AS area FROM (SELECT case_id, c, {_MASSV} AS mass, pi()*62500.0/72*(2*(c//72)+1) AS a FROM (SELECT case_id, unnest(generate_series(0,5759)) AS c FROM cases))"""
+_AREA_SQL = f"""SELECT case_id, c, sum(a) OVER (PARTITION BY case_id ORDER BY mass/a DESC, c ROWS UNBOUNDED PRECEDING) AS units FROM (SELECT case_id, c, {_MASSV} AS mass, 2*(c//72)+1 AS a FROM (SELECT case_id, unnest(generate_series(0,5759)) AS c FROM cases))"""
 
 
 def _masses(spark, sf):
     return MD.polar_cells(cases(spark, sf).select("case_id")).withColumn("mass", ((F.col("case_id") * 31 + F.col("cell_idx") * 17) % 1009 + 1).cast("double"))
 
 
-@query("w8_running_area", f"SELECT case_id, count(*) FILTER (area<=0.1*pi()*4e8) AS n10, count(*) FILTER (area<=0.3*pi()*4e8) AS n30 FROM ({_AREA_SQL}) GROUP BY 1")
+@query("w8_running_area", f"SELECT case_id, count(*) FILTER (units<=46080) AS n10, count(*) FILTER (units<=138240) AS n30 FROM ({_AREA_SQL}) GROUP BY 1")
 def w8(spark, sf):
     r = MD.running_area(_masses(spark, sf))
-    return r.groupBy("case_id").agg(F.count_if(F.col("area") <= 0.1 * MD.TOTAL_AREA).alias("n10"), F.count_if(F.col("area") <= 0.3 * MD.TOTAL_AREA).alias("n30"))
+    return r.groupBy("case_id").agg(F.count_if(F.col("units") <= 46080).alias("n10"), F.count_if(F.col("units") <= 138240).alias("n30"))
 
 
-@query("a32_area_hits", f"""SELECT p.incident_index AS case_id, coalesce(area<=0.1*pi()*4e8,false) AS hit10, coalesce(area<=0.2*pi()*4e8,false) AS hit20, coalesce(area<=0.3*pi()*4e8,false) AS hit30
+@query("a32_area_hits", f"""SELECT p.incident_index AS case_id, coalesce(units<=46080,false) AS hit10, coalesce(units<=92160,false) AS hit20, coalesce(units<=138240,false) AS hit30
  FROM {S.POLAR_SQL} p LEFT JOIN ({_AREA_SQL}) r ON r.case_id=p.incident_index AND r.c=p.cell""")
 def a32(spark, sf):
     labels = S.polar_labels(A.incidents(spark, sf)).select(F.col("incident_index").alias("case_id"), F.col("cell").alias("label"))
@@ -282,7 +282,7 @@ def j13(spark, sf):
     return MD._one_row(x, c.agg(F.count(F.lit(1)).alias("t"))).select("fold", "excluded", (F.col("t") - F.col("excluded")).alias("train_n"))
 
 
-@query("j11_near_pairs", f"""SELECT count(*) AS near_rows FROM (SELECT DISTINCT a.objectid FROM endpoint_links a JOIN (SELECT *, lon_a AS lon_s, lat_a AS lat_s FROM endpoint_links WHERE objectid%5=2) b ON abs(a.lat_a-b.lat_a)<0.02 AND {A.HAV('a.lat_a','a.lon_a','b.lat_a','b.lon_a')}<=1000
+@query("j11_near_pairs", f"""SELECT count(*) AS near_rows FROM (SELECT DISTINCT a.objectid FROM (SELECT * FROM endpoint_links WHERE lon_a IS NOT NULL) a JOIN (SELECT * FROM endpoint_links WHERE objectid%5=2 AND lon_a IS NOT NULL) b ON abs(a.lat_a-b.lat_a)<0.02 AND {A.HAV('a.lat_a','a.lon_a','b.lat_a','b.lon_a')}<=1000
  AND {A.HAV('a.lat_b','a.lon_b','b.lat_b','b.lon_b')}<=1000)""")
 def j11(spark, sf):
     a = A.endpoint_links(spark, sf)

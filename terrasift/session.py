@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread small rows over the session's shuffle partitions before each becomes thousands of rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def cut_lineage(df: DataFrame, purpose: str = "step") -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
