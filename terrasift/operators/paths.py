@@ -35,21 +35,25 @@ def check_paths(paths: DataFrame, outside: DataFrame, keys: Sequence[str] = ("mi
     return tot.join(outside, list(keys)).select(*keys, (F.col("fine") & (F.abs(F.col("w") + F.col("outside") - 1) <= 1e-8)).alias("ok"))
 
 
-def nearest_frame(visits: DataFrame, frames: DataFrame, key: str = "mission_id") -> DataFrame:
+def nearest_frame(visits: DataFrame, frames: DataFrame, key: str = "mission_id", bucket: float = 60.0) -> DataFrame:
     """Frame whose time is nearest each visit's midpoint; the earlier one wins a tie.
 
-    Visits and frames merge into one ordered stream per key, where the last frame at or before and the
-    first frame after a visit are running values; nothing is matched pairwise.
+    Every frame owns the time up to halfway to its neighbours. Those intervals are cut into buckets, so
+    visits find their frame by an equi join and a busy mission spreads over many keys. A mission has at
+    most a few thousand frames (six hours), so ordering them is bounded.
     """
-    v = visits.withColumn("mid", (F.col("arrive_s") + F.col("leave_s")) / 2)
-    marks = v.select(key, F.col("mid").alias("t"), F.lit(1).alias("kind"), F.struct(*v.columns).alias("v"), F.lit(None).cast("bigint").alias("frame_idx"))
-    fr = frames.select(key, F.col("t_s").cast("double").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(marks.schema["v"].dataType).alias("v"), F.col("frame_idx").cast("bigint").alias("frame_idx"))
-    both = marks.unionByName(fr).withColumn("f", F.when(F.col("kind") == 0, F.struct("t", "frame_idx")))
-    back = W.partitionBy(key).orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy("t", "kind").rowsBetween(0, W.unboundedFollowing)
-    x = both.withColumn("b", F.last("f", True).over(back)).withColumn("a", F.first("f", True).over(ahead)).where("kind = 1")
-    pick = F.when(F.col("a").isNull() | (F.col("t") - F.col("b.t") <= F.col("a.t") - F.col("t")), F.col("b.frame_idx")).otherwise(F.col("a.frame_idx"))
-    return x.select("v.*", pick.alias("frame_idx"))
+    w = W.partitionBy(key).orderBy("t_s")
+    t = F.col("t_s").cast("double")
+    fr = frames.select(
+        key, "frame_idx", t.alias("t"), F.lag(t).over(w).alias("p"), F.lead(t).over(w).alias("n"),
+        F.min(t).over(W.partitionBy(key)).alias("first"), F.max(t).over(W.partitionBy(key)).alias("last"))
+    fr = fr.withColumn("lo", F.coalesce((F.col("p") + F.col("t")) / 2, F.col("t") - 1)).withColumn("hi", F.coalesce((F.col("n") + F.col("t")) / 2, F.col("t")))
+    span = fr.select(key, "first", "last").distinct()
+    cells = fr.select(key, "frame_idx", "lo", "hi", F.explode(F.sequence(floor_long(F.col("lo") / bucket), floor_long(F.col("hi") / bucket))).alias("__b"))
+    v = visits.join(span, key).withColumn("__m", F.least(F.greatest((F.col("arrive_s") + F.col("leave_s")) / 2, "first"), "last"))
+    v = v.withColumn("__b", floor_long(F.col("__m") / bucket))
+    hit = v.join(cells, [key, "__b"]).where((F.col("__m") > F.col("lo")) & (F.col("__m") <= F.col("hi")))
+    return hit.select(*visits.columns, "frame_idx")
 
 
 def regular_frame(mid: Column | str, step: float) -> Column:
@@ -213,7 +217,7 @@ def quota(populations: DataFrame, budget: int, key: str = "mission_id", cap: int
     x = x.withColumn("left", F.count(F.lit(1)).over(w) - F.row_number().over(asc) + 1)
     level = F.floor((F.lit(budget) - F.col("below")) / F.col("left"))
     # the level is set by the first population that does not fit whole
-    x = x.withColumn("lv", F.min(F.when(level < F.col("n"), level)).over(w)).withColumn("level", F.least(F.coalesce("lv", F.lit(cap)), F.lit(cap)))
+    x = x.withColumn("lv", F.max(F.when(level < F.col("n"), level)).over(w)).withColumn("level", F.least(F.coalesce("lv", F.lit(cap)), F.lit(cap)))
     x = x.withColumn("base", F.least("n", "level")).withColumn("spare", F.lit(budget) - F.sum(F.least("n", "level")).over(w))
     want = (F.col("base") < F.least(F.col("n"), F.lit(cap))).cast("bigint")
     x = x.withColumn("turn", F.sum(want).over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
