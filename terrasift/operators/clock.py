@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .ordered import ordered_scan, with_previous
 
-BLOCKS = 64
+BLOCKS = 16
 
 
 def _sides(points: DataFrame, key: str, x: str, y: str, order: str, block: int | None) -> DataFrame:

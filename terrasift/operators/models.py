@@ -294,7 +294,8 @@ def fit_interval(df: DataFrame, folds: int | None = None, rounds: int = 9, point
         grid = spark.createDataFrame(pts, "fit int, mu double, sigma double").distinct()
         x = rows.withColumn("fit", F.explode(F.array(*[F.lit(f) for f in ids]))).where(F.col("fit") != F.col("own"))
         x = x.join(F.broadcast(grid), "fit")
-        nll = x.groupBy("fit", "mu", "sigma").agg((-F.sum(F.col("n") * movement.interval_logprob("mu", "sigma", "lower", "upper")) / F.sum("n")).alias("nll"))
+        x = movement.add_interval_logprob(x, "mu", "sigma", "lower", "upper", "lp")
+        nll = x.groupBy("fit", "mu", "sigma").agg((-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("nll"))
         top = nll.groupBy("fit").agg(F.min_by(F.struct("mu", "sigma", "nll"), F.struct("nll", "mu", "sigma")).alias("b")).select("fit", "b.*")
         best = {r["fit"]: (r["mu"], r["sigma"], r["nll"]) for r in top.collect()}
         half = [h * 2.5 / (points - 1) for h in half]
@@ -312,8 +313,9 @@ def evaluate_interval(df: DataFrame, baseline: tuple[float, float], folds: int =
     for q, z in ((50, G.Z50), (80, G.Z80), (95, G.Z95)):
         y = y.withColumn(f"r{q}", movement.lognormal_radius("mu", "sigma", z))
         y = y.withColumn(f"sure{q}", F.col("upper") <= F.col(f"r{q}")).withColumn(f"maybe{q}", F.col("lower") <= F.col(f"r{q}"))
-    y = y.withColumn("nll", -movement.interval_logprob("mu", "sigma", "lower", "upper"))
-    return y.withColumn("baseline_nll", -movement.interval_logprob(F.lit(baseline[0]), F.lit(baseline[1]), "lower", "upper"))
+    y = movement.add_interval_logprob(y, "mu", "sigma", "lower", "upper", "lp")
+    y = movement.add_interval_logprob(y, F.lit(baseline[0]), F.lit(baseline[1]), "lower", "upper", "base_lp")
+    return y.withColumn("nll", -F.col("lp")).withColumn("baseline_nll", -F.col("base_lp")).drop("lp", "base_lp")
 
 
 # ---------------------------------------------------------------- terrain tilt on polar cells

@@ -17,9 +17,11 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-BLOCKS = 64
+COARSE = 8
+BLOCKS = COARSE * COARSE
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_REAL = (T.FloatType, T.DoubleType)
 
 
 def finite(c: Column) -> Column:
@@ -31,7 +33,10 @@ def _ranked(counts: DataFrame, keys: Sequence[str], value: str, extra: Sequence[
     cuts = [i / BLOCKS for i in range(1, BLOCKS)]
     heads = counts.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("__cuts"), F.sum("n").alias("__total"), *extra)
-    b = counts.join(heads, list(keys)).withColumn("__blk", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
+    # two short searches find the block: among every eighth cut, then among the seven after it
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col(value)))
+    b = counts.join(heads, list(keys)).withColumn("__hi", upto(F.array(*[F.col("__cuts")[COARSE * i - 1] for i in range(1, COARSE)])))
+    b = b.withColumn("__blk", F.col("__hi") * COARSE + upto(F.slice("__cuts", F.col("__hi") * COARSE + 1, COARSE - 1))).drop("__cuts", "__hi")
     b = cut_lineage(b, "ranks")  # one set of cut points for every reader
     run = W.partitionBy(*keys, "__blk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     inner = b.withColumn("__cum", F.sum("n").over(run))
@@ -90,11 +95,15 @@ def profile(df: DataFrame) -> DataFrame:
     """
     cells = []
     for f in df.schema:
-        num = F.col(f.name).cast("double") if isinstance(f.dataType, _NUMERIC) else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f.name).cast("string").alias("s"), num.alias("v")))
-    counts = df.select(F.inline(F.array(*cells))).groupBy("column", "dtype", "s", "v").agg(F.count(F.lit(1)).alias("n"))
+        whole, real = isinstance(f.dataType, _WHOLE), isinstance(f.dataType, _REAL)
+        cells.append(F.struct(
+            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), (F.col(f.name) if whole else F.lit(None)).cast("bigint").alias("k"),
+            (F.col(f.name) if real else F.lit(None)).cast("double").alias("d"), (F.lit(None) if whole or real else F.col(f.name)).cast("string").alias("s")))
+    counts = df.select(F.inline(F.array(*cells))).groupBy("column", "dtype", "k", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts, "profile").withColumn("v", F.coalesce(F.col("k").cast("double"), F.col("d")))
+    missing = F.col("k").isNull() & F.col("d").isNull() & F.col("s").isNull()
     base = counts.groupBy("column", "dtype").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("s").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("s").alias("distinct"))
+        F.sum("n").alias("rows"), F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"), F.count_if(~missing).alias("distinct"))
     r = _ranked(counts.where(finite(F.col("v"))).select("column", "v", "n"), ["column"], "v", extra=[(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("__mean")])
     total = F.max("__total")
     var = F.try_divide(F.sum(F.col("n") * F.pow(F.col("v") - F.col("__mean"), 2)), (total - 1).cast("double"))

@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import coverage as C
 from ..operators import mass as M
 from ..operators import tracks as T
+from ..session import cut_lineage
 from . import adapters as A
 from .registry import cte, query, table
 
@@ -146,7 +147,8 @@ cte("zones", """SELECT *, CASE WHEN hazard_share<0.02 THEN 'REVIEW_REQUIRED' ELS
 
 
 def zones(spark, sf):
-    m, c = prior(spark, sf), coverage(spark, sf)
+    # the coverage table has three readers; it is stored, as a mission version stores it
+    m, c = prior(spark, sf), cut_lineage(coverage(spark, sf), "coverage")
     return M.zone_cards(m, c, mission_terrain(m, c))
 
 

@@ -67,12 +67,12 @@ def read_plt(spark: SparkSession, path: str, eligible: DataFrame | None = None,
     """Trajectory text files: six header lines, then lat, lon, _, altitude, day number, date, time.
 
     Lines are read as lines, so a long file splits over tasks; header lines are told from data by their
-    shape. ``eligible`` keeps only the listed people.
+    shape (data lines have seven fields). ``eligible`` keeps only the listed people.
     """
     t = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     t = t.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
     c = F.split("value", ",")
-    t = t.where(F.size(c) >= 7).withColumn("person", F.regexp_extract("file", person, 1))
+    t = t.where(F.size(c) == 7).withColumn("person", F.regexp_extract("file", person, 1))
     if eligible is not None:
         t = t.join(eligible.select("person"), "person", "left_semi")
     num = lambda i: c[i].try_cast("double")
