@@ -134,36 +134,34 @@ def sweep_pattern(zones: DataFrame, rows: str = "band_rows") -> DataFrame:
     """Lawn-mower walk over each zone, in both directions: step, walked cell and the cells it sweeps.
 
     A line of ``rows`` searchers walks the middle row of each band; between bands it steps down the
-    turning column, sweeping only the cell it stands on. A pattern has at most 256 steps.
+    turning column, sweeping only the cell it stands on. Where a band's first step falls is a closed
+    formula, so bands and steps are generated row by row without ordering anything.
     """
-    k = F.greatest(F.lit(1), F.least(F.col(rows), F.lit(G.ZONE))).cast("int")
-    z = zones.withColumn("__k", k).withColumn("__r0", (floor_long(F.col("zone_id") / G.ZONES) * G.ZONE).cast("int")).withColumn("__c0", ((F.col("zone_id") % G.ZONES) * G.ZONE).cast("int"))
-    z = z.withColumn("__passes", F.expr("sequence(0, cast(ceil(16 / __k) as int) - 1)"))
-
-    def start(p):
-        return p * F.col("__k")
-
-    def length(p):
-        return F.least(F.col("__k"), F.lit(G.ZONE) - start(p))
+    side = G.ZONE
+    z = zones.withColumn("__k", F.greatest(F.lit(1), F.least(F.col(rows), F.lit(side))).cast("int"))
+    z = z.withColumn("__n", F.ceil(F.lit(side) / F.col("__k")).cast("int"))
 
     def mid(p):
-        return start(p) + floor_long((length(p) - 1) / 2).cast("int")
-
-    def cell(r, c):
-        return ((F.col("__r0") + r) * G.N + F.col("__c0") + c).cast("bigint")
-
-    def one_pass(p):
-        turn = F.when(p % 2 == 0, 0).otherwise(G.ZONE - 1)
-        gap = F.sequence(mid(p - 1) + 1, mid(p) - 1)
-        none = F.array().cast("array<struct<cell:bigint,covered:array<bigint>>>")
-        trans = F.when((p > 0) & (mid(p - 1) + 1 <= mid(p) - 1), F.transform(gap, lambda r: F.struct(cell(r, turn).alias("cell"), F.array(cell(r, turn)).alias("covered")))).otherwise(none)
-        cols = F.when(p % 2 == 0, F.sequence(F.lit(0), F.lit(G.ZONE - 1))).otherwise(F.sequence(F.lit(G.ZONE - 1), F.lit(0)))
-        band = F.sequence(start(p), start(p) + length(p) - 1)
-        walk = F.transform(cols, lambda c: F.struct(cell(mid(p), c).alias("cell"), F.transform(band, lambda r: cell(r, c)).alias("covered")))
-        return F.concat(trans, walk)
-
-    z = z.withColumn("__walk", F.flatten(F.transform("__passes", one_pass)))
-    n = F.size("__walk")
-    steps = z.select(*zones.columns, n.alias("__n"), F.posexplode("__walk").alias("pos", "s"))
-    ways = F.array(F.struct(F.lit("forward").alias("direction"), F.col("pos").alias("step")), F.struct(F.lit("reverse").alias("direction"), (F.col("__n") - 1 - F.col("pos")).alias("step")))
-    return steps.select(*zones.columns, F.col("s.cell").alias("cell"), F.col("s.covered").alias("covered"), F.inline(ways))
+        start = p * F.col("__k")
+        return (start + F.floor((F.least(F.col("__k"), F.lit(side) - start) - 1) / 2)).cast("int")
+
+    def first_step(p):  # 16 steps per earlier band and the turning steps between their middle rows
+        return F.when(p > 0, side * p + mid(p - 1) - mid(F.lit(0)) - (p - 1)).otherwise(0)
+
+    z = z.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    z = z.withColumn("mid", mid(F.col("p"))).withColumn("off", first_step(F.col("p"))).withColumn("total", first_step(F.col("__n")))
+    z = z.withColumn("gap", F.when(F.col("p") > 0, F.col("mid") - mid(F.col("p") - 1) - 1).otherwise(0))
+    z = z.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gap") + side - 1)))
+    turning = F.col("j") < F.col("gap")
+    even = F.col("p") % 2 == 0
+    i = F.col("j") - F.col("gap")
+    r = F.when(turning, F.col("mid") - F.col("gap") + F.col("j")).otherwise(F.col("mid"))
+    c = F.when(turning, F.when(even, 0).otherwise(side - 1)).otherwise(F.when(even, i).otherwise(side - 1 - i))
+    r0, c0 = floor_long(F.col("zone_id") / G.ZONES) * side, (F.col("zone_id") % G.ZONES) * side
+    cell = lambda row: ((r0 + row) * G.N + c0 + F.col("c")).cast("bigint")
+    z = z.withColumn("r", r).withColumn("c", c).withColumn("step", F.col("off") + F.col("j"))
+    top = F.col("p") * F.col("__k")
+    band = F.transform(F.sequence(top, F.least(top + F.col("__k"), F.lit(side)) - 1), cell)
+    ways = F.array(F.struct(F.lit("forward").alias("direction"), F.col("step").alias("step")), F.struct(F.lit("reverse").alias("direction"), (F.col("total") - 1 - F.col("step")).alias("step")))
+    out = z.select(*zones.columns, cell(F.col("r")).alias("cell"), F.when(turning, F.array(cell(F.col("r")))).otherwise(band).alias("covered"), ways.alias("ways"))
+    return out.select(*zones.columns, "cell", "covered", F.inline("ways"))

@@ -337,11 +337,14 @@ def ring_mass(radial: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
 def _tilted(features: DataFrame, radial: DataFrame, beta: DataFrame) -> DataFrame:
     """Features with their score under a fold's radial mass and tilt.
 
-    The lookup has 80 rows per fold; Spark broadcasts it when that is small enough.
+    A fold is one row: its coefficients and the logs of its 80 ring masses. Fold parameters pass through
+    the driver anyway, so this side is small by construction and the cells are never shuffled for it.
     """
-    base = ring_mass(radial).join(beta, "fold")
-    x = features.withColumn("ring", F.floor(F.col("cell_idx") / geo.SECTORS).cast("int")).join(base, ["fold", "ring"])
-    return x.withColumn("score", F.ln("base") + F.col("rise") * F.col("b1") + F.col("steep") * F.col("b2"))
+    rings = F.array_sort(F.collect_list(F.struct("ring", "base")))
+    base = ring_mass(radial).groupBy("fold").agg(F.transform(rings, lambda x: F.ln(x["base"])).alias("log_base"), F.max("outside").alias("outside"))
+    x = features.join(F.broadcast(base.join(beta, "fold")), "fold")
+    ring = F.floor(F.col("cell_idx") / geo.SECTORS).cast("int")
+    return x.withColumn("score", F.col("log_base")[ring] + F.col("rise") * F.col("b1") + F.col("steep") * F.col("b2")).drop("log_base")
 
 
 def tilt_mass(features: DataFrame, radial: DataFrame, beta: DataFrame) -> DataFrame:

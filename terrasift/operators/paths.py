@@ -264,14 +264,20 @@ def effective_seconds(queries: DataFrame, bins: DataFrame, key: str = "mission_i
     return j.select(*queries.columns, (F.col("lo") + F.col("rate") * (F.col("t_s") - F.col("t0"))).alias("effective_s"), F.col("rate").alias("factor"))
 
 
-def finish_times(queries: DataFrame, bins: DataFrame, key: str = "mission_id") -> DataFrame:
-    """Clock time at which a light-weighted amount is reached (at most 481 bins per key take part)."""
+def finish_times(queries: DataFrame, bins: DataFrame, key: str = "mission_id", bucket: float = 60.0) -> DataFrame:
+    """Clock time at which a light-weighted amount is reached.
+
+    A bin adds at most its length, so it spans two buckets of the integral at most, and a query finds
+    its bin by an equi join on the bucket.
+    """
+    at = lambda c: floor_long(F.col(c) / bucket)
     last = bins.groupBy(key).agg(F.max("hi").alias("__top"), F.max("t1").alias("__end"), F.max_by("rate", "bin").alias("__rate"))
-    j = queries.join(bins.select(key, "lo", "hi", "rate", "t0"), key).where((F.col("target_s") > F.col("lo")) & (F.col("target_s") <= F.col("hi")))
-    inner = j.select(*queries.columns, (F.col("t0") + (F.col("target_s") - F.col("lo")) / F.col("rate")).alias("finish_s"))
-    beyond = queries.join(last, key).where(F.col("target_s") > F.col("__top")).select(
-        *queries.columns, (F.col("__end") + (F.col("target_s") - F.col("__top")) / F.col("__rate")).alias("finish_s"))
-    return inner.unionByName(beyond)
+    b = bins.select(key, "lo", "hi", "rate", "t0", F.explode(F.sequence(at("lo"), at("hi"))).alias("__b"))
+    q = queries.withColumn("__b", at("target_s")).join(last, key)
+    j = q.join(b, [key, "__b"], "left").where((F.col("target_s") > F.col("__top")) | ((F.col("target_s") > F.col("lo")) & (F.col("target_s") <= F.col("hi"))))
+    over = F.col("target_s") > F.col("__top")
+    finish = F.when(over, F.col("__end") + (F.col("target_s") - F.col("__top")) / F.col("__rate")).otherwise(F.col("t0") + (F.col("target_s") - F.col("lo")) / F.col("rate"))
+    return j.select(*queries.columns, finish.alias("finish_s")).distinct()
 
 
 def phase_minutes(bins: DataFrame, key: str = "mission_id", step: int = 60) -> DataFrame:

@@ -171,12 +171,17 @@ def tilt_inputs(spark, sf):
     return f, c.select("fold", "case_id", "label"), radial
 
 
-@query("a30_tilt_mass")
+cte("ring_base", f"""SELECT ring, mu, sigma, (hi-lo)/72 AS base, outside FROM (SELECT ring, mu, sigma, exp({S.log_ndtr_sql('zh')}) AS hi, CASE WHEN ring=0 THEN 0 ELSE exp({S.log_ndtr_sql('zl')}) END AS lo, exp({S.log_ndtr_sql('(-zo)')}) AS outside FROM
+ (SELECT ring, mu, sigma, (ln((ring+1)*250.0)-mu)/sigma AS zh, (ln(greatest(ring,1)*250.0)-mu)/sigma AS zl, (ln(20000.0)-mu)/sigma AS zo FROM (SELECT unnest(generate_series(0,79)) AS ring), (SELECT avg(ln(distance_m)) AS mu, stddev_pop(ln(distance_m)) AS sigma FROM cases)))""")
+
+
+@query("a30_tilt_mass", """SELECT case_id, round(sum(e)/sum(e)*(1-any_value(outside))+any_value(outside),9) AS total, round(any_value(outside),6) AS outside, round(max(e)/sum(e)*(1-any_value(outside)),9) AS top_mass FROM
+ (SELECT case_id, outside, base*exp(0.3*((case_id*31+c*17)%201-100)/50.0-0.2*((case_id*13+c*29)%91)/30.0) AS e FROM (SELECT case_id, unnest(generate_series(0,5759)) AS c FROM cases) JOIN ring_base ON ring=c//72) GROUP BY 1""")
 def a30(spark, sf):
     f, labels, radial = tilt_inputs(spark, sf)
     beta = radial.select("fold", F.lit(0.3).alias("b1"), F.lit(-0.2).alias("b2"))
     m = MD.tilt_mass(f, radial, beta)
-    return m.groupBy("case_id").agg(F.round(F.sum("mass") + F.max("outside"), 9).alias("total"), R6(F.max("outside")).alias("outside"))
+    return m.groupBy("case_id").agg(F.round(F.sum("mass") + F.max("outside"), 9).alias("total"), R6(F.max("outside")).alias("outside"), F.round(F.max("mass"), 9).alias("top_mass"))
 
 
 @query("a31_fit_tilt")
@@ -261,9 +266,16 @@ def a35r(spark, sf):
     return r.select(F.col("horizon").cast("bigint").alias("horizon"), "people", *[F.round(c, 4).alias(c) for c in ("model_mean", "gain", "q25", "median")], R6("cov80").alias("cov80"))
 
 
-@query("a35_seed_sensitivity")
+def _macro_sql(shift):
+    smp = _SMP.replace("s_suppkey*", f"(s_suppkey+{shift})*")
+    return f"""SELECT horizon, avg(m) AS m, avg(st) AS st FROM (SELECT horizon, person, avg(e-half) AS m, avg(sqrt(tx*tx+ty*ty)) AS st FROM (SELECT t.person, t.track_id, t."start", t.horizon, t.tx, t.ty, avg(sqrt(pow(s.x-t.tx,2)+pow(s.y-t.ty,2))) AS e FROM horizon_targets t JOIN {smp} s USING (horizon) GROUP BY ALL)
+ JOIN (SELECT horizon, avg(sqrt(pow(x-x2,2)+pow(y-y2,2)))/2 AS half FROM {smp} GROUP BY 1) USING (horizon) GROUP BY 1,2) GROUP BY 1"""
+
+
+@query("a35_seed_sensitivity", f"""SELECT horizon::BIGINT AS horizon, round(abs(a.m-b.m),4) AS change, (a.m<a.st)=(b.m<b.st) AS same_ranking FROM ({_macro_sql(0)}) a JOIN ({_macro_sql(7)}) b USING (horizon)""")
 def a35s(spark, sf):
-    return MD.same_ranking(MD.horizon_report(horizon_scored(spark, sf)), MD.horizon_report(horizon_scored(spark, sf, 7)))
+    r = MD.same_ranking(MD.horizon_report(horizon_scored(spark, sf)), MD.horizon_report(horizon_scored(spark, sf, 7)))
+    return r.select(F.col("horizon").cast("bigint").alias("horizon"), F.round("change", 4).alias("change"), "same_ranking")
 
 
 @query("a44_speed_model")
