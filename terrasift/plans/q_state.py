@@ -145,9 +145,12 @@ _F = "CASE WHEN road_distance<30 THEN 1.05::DOUBLE WHEN landcover=10 THEN 0.48::
 cte("pass_cells", f"""SELECT window_id, "row", col, dem, {_F} AS factor FROM terrain WHERE landcover<>80 AND landcover<>0 AND slope<=45""")
 
 
-@query("j2_edges8", """SELECT a.window_id, a."row"*512+a.col AS src, b."row"*512+b.col AS dst, round(30*sqrt(dr*dr+dc*dc)/greatest(0.025,1.667*exp(-3.5*abs((b.dem-a.dem)/(30*sqrt(dr*dr+dc*dc))+0.05))*b.factor*0.42),5) AS seconds
+cte("edges8", """SELECT a.window_id, a."row"*512+a.col AS src, b."row"*512+b.col AS dst, 30*sqrt(dr*dr+dc*dc)/greatest(0.025,1.667*exp(-3.5*abs((b.dem-a.dem)/(30*sqrt(dr*dr+dc*dc))+0.05))*b.factor*0.42) AS seconds
  FROM pass_cells a, (SELECT dr::DOUBLE AS dr, dc::DOUBLE AS dc FROM (VALUES (-1),(0),(1)) r(dr), (VALUES (-1),(0),(1)) c(dc) WHERE dr<>0 OR dc<>0) o JOIN pass_cells b ON b.window_id=a.window_id AND b."row"=a."row"+dr AND b.col=a.col+dc
  WHERE dr=0 OR dc=0 OR (EXISTS (SELECT 1 FROM pass_cells x WHERE x.window_id=a.window_id AND x."row"=a."row"+dr AND x.col=a.col) AND EXISTS (SELECT 1 FROM pass_cells x WHERE x.window_id=a.window_id AND x."row"=a."row" AND x.col=a.col+dc))""")
+
+
+@query("j2_edges8", "SELECT window_id, src, dst, round(seconds,5) AS seconds FROM edges8")
 def j2(spark, sf):
     return GR.edges8(A.terrain(spark, sf)).withColumn("seconds", F.round("seconds", 5))
 
@@ -183,7 +186,9 @@ def j5(spark, sf):
     return GR.crop(p, w, 64).groupBy("window_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g1_travel_time")
+@query("g1_travel_time", """WITH RECURSIVE reach(window_id, cell, s) USING KEY (window_id, cell) AS (SELECT DISTINCT window_id, floor("row")::BIGINT*512+floor(col)::BIGINT, 0.0::DOUBLE FROM poi_ok WHERE eligible
+ UNION SELECT e.window_id, e.src, min(d.s+e.seconds) FROM reach d JOIN edges8 e ON e.window_id=d.window_id AND e.dst=d.cell LEFT JOIN recurring.reach r ON r.window_id=e.window_id AND r.cell=e.src WHERE d.s+e.seconds<=600 AND (r.s IS NULL OR d.s+e.seconds<r.s-1e-9) GROUP BY 1,2)
+ SELECT window_id, cell, round(s,4) AS seconds, round(exp(-s/900),6) AS decay FROM reach""")
 def g1(spark, sf):
     """Seconds and decay to the nearest usable facility, up to ten minutes."""
     t = A.terrain(spark, sf)
