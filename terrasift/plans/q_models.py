@@ -30,10 +30,11 @@ def f4(spark, sf):
     return MD.training_rows(Q.edges(spark, sf)).groupBy(F.coalesce("reason", F.lit("USED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a22_type_medians", """WITH m AS (SELECT track_id, search_type, median(speed) AS m FROM pairs WHERE quality_flag='CANDIDATE' AND abs(grade)<=1 AND search_type<>'paired' GROUP BY ALL)
+@query("a22_type_medians", """WITH m AS (SELECT track_id, replace(search_type,'paired','hasty') AS search_type, median(speed) AS m FROM pairs WHERE quality_flag='CANDIDATE' AND abs(grade)<=1 GROUP BY ALL)
  SELECT t.search_type, round(coalesce((SELECT median(m) FROM m WHERE m.search_type=t.search_type),(SELECT median(m) FROM m)),6) AS median FROM (VALUES ('hasty'),('sweep'),('paired')) t(search_type)""")
 def a22(spark, sf):
-    rows = MD.training_rows(Q.edges(spark, sf)).where("reason is null and search_type <> 'paired'")
+    # one type is recorded under another name, so the overall median has to stand in for it
+    rows = MD.training_rows(Q.edges(spark, sf)).where("reason is null").replace("paired", "hasty", ["search_type"])
     return MD.type_medians(rows, A.track_block(spark, sf)).withColumn("median", R6("median"))
 
 
@@ -294,11 +295,11 @@ def j13(spark, sf):
     return MD._one_row(x, c.agg(F.count(F.lit(1)).alias("t"))).select("fold", "excluded", (F.col("t") - F.col("excluded")).alias("train_n"))
 
 
-@query("j11_near_pairs", f"""SELECT count(*) AS near_rows FROM (SELECT DISTINCT a.objectid FROM (SELECT * FROM endpoint_links WHERE lon_a IS NOT NULL) a JOIN (SELECT * FROM endpoint_links WHERE objectid%5=2 AND lon_a IS NOT NULL) b ON abs(a.lat_a-b.lat_a)<0.02 AND {A.HAV('a.lat_a','a.lon_a','b.lat_a','b.lon_a')}<=1000
- AND {A.HAV('a.lat_b','a.lon_b','b.lat_b','b.lon_b')}<=1000)""")
+@query("j11_near_pairs", f"""SELECT count(*) AS near_rows FROM (SELECT DISTINCT a.objectid FROM (SELECT * FROM endpoint_links WHERE lon_a IS NOT NULL) a JOIN incidents b ON abs(a.lat_a-b.ipp_lat)<0.02 AND {A.HAV('a.lat_a','a.lon_a','b.ipp_lat','b.ipp_lon')}<=1000
+ AND {A.HAV('a.lat_b','a.lon_b','b.find_lat','b.find_lon')}<=1000)""")
 def j11(spark, sf):
-    a = A.endpoint_links(spark, sf)
-    return MD.near_pairs(a, a.where("objectid % 5 = 2"), "objectid").agg(F.count(F.lit(1)).alias("near_rows"))
+    b = A.incidents(spark, sf).select(F.col("ipp_lat").alias("lat_a"), F.col("ipp_lon").alias("lon_a"), F.col("find_lat").alias("lat_b"), F.col("find_lon").alias("lon_b"))
+    return MD.near_pairs(A.endpoint_links(spark, sf), b, "objectid").agg(F.count(F.lit(1)).alias("near_rows"))
 
 
 @query("j6_semi_anti", "SELECT (SELECT count(*) FROM fixes WHERE track_id IN (SELECT track_id FROM mode_labels WHERE mode='bus')) AS with_bus, (SELECT count(*) FROM fixes WHERE track_id NOT IN (SELECT track_id FROM mode_labels WHERE mode='bus')) AS without_bus")

@@ -102,10 +102,10 @@ def a14(spark, sf):
     return g.select("mission_id", "plan_id", *[F.round(c, 8).alias(c) for c in ("worst", "low", "high")])
 
 
-@query("a14_accept", "SELECT mission_id, scenario, path_id, round(sum(effort),9) AS effort FROM plan_exposure WHERE plan_id IN (0,1) GROUP BY 1,2,3")
+@query("a14_accept", "SELECT mission_id, scenario, path_id, round(sum(effort),9) AS effort FROM plan_exposure GROUP BY 1,2,3")
 def a14a(spark, sf):
     e = exposed(spark, sf)
-    return P.accept(e.where("plan_id = 0"), e.where("plan_id = 1")).withColumn("effort", R9("effort"))
+    return P.accept(e.where("plan_id < 20"), e.where("plan_id >= 20")).withColumn("effort", R9("effort"))
 
 
 @query("a14_swept_area", "SELECT mission_id, plan_id, count(DISTINCT cell)*900.0 AS area_m2 FROM (SELECT mission_id, plan_id, unnest(list_concat(cells_a,cells_b)) AS cell FROM plan_steps) WHERE cell>=0 GROUP BY 1,2")
@@ -158,14 +158,14 @@ def a18(spark, sf):
     return P.ess(path_weight(spark, sf)).withColumn("effective", F.round("effective", 4))
 
 
-_TVZ = "SELECT mission_id, (cell//512//16)*32+(cell%512)//16 AS zone_id, sum(mass) AS v FROM frame_mass WHERE scenario='a' AND cell<262144 AND frame_idx={} GROUP BY 1,2"
+_TVZ = "SELECT mission_id, scenario, (cell//512//16)*32+(cell%512)//16 AS zone_id, sum(mass) AS v FROM frame_mass WHERE cell<262144 AND frame_idx={} GROUP BY 1,2,3"
 
 
-@query("a40_total_variation", f"SELECT mission_id, round(0.5*sum(abs(coalesce(a.v,0)-coalesce(b.v,0))),8) AS total_variation FROM ({_TVZ.format(0)}) a FULL JOIN ({_TVZ.format(3)}) b USING (mission_id, zone_id) GROUP BY mission_id")
+@query("a40_total_variation", f"SELECT mission_id, scenario, round(0.5*sum(abs(coalesce(a.v,0)-coalesce(b.v,0))),8) AS total_variation FROM ({_TVZ.format(0)}) a FULL JOIN ({_TVZ.format(3)}) b USING (mission_id, scenario, zone_id) GROUP BY 1,2")
 def a40(spark, sf):
-    f = P.frame_mass(paths(spark, sf)).where(f"scenario = 'a' and cell < {G.OUTSIDE_CELL}")
-    z = f.groupBy("mission_id", "frame_idx", P._cell_zone().alias("zone_id")).agg(F.sum("mass").alias("value"))
-    return P.total_variation(z.where("frame_idx = 0"), z.where("frame_idx = 3"), ["mission_id"]).withColumn("total_variation", F.round("total_variation", 8))
+    f = P.frame_mass(paths(spark, sf)).where(f"cell < {G.OUTSIDE_CELL}")
+    z = f.groupBy("mission_id", "scenario", "frame_idx", P._cell_zone().alias("zone_id")).agg(F.sum("mass").alias("value"))
+    return P.total_variation(z.where("frame_idx = 0"), z.where("frame_idx = 3"), ["mission_id", "scenario"]).withColumn("total_variation", F.round("total_variation", 8))
 
 
 @query("a40_same_assignments", "SELECT o_custkey%300 AS run_id, bool_and(o_orderkey%41<>0) AS same FROM orders GROUP BY 1")

@@ -29,7 +29,9 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> tuple[DataF
     rule, so everything about a file is settled with aggregates over its own rows.
     """
     raw = spark.read.format("xml").option("rowTag", "gpx").option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", "true").schema(GPX_SCHEMA).load(path).withColumn("file", F.col("_metadata.file_path"))
+        "recursiveFileLookup", "true").schema(GPX_SCHEMA).load(path)
+    # a file over the size limit is refused below and never unfolded, so a file's points stay few
+    raw = raw.where(F.col("_metadata.file_size") <= MAX_GPX_BYTES).withColumn("file", F.col("_metadata.file_path"))
     segs = raw.select("file", F.posexplode("trk").alias("trk_no", "t")).select("file", "trk_no", F.posexplode("t.trkseg").alias("seg_no", "s"))
     segs = segs.where(F.size("s.trkpt") > 0).withColumn("many", F.size("s.trkpt") > 1)
     pts = segs.select("file", "many", (F.col("trk_no") * 1_000_000 + F.col("seg_no")).cast("bigint").alias("segment_no"), F.posexplode("s.trkpt").alias("point_no", "p"))
