@@ -165,3 +165,39 @@ class HashCache:
         """``keys`` ascend and are new."""
         at = np.searchsorted(self.keys, keys)
         self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+
+
+class OpenTable:
+    """int64 key >= 0 -> int64 value >= 0 by linear probing; the caller keeps it at most half full."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not held yet."""
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
+            done = np.zeros(len(keys), bool)
+            done[placed] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is not held."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        lost = np.flatnonzero((held != keys) & (held >= 0))
+        while len(lost):
+            slot[lost] = (slot[lost] + 1) & ((1 << self.bits) - 1)
+            held[lost] = self.keys[slot[lost]]
+            lost = lost[(held[lost] != keys[lost]) & (held[lost] >= 0)]
+        return np.where(held == keys, self.values[slot], -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sptok
+from . import pii, sptok, tokcount
 from .steps import table
 
 
@@ -18,12 +18,17 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokcount.report(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sptok.digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op5_token_counts": op5_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import HashCache, SegmentHash, ragged_take, row_sums, text_blocks
+from .flat import HashCache, OpenTable, SegmentHash, ragged_take, row_sums, text_blocks
 
 MARK = "▁"
 _NONE = np.int64(1 << 40)
@@ -64,7 +64,8 @@ class PieceModel:
                 if p[:k] in symbols and p[k:] in symbols:
                     keys.append(symbols[p[:k]] << 32 | symbols[p[k:]])
                     merged.append(i)
-        self._hash_pairs(np.array(keys, np.int64), np.array(merged, np.int64), np.array([levels[model.pieces[i].score] for i in merged], np.int64))
+        self.pairs = OpenTable((len(keys) * 8).bit_length())
+        self.pairs.put(np.array(keys, np.int64), np.array([levels[model.pieces[i].score] << 32 | i for i in merged], np.int64))
         single = {ord(s): i for s, i in symbols.items() if len(s) == 1}
         self.char_id = np.full(0x110000, -1, np.int32)
         self.char_id[list(single)] = list(single.values())
@@ -78,37 +79,10 @@ class PieceModel:
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         self.seen, self.ids = HashCache(), np.zeros(0, np.int32)
 
-    def _hash_pairs(self, keys, ids, ranks):
-        """Open addressing with linear probing, at most an eighth full."""
-        self.bits = max(4, int(len(keys) * 8).bit_length())
-        size = 1 << self.bits
-        self.pair_key = np.full(size, -1, np.int64)
-        self.pair_id = np.zeros(size, np.int64)
-        self.pair_rank = np.full(size, _NONE)
-        slot = self._slot(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = self.pair_key[slot[left]] < 0
-            _, first = np.unique(slot[left[free]], return_index=True)
-            placed = left[free][first]
-            self.pair_key[slot[placed]], self.pair_id[slot[placed]], self.pair_rank[slot[placed]] = keys[placed], ids[placed], ranks[placed]
-            left = np.setdiff1d(left, placed)
-            slot[left] = (slot[left] + 1) % size
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair of symbols makes; _NONE where there is none."""
-        key = left << 32 | right
-        slot = self._slot(key)
-        found = self.pair_key[slot]
-        lost = np.flatnonzero((found != key) & (found >= 0))
-        while len(lost):
-            slot[lost] = (slot[lost] + 1) % len(self.pair_key)
-            found[lost] = self.pair_key[slot[lost]]
-            lost = lost[(found[lost] != key[lost]) & (found[lost] >= 0)]
-        return np.where(found == key, self.pair_rank[slot], _NONE), self.pair_id[slot]
+        value = self.pairs.get(left << 32 | right)
+        return np.where(value < 0, _NONE, value >> 32), value & 0xFFFFFFFF
 
     def merge_words(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and their words; ``word`` ascends."""
