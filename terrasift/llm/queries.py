@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sptok, tokcount
+from . import pii, qda, sptok, tokcount
 from .steps import table
 
 
@@ -22,6 +22,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokcount.report(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return qda.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sptok.digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -29,6 +33,7 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op5_token_counts": op5_token_counts,
+    "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
