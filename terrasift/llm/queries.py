@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, qda, sptok, tokcount
+from . import mixing, pii, qda, sptok, tokcount
 from .steps import table
 
 
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op4_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken(table(spark, sf, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokcount.report(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -32,6 +36,7 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
     "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
