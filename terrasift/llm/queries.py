@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, qda, sptok, tokcount
+from . import mixing, pii, qda, sptok, tgm, tokcount
 from .steps import table
 
 
@@ -30,6 +30,10 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return qda.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op9_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return tgm.join_classes(table(spark, sf, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sptok.digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
     "op8_quality": op8_quality,
+    "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
