@@ -190,6 +190,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text scores ``threshold`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text))):
+                yield batch.slice(i, j - i).filter(pa.array(model.score(statistics(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every document. Null and empty texts are scored like any other."""
     stats = step(document_statistics(docs.select("doc_id", "text")), "quality-statistics")
