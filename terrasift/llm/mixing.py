@@ -174,7 +174,8 @@ def draw(spark: SparkSession, mix_plan: MixPlan) -> DataFrame:
 
 
 def block_counts(spark: SparkSession, mix_plan: MixPlan) -> DataFrame:
-    return draw(spark, mix_plan).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # the hint: a generated table looks as small as its list of shards, and would be broadcast at any size
+    return draw(spark, mix_plan).groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
 
 
 def document_blocks(rows: DataFrame, block: int) -> DataFrame:
