@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, qda, sptok, tgm, tokcount
+from . import balltree, egojoin, mixing, pii, qda, sptok, tgm, tokcount
 from .steps import table
 
 
@@ -18,6 +18,14 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op3_embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return egojoin.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def op6_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf, "embeddings"))
+
+
 def op4_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(table(spark, sf, "documents"))
 
@@ -40,8 +48,10 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
+    "op6_top_k": op6_top_k,
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
