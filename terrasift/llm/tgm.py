@@ -45,7 +45,7 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 
 def need(n, percent: int = 80):
     """Common first tokens that a pair at the threshold must have, for sets of n tokens."""
-    return 1 + n // 50
+    return 1 + n // 10
 
 
 def first_tokens(n, percent: int = 80):
@@ -140,8 +140,8 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.diff(bound).astype(np.int32)), pa.array([raw[8 * a : 8 * b] for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.binary())], names=["unit", "n", "tokens"])
                 yield out.filter(same)
 
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "unit"), "doc_id").select("text", "unit")
-    return rows.mapInArrow(run, "unit long, n int, tokens binary").dropDuplicates(["unit"])
+    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "unit"), "doc_id").select("doc_id", "text", "unit").distinct()  # still dealt by doc_id
+    return rows.select("text", "unit").mapInArrow(run, "unit long, n int, tokens binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -223,15 +223,18 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, group_size:
 
     # one leader a unit: the one with most common tokens
     near = matrix.where("unit <> lead").where(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").groupBy("unit", "lead").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
-    near = near.where("c >= 1 + least(n, lead_n) div 50").groupBy("unit").agg(F.max(F.struct("c", "lead")).alias("best"))
+    near = near.where("c >= 1 + least(n, lead_n) div 10").groupBy("unit").agg(F.max(F.struct("c", "lead")).alias("best"))
     stars = step(near.select(F.col("unit").alias("a"), F.col("best.lead").alias("b")), "jaccard-stars")
-    shared = matrix.select("unit").distinct()
-    sets = step(token_sets(docs, shared.join(classes, "unit"), width), "jaccard-token-sets")
+
+    def sets_of(units, purpose):
+        return step(token_sets(docs, units.distinct().join(classes, "unit"), width), purpose)
+
+    sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("unit")), "jaccard-star-sets")
     links = step(check_pairs(stars, sets, percent), "jaccard-star-links")
     part = components(links)
 
     # groups: pieces of components; single units are groups of one
-    units = shared.join(part.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    units = matrix.select("unit").distinct().join(part.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     sizes = units.groupBy("component").agg(F.count("*").alias("size"))
     pieces = F.pmod(F.xxhash64("unit"), F.ceil(F.col("size") / group_size))
     members = step(units.join(sizes, "component").withColumn("group", F.xxhash64("component", pieces)).select("unit", "component", "group"), "jaccard-groups")
@@ -239,9 +242,11 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, group_size:
     cells = step(cells, "jaccard-cells")
     other = cells.select("token", *[F.col(c).alias(f"o_{c}") for c in ("group", "component", "low", "high")])
     met = cells.join(other, "token").where(f"group < o_group and component <> o_component and 100 * o_high >= {percent} * low and 100 * high >= {percent} * o_low")
-    bound = met.groupBy(F.col("group").alias("g1"), F.col("o_group").alias("g2")).agg(F.count("*").alias("c"), F.min(F.least("low", "o_low")).alias("low")).where("c >= 1 + low div 50")
+    bound = met.groupBy(F.col("group").alias("g1"), F.col("o_group").alias("g2")).agg(F.count("*").alias("c"), F.min(F.least("low", "o_low")).alias("low")).where("c >= 1 + low div 10")
     pairs = step(bound.select("g1", "g2"), "jaccard-group-pairs")
-    more = open_groups(pairs, members, sets, percent)
+    met_groups = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
+    sets = sets_of(members.join(met_groups, "group", "left_semi").select("unit"), "jaccard-group-sets")
+    more = step(open_groups(pairs, members, sets, percent), "jaccard-group-links")
     full = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     # back to documents: the smallest id of a component
