@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, egojoin, mixing, pii, qda, sptok, tgm, tokcount
+from . import balltree, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
 from .steps import table
 
 
@@ -34,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokcount.report(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return sufdedup.report(table(spark, sf, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return qda.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
     "op6_top_k": op6_top_k,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
