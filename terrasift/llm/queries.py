@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
+from . import balltree, chaining, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
 from .steps import table
 
 
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf, "documents"))
+
+
 def op3_embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return egojoin.near_duplicates(table(spark, sf, "embeddings"))
 
@@ -52,6 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_passages": op2_passages,
     "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
