@@ -112,7 +112,8 @@ class MixPlan:
 
     @property
     def slots(self) -> np.ndarray:
-        return np.minimum(np.array([math.floor(t / self.block + 0.5) for t in self.target], np.int64), 3 * self.blocks)
+        """Targets in blocks of the source's mean length (its last block may be short): whole turns give exactly its size."""
+        return np.array([math.floor(t * b / s + 0.5) if s else 0 for t, b, s in zip(self.target, self.blocks.tolist(), self.size, strict=True)], np.int64)
 
     @property
     def shards(self) -> int:
