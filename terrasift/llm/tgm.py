@@ -9,13 +9,15 @@ group's token union covers enough of the query, so most groups are never opened.
    Two units at the threshold share at least ``need`` of their first tokens in that order
    (``need`` grows with the set), so only those enter the matrix, and passages that many
    documents repeat come last and rarely do.
-3. Each unit is compared with the one leader that shares most matrix tokens with it.
-   That is one pair a unit however large a group of near copies is; the components of
-   the links found are the groups, cut into pieces of at most ``group_size`` units.
-4. Matrix rows (token, group) meet on the token. Pairs of groups of different components
-   with too few common tokens are dropped by the bound. In the others, each query is
-   bounded against the token union of the other group, and only then its members are
-   compared exactly. Pairs inside a component cannot change it and are left out.
+3. Each unit is compared with the one leader that shares most matrix tokens with it; the
+   leader of a token is the unit whose whole set is most frequent, in a family of near
+   copies the one closest to the rest. That is one pair a unit however large the family.
+4. Groups hold about ``group_size`` similar units: pieces of the components of the links
+   found, and small components that share a leader. Matrix rows (token, group) meet on the
+   token; pairs of groups with too few common tokens, or of one component, are dropped.
+5. In the other pairs each query is bounded against the token union of the other group,
+   and only then its members are compared exactly. Pairs inside a component cannot change
+   it and are left out.
 
 Every pair of units at the threshold is therefore either compared or already connected.
 A link needs 100 * |intersection| >= percent * |union| on the 64-bit shingle hashes.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .components import components, forest
-from .flat import mix, ragged_take, spread, text_blocks
+from .flat import mix, ragged_take, row_sums, spread, text_blocks
 from .shingles import shingle_sets
 from .steps import step
 
@@ -103,7 +105,11 @@ def frequency_levels(scanned: DataFrame) -> np.ndarray:
 
 
 def matrix_tokens(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, unit, n) for the first tokens of every set; a task gives each unit once."""
+    """(token, unit, n, common) for the first tokens of every set; a task gives each unit once.
+
+    ``common`` is the mean frequency level of the unit's whole set. In a family of near
+    copies it is highest where least was changed, so it finds the text closest to the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -120,12 +126,14 @@ def matrix_tokens(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
                     seen.clear()
                 keys, unit, n = ragged_take(keys, bound[:-1][new], n[new]), unit[new], n[new]
                 row, place = spread(n)
-                order = np.lexsort((keys, levels[(keys & np.uint64(SKETCH - 1)).astype(np.int64)], row))
+                level = levels[(keys & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.lexsort((keys, level, row))
+                common = (64 * row_sums(level.astype(np.int64), np.r_[0, np.cumsum(n)]) // np.maximum(n, 1)).astype(np.int32)
                 keep = place < first_tokens(n, percent)[row]  # lexsort keeps rows together, so places still hold
                 row = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order][keep].view(np.int64)), pa.array(unit[row]), pa.array(n[row].astype(np.int32))], names=["token", "unit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order][keep].view(np.int64)), pa.array(unit[row]), pa.array(n[row].astype(np.int32)), pa.array(common[row])], names=["token", "unit", "n", "common"])
 
-    return docs.select("text").mapInArrow(run, "token long, unit long, n int")
+    return docs.select("text").mapInArrow(run, "token long, unit long, n int, common int")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -173,33 +181,83 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def open_group(side: np.ndarray, unit: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the two groups of a pair, as a forest: queries of one side against the other's union, then its members."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+def open_group(side: np.ndarray, unit: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different components of the two sides of a pair of groups, as a forest.
+
+    Side 0 queries side 1 (side 2: one group with itself). A query whose overlap with the
+    other side's token union is too small is dropped; the rest meet the members as rows of
+    a token matrix.
+    """
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    none = np.zeros(0, np.int64)
     if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     union = np.unique(np.concatenate([sets[j] for j in right]))
-    a, b = [], []
-    for i in left:
-        if 100 * _overlap(sets[i], union) < percent * len(sets[i]):
-            continue  # no member can hold enough of the query
-        for j in right:
-            if similar(sets[i], sets[j], percent):
-                a.append(unit[i])
-                b.append(unit[j])
-    return forest(np.array(a, np.int64), np.array(b, np.int64)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    size = np.array([len(s) for s in sets])
+    left = left[[100 * _overlap(sets[i], union) >= percent * size[i] for i in left]]
+    if not len(left):
+        return none, none
+
+    def rows(which):
+        out = np.zeros((len(which), len(union)), np.float32)
+        for r, i in enumerate(which):
+            at = np.minimum(np.searchsorted(union, sets[i]), len(union) - 1)
+            out[r, at[union[at] == sets[i]]] = 1
+        return out
+
+    common = np.rint(rows(left) @ rows(right).T).astype(np.int64)
+    hit = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+    hit &= part[left][:, None] != part[right][None, :]
+    i, j = np.nonzero(hit)
+    return forest(unit[left[i]], unit[right[j]])
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in pairs (g1, g2) of groups; a task holds one pair, at most two groups, at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = open_group(pdf["side"].to_numpy(), pdf["unit"].to_numpy(), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent)
+        a, b = open_group(pdf["side"].to_numpy(), pdf["unit"].to_numpy(), pdf["component"].to_numpy(), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent)
         return pd.DataFrame({"a": a, "b": b})
 
-    own = members.select("group", "unit").join(sets.select("unit", "tokens"), "unit")
-    sides = pairs.select("g1", "g2", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g1").alias("group")), F.struct(F.lit(1).alias("side"), F.col("g2").alias("group")))).alias("x")).select("g1", "g2", "x.side", "x.group")
-    return sides.join(own, "group").groupBy("g1", "g2").applyInPandas(run, "a long, b long")
+    own = members.select("group", "unit", "component").join(sets.select("unit", "tokens"), "unit")
+    side = lambda k, g: F.struct(F.lit(k).alias("side"), F.col(g).alias("group"))
+    sides = F.when(F.col("g1") == F.col("g2"), F.array(side(2, "g1"))).otherwise(F.array(side(0, "g1"), side(1, "g2")))
+    return pairs.select("g1", "g2", F.explode(sides).alias("x")).select("g1", "g2", "x.side", "x.group").join(own, "group").groupBy("g1", "g2").applyInPandas(run, "a long, b long")
+
+
+def grouped(units: DataFrame, stars: DataFrame, size: int) -> DataFrame:
+    """(unit, component, bundle, group): groups of about ``size`` similar units.
+
+    A component of more units is a bundle of groups. Smaller ones are put together with
+    those that share a leader, linked or not; each such group is a bundle of its own.
+    """
+    family = components(stars).select(F.col("node").alias("unit"), F.col("component").alias("family"))
+    sizes = units.groupBy("component").agg(F.count("*").alias("in_component"))
+    rows = units.join(sizes, "component").join(family, "unit", "left").withColumn("family", F.when(F.col("in_component") > size, F.col("component")).otherwise(F.coalesce("family", "unit")))
+    rows = rows.withColumn("big", F.col("in_component") > size)
+    counts = rows.groupBy("family", "big").agg(F.count("*").alias("in_family"))
+    rows = rows.join(counts, ["family", "big"])
+    piece = F.pmod(F.when(F.col("big"), F.xxhash64("unit")).otherwise(F.xxhash64("component")), F.ceil(F.col("in_family") / size))
+    rows = rows.withColumn("group", F.xxhash64("family", "big", piece))
+    return rows.select("unit", "component", F.when(F.col("big"), F.xxhash64("component", F.lit(True))).otherwise(F.col("group")).alias("bundle"), "group")
+
+
+def group_pairs(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g1, g2), g1 = g2 included, that share enough matrix tokens for a link between two components.
+
+    Bundles meet first, so a large component costs one row a token and its groups are
+    looked at only where another component has the token.
+    """
+    agg = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("c0").alias("c0"), F.max("c1").alias("c1")]
+    cells = matrix.select("token", "unit", F.col("n").alias("low"), F.col("n").alias("high")).join(members.withColumn("c0", F.col("component")).withColumn("c1", F.col("component")), "unit").groupBy("token", "bundle", "group").agg(*agg)
+    cells = step(cells, "jaccard-cells")
+    bundles = cells.groupBy("token", "bundle").agg(*agg)
+    named = lambda df, pre, key: df.select("token", *[F.col(c).alias(pre + c) for c in (*key, "low", "high", "c0", "c1")])
+    apart = f"100 * y_high >= {percent} * x_low and 100 * x_high >= {percent} * y_low and not (x_c0 = x_c1 and y_c0 = y_c1 and x_c0 = y_c0)"
+    met = named(bundles, "x_", ["bundle"]).join(named(bundles, "y_", ["bundle"]), "token").where(f"x_bundle <= y_bundle and {apart}").select("token", "x_bundle", "y_bundle")
+    both = met.join(named(cells, "x_", ["bundle", "group"]), ["token", "x_bundle"]).join(named(cells, "y_", ["bundle", "group"]), ["token", "y_bundle"]).where(f"(x_bundle < y_bundle or x_group <= y_group) and {apart}")
+    found = both.groupBy(F.col("x_group").alias("g1"), F.col("y_group").alias("g2")).agg(F.count("*").alias("c"), F.min(F.least("x_low", "y_low")).alias("low"))
+    return found.where("c >= 1 + low div 10").select("g1", "g2")
 
 
 def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, group_size: int = 64) -> DataFrame:
@@ -217,8 +275,8 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, group_size:
     # the matrix: tokens that at least two units share
     at = Window.partitionBy("token")
     tokens = matrix_tokens(docs, levels, width, percent).repartition("token").dropDuplicates(["token", "unit"])
-    lead = F.min(F.struct("unit", "n")).over(at)
-    matrix = tokens.withColumn("lead", lead).withColumn("last", F.max("unit").over(at)).where("lead.unit < last")
+    lead = F.max(F.struct("common", "unit", "n")).over(at)
+    matrix = tokens.withColumn("lead", lead).withColumn("least", F.min("unit").over(at)).withColumn("last", F.max("unit").over(at)).where("least < last")
     matrix = step(matrix.select("token", "unit", "n", F.col("lead.unit").alias("lead"), F.col("lead.n").alias("lead_n")), "jaccard-matrix")
 
     # one leader a unit: the one with most common tokens
@@ -233,17 +291,9 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, group_size:
     links = step(check_pairs(stars, sets, percent), "jaccard-star-links")
     part = components(links)
 
-    # groups: pieces of components; single units are groups of one
     units = matrix.select("unit").distinct().join(part.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    sizes = units.groupBy("component").agg(F.count("*").alias("size"))
-    pieces = F.pmod(F.xxhash64("unit"), F.ceil(F.col("size") / group_size))
-    members = step(units.join(sizes, "component").withColumn("group", F.xxhash64("component", pieces)).select("unit", "component", "group"), "jaccard-groups")
-    cells = matrix.select("token", "unit", "n").join(members, "unit").groupBy("token", "group", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    cells = step(cells, "jaccard-cells")
-    other = cells.select("token", *[F.col(c).alias(f"o_{c}") for c in ("group", "component", "low", "high")])
-    met = cells.join(other, "token").where(f"group < o_group and component <> o_component and 100 * o_high >= {percent} * low and 100 * high >= {percent} * o_low")
-    bound = met.groupBy(F.col("group").alias("g1"), F.col("o_group").alias("g2")).agg(F.count("*").alias("c"), F.min(F.least("low", "o_low")).alias("low")).where("c >= 1 + low div 10")
-    pairs = step(bound.select("g1", "g2"), "jaccard-group-pairs")
+    members = step(grouped(units, stars, group_size), "jaccard-groups")
+    pairs = step(group_pairs(matrix, members, percent), "jaccard-group-pairs")
     met_groups = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
     sets = sets_of(members.join(met_groups, "group", "left_semi").select("unit"), "jaccard-group-sets")
     more = step(open_groups(pairs, members, sets, percent), "jaccard-group-links")

@@ -66,14 +66,13 @@ def test_jaccard_at_the_threshold_and_across_groups(spark):
     assert sorted(map(tuple, tgm.join_classes(docs, group_size=3).collect())) == jaccard_want(rows)
 
 
-def test_opening_needs_the_bound(monkeypatch):
+def test_opening_a_pair_of_groups():
     sets = [np.arange(0, 50, dtype=np.uint64), np.arange(100, 150, dtype=np.uint64), np.arange(2, 52, dtype=np.uint64)]
-    compared = []
-    monkeypatch.setattr(tgm, "similar", lambda a, b, p, f=tgm.similar: compared.append(1) or f(a, b, p))
-    a, b = tgm.open_group(np.array([0, 1]), np.array([1, 2]), sets[:2], 80)
-    assert not len(a) and not compared
-    a, b = tgm.open_group(np.array([0, 1]), np.array([1, 3]), [sets[0], sets[2]], 80)
-    assert (a.tolist(), b.tolist()) == ([3], [1]) and compared
+    go = lambda side, which, part: [x.tolist() for x in tgm.open_group(np.array(side), np.array(which), np.array(part), [sets[i] for i in which], 80)]
+    assert go([0, 1], [0, 1], [0, 1]) == [[], []]  # the union bound
+    assert go([0, 1], [0, 2], [0, 2]) == [[2], [0]]
+    assert go([0, 1], [0, 2], [7, 7]) == [[], []]  # one component already
+    assert go([2, 2, 2], [0, 1, 2], [0, 1, 2]) == [[2], [0]]  # a group with itself
 
 
 def test_components(spark):
