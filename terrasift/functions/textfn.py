@@ -45,6 +45,16 @@ def hash_uniform(token, step, seed, salt) -> Column:
     return mix(x, 16).cast("double") / float(_MASK)
 
 
+def point_json(lon, lat) -> Column:
+    """[lon,lat] at six decimals, without a negative zero, as JSON."""
+
+    def number(v):
+        r = F.round(v, 6)
+        return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+    return F.to_json(F.array(number(_c(lon)), number(_c(lat))))
+
+
 def geometry_hash(points) -> Column:
     """SHA-256 of an array of segments, each an array of struct<lon, lat, ...>, at six decimals.
 

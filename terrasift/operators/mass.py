@@ -152,12 +152,18 @@ def eligible_zones(zones: DataFrame, limit: float = 0.02) -> DataFrame:
     return zones.withColumn("eligible", ok).withColumn("access", F.when(ok, "REVIEW_REQUIRED").otherwise("AGENCY_ONLY"))
 
 
+def significant(value: Column | str) -> Column:
+    """A double to twelve significant digits."""
+    return F.format_string("%.11e", value).cast("double")
+
+
 def rank_zones(zones: DataFrame) -> DataFrame:
     """Rank over all 1,024 zones of a mission by score, then zone id; absent zones count as score zero.
 
-    Distributed sums differ in the last digits from run to run, so scores equal to twelve decimals tie.
+    Distributed sums differ in the last digits from run to run, so scores equal to twelve significant
+    digits tie, however small they are.
     """
-    zones = zones.withColumn("score", F.round("score", 12))
+    zones = zones.withColumn("score", significant("score"))
     up = F.col("score") > 0
     by_score = W.partitionBy("mission_id").orderBy(F.desc("score"), "zone_id")
     by_id = W.partitionBy("mission_id").orderBy("zone_id").rowsBetween(W.unboundedPreceding, -1)

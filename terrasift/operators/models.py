@@ -168,13 +168,19 @@ def dense_index(df: DataFrame, key: str, salt: str = "") -> DataFrame:
 
 
 def hash_split(people: DataFrame, key: str = "person", salt: str = "geolife-v1:", pad: int = 3) -> DataFrame:
-    """60/20/20 split of people in the order of a salted hash."""
-    p = people.select(key).distinct().withColumn("__name", F.lpad(F.col(key).cast("string"), pad, "0"))
+    """60/20/20 split of people in the order of a salted hash of their name, padded to ``pad`` digits and never cut."""
+    name = F.col(key).cast("string")
+    p = people.select(key).distinct().withColumn("__name", F.when(F.length(name) < pad, F.lpad(name, pad, "0")).otherwise(name))
     i = dense_index(p, "__name", salt)
     a, b = F.floor(F.col("total") * 0.6), F.floor(F.col("total") * 0.8)
     return i.select(key, F.when(F.col("idx") < a, "train").when(F.col("idx") < b, "validation").otherwise("test").alias("split"))
 
 
+def split_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
+    """Groups with rows in more than one fold; empty when all folds are clean."""
+    return df.groupBy(group).agg(F.count_distinct(fold).alias("folds")).where(F.col("folds") > 1)
+
+
 def disjoint(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys present in both sides; empty when a split is clean."""
     return train.select(*keys).intersect(test.select(*keys))
@@ -268,12 +274,13 @@ def group_fold(group: Column, k: int = 5) -> Column:
     return (F.conv(F.substring(F.sha2(group.cast("string"), 256), 1, 8), 16, 10).cast("bigint") % k).cast("int")
 
 
-def fit_interval(df: DataFrame, folds: int | None = None, rounds: int = 9, points: int = 9) -> DataFrame:
+def fit_interval(df: DataFrame, folds: int | None = None, width: float = 1e-6, points: int = 9) -> DataFrame:
     """Bounded lognormal fit to (lower, upper] distances by refining a parameter grid, all folds in one pass per round.
 
     Without ``folds`` one fit on every row (fold -1). With ``folds`` the rows carry a ``fold`` column and
     fit f uses the rows of the other folds. The mean likelihood has one maximum in (mu, sigma), so the
-    grid closes in on it; only one parameter pair per fold comes to the driver.
+    grid closes in on it until its steps are narrower than ``width``; only one parameter pair per fold
+    comes to the driver.
     """
     spark = df.sparkSession
     ids = list(range(folds)) if folds else [-1]
@@ -282,7 +289,7 @@ def fit_interval(df: DataFrame, folds: int | None = None, rounds: int = 9, point
     rows = cut_lineage(fan_out(rows, "lower", "upper"), "intervals")
     best = {f: ((sum(MU_BOUNDS) / 2), (sum(SIGMA_BOUNDS) / 2), 0.0) for f in ids}
     half = [(MU_BOUNDS[1] - MU_BOUNDS[0]) / 2, (SIGMA_BOUNDS[1] - SIGMA_BOUNDS[0]) / 2]
-    for _ in range(rounds):
+    while max(half) * 2 / (points - 1) > width:
         pts = []
         for f in ids:
             mu0, sg0, _ = best[f]
@@ -437,24 +444,29 @@ def fold_summary(pred: DataFrame, folds: DataFrame, min_train: int = 20) -> Data
 
 
 # ---------------------------------------------------------------- horizon scores
-MAX_SAMPLES = 65_536
+SAMPLE_CHUNK = 2_048
 
 
 def energy_score(targets: DataFrame, samples: DataFrame, horizon: str = "horizon") -> DataFrame:
     """Energy score of every target against two independent position samples of its horizon.
 
-    ``samples`` has x, y and an independent twin x2, y2; a horizon has at most 65,536 of them (checked),
-    so they travel as one array per horizon and no target row is multiplied.
+    ``samples`` has x, y and an independent twin x2, y2, any number per horizon. Equal positions become
+    one with a weight, and travel in chunks of about ``SAMPLE_CHUNK``: distinct targets meet each chunk of
+    their horizon once, and the chunks' sums add up map-side.
     """
-    s = samples.groupBy(horizon).agg(
-        F.count(F.lit(1)).alias("__n"), F.collect_list(F.struct("x", "y")).alias("__s"), (F.avg(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))) / 2).alias("__half"),
-        F.percentile(F.hypot("x", "y"), F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95))).alias("__r"))
-    s = s.withColumn("__s", F.when(F.col("__n") <= MAX_SAMPLES, F.col("__s")).otherwise(F.raise_error(F.lit("too many samples")).cast("array<struct<x:double,y:double>>")))
-    t = targets.join(F.broadcast(s), horizon)
-    total = F.aggregate("__s", F.lit(0.0), lambda acc, p: acc + F.hypot(p["x"] - F.col("tx"), p["y"] - F.col("ty")))
+    places = samples.groupBy(horizon, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    per = places.groupBy(horizon).agg(F.ceil(F.count(F.lit(1)) / SAMPLE_CHUNK).alias("__c"))
+    chunk = F.pmod(F.xxhash64("x", "y"), F.col("__c"))
+    chunks = places.join(per, horizon).groupBy(horizon, chunk.alias("__k")).agg(F.collect_list(F.struct("x", "y", "w")).alias("__s"))
+    total = F.aggregate("__s", F.lit(0.0), lambda acc, p: acc + p["w"] * F.hypot(p["x"] - F.col("tx"), p["y"] - F.col("ty")))
+    at = targets.select(horizon, "tx", "ty").distinct()
+    sums = at.join(chunks, horizon).groupBy(horizon, "tx", "ty").agg(F.sum(total).alias("__total"))
+    facts = samples.groupBy(horizon).agg(F.count(F.lit(1)).alias("__n"), (F.avg(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))) / 2).alias("__half"))
+    radii = exact_percentiles(samples.withColumn("__d", F.hypot("x", "y")), [horizon], "__d", {"__r50": 0.5, "__r80": 0.8, "__r95": 0.95})
+    t = targets.join(facts.join(radii, horizon), horizon).join(sums, [horizon, "tx", "ty"])
     dist = F.hypot("tx", "ty")
-    return t.withColumn("model_energy", total / F.col("__n") - F.col("__half")).withColumn("stationary_energy", dist).withColumn(
-        "in50", dist <= F.col("__r")[0]).withColumn("in80", dist <= F.col("__r")[1]).withColumn("in95", dist <= F.col("__r")[2]).drop("__s", "__n", "__half", "__r")
+    out = t.withColumn("model_energy", F.col("__total") / F.col("__n") - F.col("__half")).withColumn("stationary_energy", dist)
+    return out.withColumns({f"in{q}": dist <= F.col(f"__r{q}") for q in (50, 80, 95)}).drop("__total", "__n", "__half", "__r50", "__r80", "__r95")
 
 
 def horizon_report(scored: DataFrame, horizon: str = "horizon") -> DataFrame:

@@ -78,11 +78,14 @@ def exposure(paths: DataFrame, steps: DataFrame, scale: Column | float = 1.0, st
 
     ``steps`` lists the walked edges of a plan with the cells swept at both ends (``cells_a``,
     ``cells_b``). Half an edge's effort falls on each end, at the frame nearest its midpoint time.
-    Efforts are summed per (plan, frame, cell) before the paths are looked up.
+    A step past the last frame of its mission meets the last frame. Efforts are summed per
+    (plan, frame, cell) before the paths are looked up.
     """
+    last = paths.groupBy("mission_id").agg(F.max("frame_idx").alias("__last"))  # a row per mission
+    steps = steps.join(last, "mission_id")
     sc = scale if isinstance(scale, Column) else F.lit(scale)
     mid = (F.col("arrive_s") + F.col("leave_s")) / 2
-    e = steps.select("mission_id", "plan_id", regular_frame(mid, step_s).alias("frame_idx"), F.explode(F.concat("cells_a", "cells_b")).alias("cell"), (sc / (2 * G.CELL)).alias("unit"))
+    e = steps.select("mission_id", "plan_id", F.least(regular_frame(mid, step_s), F.col("__last")).alias("frame_idx"), F.explode(F.concat("cells_a", "cells_b")).alias("cell"), (sc / (2 * G.CELL)).alias("unit"))
     e = e.where(F.col("cell") >= 0).groupBy("mission_id", "plan_id", "frame_idx", "cell").agg(F.sum("unit").alias("effort"))
     h = _halves(paths, ["mission_id", "scenario", "path_id", "frame_idx", "weight"])
     j = h.join(e, ["mission_id", "frame_idx", "cell"])
@@ -205,10 +208,10 @@ def stratified_sample(weights: DataFrame, k: int, seed: int = 42) -> DataFrame:
         "mission_id", "scenario", "path_id", "draws", (F.col("__t") * F.col("draws") / k).alias("weight"))
 
 
-def quota(populations: DataFrame, budget: int, key: str = "mission_id", cap: int = 131072) -> DataFrame:
+def quota(populations: DataFrame, budget: int, key: str = "mission_id", cap: int | None = None) -> DataFrame:
     """Water-fill a budget over ordered populations.
 
-    The level is the largest L <= cap with sum(min(n, L)) <= budget. With the populations sorted, a
+    The level is the largest L (at most ``cap``, where given) with sum(min(n, L)) <= budget. With the populations sorted, a
     running sum says where the level falls; what is left goes one each, in order, to those not yet full.
     """
     w = W.partitionBy(key)
@@ -217,9 +220,10 @@ def quota(populations: DataFrame, budget: int, key: str = "mission_id", cap: int
     x = x.withColumn("left", F.count(F.lit(1)).over(w) - F.row_number().over(asc) + 1)
     level = F.floor((F.lit(budget) - F.col("below")) / F.col("left"))
     # the level is set by the first population that does not fit whole
-    x = x.withColumn("lv", F.max(F.when(level < F.col("n"), level)).over(w)).withColumn("level", F.least(F.coalesce("lv", F.lit(cap)), F.lit(cap)))
+    top = F.lit(cap if cap is not None else (1 << 62)).cast("bigint")
+    x = x.withColumn("lv", F.max(F.when(level < F.col("n"), level)).over(w)).withColumn("level", F.least(F.coalesce("lv", top), top))
     x = x.withColumn("base", F.least("n", "level")).withColumn("spare", F.lit(budget) - F.sum(F.least("n", "level")).over(w))
-    want = (F.col("base") < F.least(F.col("n"), F.lit(cap))).cast("bigint")
+    want = (F.col("base") < F.least(F.col("n"), top)).cast("bigint")
     x = x.withColumn("turn", F.sum(want).over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     extra = F.when((want == 1) & (F.col("turn") <= F.col("spare")), 1).otherwise(0)
     return x.select(key, "pos", "n", (F.col("base") + extra).cast("bigint").alias("quota"))
@@ -268,16 +272,19 @@ def finish_times(queries: DataFrame, bins: DataFrame, key: str = "mission_id", b
     """Clock time at which a light-weighted amount is reached.
 
     A bin adds at most its length, so it spans two buckets of the integral at most, and a query finds
-    its bin by an equi join on the bucket.
+    its bin by an equi join on the bucket. Every query row has one result row; an amount of zero or less
+    is reached at the start.
     """
     at = lambda c: floor_long(F.col(c) / bucket)
-    last = bins.groupBy(key).agg(F.max("hi").alias("__top"), F.max("t1").alias("__end"), F.max_by("rate", "bin").alias("__rate"))
+    last = bins.groupBy(key).agg(F.max("hi").alias("__top"), F.max("t1").alias("__end"), F.max_by("rate", "bin").alias("__rate"), F.min("t0").alias("__start"))
     b = bins.select(key, "lo", "hi", "rate", "t0", F.explode(F.sequence(at("lo"), at("hi"))).alias("__b"))
     q = queries.withColumn("__b", at("target_s")).join(last, key)
-    j = q.join(b, [key, "__b"], "left").where((F.col("target_s") > F.col("__top")) | ((F.col("target_s") > F.col("lo")) & (F.col("target_s") <= F.col("hi"))))
+    # the half-open bins do not overlap: at most one holds an amount
+    b = b.withColumnsRenamed({key: "__key", "__b": "__bucket"})
+    j = q.join(b, (q[key] == F.col("__key")) & (q["__b"] == F.col("__bucket")) & (F.col("target_s") > F.col("lo")) & (F.col("target_s") <= F.col("hi")), "left")
     over = F.col("target_s") > F.col("__top")
-    finish = F.when(over, F.col("__end") + (F.col("target_s") - F.col("__top")) / F.col("__rate")).otherwise(F.col("t0") + (F.col("target_s") - F.col("lo")) / F.col("rate"))
-    return j.select(*queries.columns, finish.alias("finish_s")).distinct()
+    finish = F.when(F.col("target_s") <= 0, F.col("__start")).when(over, F.col("__end") + (F.col("target_s") - F.col("__top")) / F.col("__rate")).otherwise(F.col("t0") + (F.col("target_s") - F.col("lo")) / F.col("rate"))
+    return j.select(*queries.columns, finish.alias("finish_s"))
 
 
 def phase_minutes(bins: DataFrame, key: str = "mission_id", step: int = 60) -> DataFrame:

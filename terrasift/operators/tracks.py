@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, movement, textfn
 from ..functions import grid as G
@@ -12,8 +16,6 @@ from ..functions.geo import floor_long
 from ..session import cut_lineage
 from .ordered import ordered_scan, with_previous
 
-MAX_PATH_POINTS = 20_000  # a recorded file with more points is refused as a whole
-
 
 def consecutive(fixes: DataFrame, key: str = "track_id", order: str = "seq", block: int | None = None) -> DataFrame:
     """Edges between consecutive fixes: dt, dist, speed and grade; the first fix of a track has none.
@@ -209,27 +211,49 @@ def monotone(fixes: DataFrame, key: str = "track_id", order: str = "seq", block:
 def path_hashes(fixes: DataFrame, key: str = "track_id", order: str = "seq") -> DataFrame:
     """SHA-256 of each track's rounded coordinates; times do not take part.
 
-    Tracks over the per-file limit are refused before any path is gathered, so a gathered path is
-    at most ``MAX_PATH_POINTS`` long.
+    The digest is updated point by point over the sorted rows of a partition, so a track of any length
+    is read once and never gathered.
     """
-    small = fixes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_PATH_POINTS).select(key)
-    pts = fixes.join(small, key, "left_semi").select(key, F.struct(F.col(order), "lon", "lat").alias("p"))
-    path = pts.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("path"))
-    return path.select(key, textfn.geometry_hash(F.array("path")).alias("geometry_sha"))
+    pts = fixes.select(F.col(key), F.col(order).alias("__o"), textfn.point_json("lon", "lat").alias("__p"))
+    schema = T.StructType([fixes.schema[key], T.StructField("geometry_sha", T.StringType())])
+
+    def digest(batches):
+        now, sha = None, None
+        for batch in batches:
+            keys = batch[key]
+            edges = [0, *(keys.ne(keys.shift()).to_numpy().nonzero()[0].tolist()[1 if len(keys) else 0 :]), len(keys)]
+            done = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                text = ",".join(batch["__p"].iloc[a:b])
+                if sha is not None and keys.iloc[a] == now:
+                    sha.update(("," + text).encode())
+                    continue
+                if sha is not None:
+                    sha.update(b"]]")
+                    done.append((now, sha.hexdigest()))
+                now, sha = keys.iloc[a], hashlib.sha256(("[[" + text).encode())
+            if done:
+                yield pd.DataFrame(done, columns=[key, "geometry_sha"])
+        if sha is not None:
+            sha.update(b"]]")
+            yield pd.DataFrame([(now, sha.hexdigest())], columns=[key, "geometry_sha"])
+
+    return pts.repartition(key).sortWithinPartitions(key, "__o").select(key, "__p").mapInPandas(digest, schema)
 
 
 # ---------------------------------------------------------------- dedupe
-def first_wins(df: DataFrame, person: str, time: str, coord: list[str], order: str, max_rounds: int = 50) -> DataFrame:
+def first_wins(df: DataFrame, person: str, time: str, coord: list[str], order: str) -> DataFrame:
     """Keep rows in ``order``: one per (person, time), and no coordinate window of another person.
 
     The rule is sequential: a refused row blocks nobody. Each round settles every row that is first
-    in both of its groups, drops what those rows block, and repeats on the rest.
+    in both of its groups, drops what those rows block, and repeats on the rest; the first undecided row
+    always settles, so it ends. A round writes only what it settled and what is left.
     """
     ck = F.sha2(F.concat_ws("|", *[F.round(c, 6).cast("string") for c in coord]), 256)
     df = cut_lineage(df, "first-wins")
     undecided = df.select(order, person, time, ck.alias("__ck"))
     kept: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         by_time = undecided.groupBy(person, time).agg(F.min(order).alias("__t"))
         by_ck = undecided.groupBy("__ck").agg(F.min(order).alias("__c"))
         j = undecided.join(by_time, [person, time]).join(by_ck, "__ck")
@@ -240,14 +264,14 @@ def first_wins(df: DataFrame, person: str, time: str, coord: list[str], order: s
         else:
             mine = F.col(order) == F.col("__c")
         now = j.where((F.col(order) == F.col("__t")) & mine).select(order, person, time, "__ck")
-        kept = cut_lineage(now if kept is None else kept.unionByName(now), "first-wins")
+        now = cut_lineage(now, "first-wins")
+        kept = now if kept is None else kept.unionByName(now)
         owner = kept.select("__ck", F.col(person).alias("__owner")).distinct()
         rest = undecided.join(kept.select(person, time).distinct(), [person, time], "left_anti")
         rest = rest.join(owner, "__ck", "left").where(F.col("__owner").isNull() | (F.col("__owner") == F.col(person))).drop("__owner")
         undecided = cut_lineage(rest, "first-wins")
         if undecided.isEmpty():
             return df.join(kept.select(order), order, "left_semi")
-    raise RuntimeError("first_wins did not settle")
 
 
 # ---------------------------------------------------------------- audits

@@ -143,7 +143,7 @@ cte("zone_scored", """SELECT a.mission_id, a.zone_id, coalesce(prior_poa,0) AS p
  FROM zone_all a LEFT JOIN zone_mass USING (mission_id, zone_id) LEFT JOIN zone_hazard USING (mission_id, zone_id) LEFT JOIN zone_track USING (mission_id, zone_id)""")
 cte("zones", """SELECT *, CASE WHEN hazard_share<0.02 THEN 'REVIEW_REQUIRED' ELSE 'AGENCY_ONLY' END AS access,
  chr((65+(zone_id//32)//26)::INT)||lpad(((zone_id//32)%26+1)::VARCHAR,2,'0')||'-'||lpad((zone_id%32+1)::VARCHAR,2,'0') AS label FROM
- (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY round(score,12) DESC, zone_id) AS rank FROM zone_scored) WHERE prior_poa>=1e-7 OR has_track""")
+ (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY printf('%.11e', score)::DOUBLE DESC, zone_id) AS rank FROM zone_scored) WHERE prior_poa>=1e-7 OR has_track""")
 
 
 def zones(spark, sf):

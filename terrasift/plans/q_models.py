@@ -83,7 +83,7 @@ def a24m(spark, sf):
 
 
 @query("w10_hash_split", """SELECT person, CASE WHEN rn<=floor(n*0.6) THEN 'train' WHEN rn<=floor(n*0.8) THEN 'validation' ELSE 'test' END AS split FROM
- (SELECT person, row_number() OVER (ORDER BY sha256('geolife-v1:'||lpad(person::VARCHAR,3,'0'))) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_id AS person FROM events))""")
+ (SELECT person, row_number() OVER (ORDER BY sha256('geolife-v1:'||CASE WHEN length(person::VARCHAR)<3 THEN lpad(person::VARCHAR,3,'0') ELSE person::VARCHAR END)) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_id AS person FROM events))""")
 def w10(spark, sf):
     return MD.hash_split(table(spark, sf, "events").select(F.col("user_id").alias("person")))
 
@@ -91,7 +91,7 @@ def w10(spark, sf):
 @query("u3_disjoint_folds", "SELECT 0::BIGINT AS shared_groups, (SELECT count(DISTINCT spatial_group) FROM cases) AS groups")
 def u3(spark, sf):
     c = cases(spark, sf).withColumn("fold", MD.group_fold(F.col("spatial_group")))
-    bad = MD.disjoint(c.where("fold = 0"), c.where("fold <> 0"), ["spatial_group"]).agg(F.count(F.lit(1)).alias("shared_groups"))
+    bad = MD.split_groups(c, "spatial_group").agg(F.count(F.lit(1)).alias("shared_groups"))
     return MD._one_row(bad, c.agg(F.count_distinct("spatial_group").alias("groups")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..operators import paths as P
+from ..operators.mass import significant
 from . import adapters as A
 from .registry import cte, query, table
 
@@ -221,9 +222,9 @@ def w17(spark, sf):
 cte("team_reach", "SELECT mission_id, zone_id, priority, t AS team_id, (zone_id*37+t*91)%1500 AS reach_s, 1200+t*300 AS budget_s, (zone_id+mission_id)%7=0 AS excluded FROM path_priority, (VALUES (1),(2),(3)) x(t)")
 
 
-@query("l2_candidates", "SELECT mission_id, team_id::BIGINT AS team_id, zone_id, position FROM (SELECT *, row_number() OVER (PARTITION BY mission_id, team_id ORDER BY round(priority,12) DESC, zone_id) AS position FROM team_reach WHERE 2*reach_s<budget_s AND NOT excluded) WHERE position<=32")
+@query("l2_candidates", "SELECT mission_id, team_id::BIGINT AS team_id, zone_id, position FROM (SELECT *, row_number() OVER (PARTITION BY mission_id, team_id ORDER BY printf('%.11e', priority)::DOUBLE DESC, zone_id) AS position FROM team_reach WHERE 2*reach_s<budget_s AND NOT excluded) WHERE position<=32")
 def l2(spark, sf):
-    z = P.priority(paths(spark, sf)).withColumn("priority", F.round("priority", 12)).withColumn("team_id", F.explode(F.array(*[F.lit(t).cast(BIG) for t in (1, 2, 3)])))
+    z = P.priority(paths(spark, sf)).withColumn("priority", significant("priority")).withColumn("team_id", F.explode(F.array(*[F.lit(t).cast(BIG) for t in (1, 2, 3)])))
     z = z.withColumn("reach_s", (F.col("zone_id") * 37 + F.col("team_id") * 91) % 1500).withColumn("excluded", (F.col("zone_id") + F.col("mission_id")) % 7 == 0)
     teams = z.select("mission_id", "team_id", (1200 + F.col("team_id") * 300).alias("budget_s")).distinct()
     return P.candidates(z, teams).select("mission_id", "team_id", "zone_id", F.col("position").cast(BIG).alias("position"))

@@ -27,11 +27,11 @@ def s1(spark, sf):
     t = F.when((F.col("k") % 11 == 0) & (F.col("seq") == F.col("last")), 1704067200).otherwise(F.col("t"))
     stamp = F.concat(F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss"), F.when((F.col("k") % 13 == 0) & (F.col("seq") == F.col("last")), "").otherwise("Z"))
     line = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('"><time>'), stamp, F.lit("</time></trkpt>"))
-    # a document holds at most 20,000 points; a longer track is not a valid file of this format
-    doc = pts.where(F.col("n") <= RD.MAX_POINTS).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("x")))).alias("p"))
-    doc = doc.select("k", F.concat(F.lit("<gpx><trk><trkseg>"), F.concat_ws("", F.col("p.x")), F.lit("</trkseg></trk></gpx>")).alias("value"))
+    # a line per point in order, between a first and a last line: no document is gathered
+    first, end = n.select("k", F.lit(-1).cast(BIG).alias("seq"), F.lit("<gpx><trk><trkseg>").alias("value")), n.select("k", (F.col("last") + 1).alias("seq"), F.lit("</trkseg></trk></gpx>").alias("value"))
+    doc = pts.select("k", F.col("seq").cast(BIG).alias("seq"), line.alias("value")).unionByName(first).unionByName(end)
     out = shared_dir(spark, "gpx")
-    doc.withColumn("track", F.col("k")).select("track", "value").repartition("track").write.partitionBy("track").text(out)
+    doc.withColumnRenamed("k", "track").repartition("track").sortWithinPartitions("track", "seq").select("track", "value").write.partitionBy("track").text(out)
     # part files have no .gpx suffix, so the scan is told to take any
     fixes, rejects = RD.read_gpx(spark, out, glob="part-*")
     key = lambda df: df.withColumn("file_key", F.regexp_extract("file", r"track=(\d+)", 1).cast(BIG))

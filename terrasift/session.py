@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}  # by application: step folders of sessions on one machine
+
 
 def local_session(cpus: int | str = "*", app: str = "terrasift") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -29,13 +32,16 @@ def local_session(cpus: int | str = "*", app: str = "terrasift") -> SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint root that the cluster names.
 
-    ``spark.checkpoint.dir`` wins. Only when the session names none (tests on one
-    machine) is a temporary folder used.
+    ``spark.checkpoint.dir`` names it. A session of one machine (local[n]: tests and the bench)
+    may go without; on a cluster a folder of one machine would lose steps, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL_ROOTS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL_ROOTS[context.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

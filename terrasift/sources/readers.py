@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, timefn
 
-MAX_GPX_BYTES, MIN_POINTS, MAX_POINTS = 2_000_000, 2, 20_000
+MIN_POINTS = 2
 
 GPX_SCHEMA = (
     "trk array<struct<trkseg:array<struct<trkpt:array<struct<_lat:double,_lon:double,time:string>>>>>>"
@@ -20,18 +20,20 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
-def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> tuple[DataFrame, DataFrame]:
+def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx", max_bytes: int | None = None, max_points: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(fixes, rejects) of GPX files.
 
-    A file is refused as a whole when it is too large, is not readable, has a point without a valid
-    position or an instant with an offset, has times that do not increase inside a segment, or does not
-    have 2 to 20,000 points. Segments of one point are dropped before counting. Files are small by this
-    rule, so everything about a file is settled with aggregates over its own rows.
+    A file is refused as a whole when it is not readable, has a point without a valid position or an
+    instant with an offset, has times that do not increase inside a segment, or has fewer than 2 points.
+    Segments of one point are dropped before counting. An upload rule may set ``max_bytes`` and
+    ``max_points``: files beyond them are refused with a reason too. Without, a file may be of any size
+    that one row can hold.
     """
     raw = spark.read.format("xml").option("rowTag", "gpx").option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option(
         "recursiveFileLookup", "true").schema(GPX_SCHEMA).load(path)
-    # a file over the size limit is refused below and never unfolded, so a file's points stay few
-    raw = raw.where(F.col("_metadata.file_size") <= MAX_GPX_BYTES).withColumn("file", F.col("_metadata.file_path"))
+    if max_bytes is not None:  # refused below and never unfolded
+        raw = raw.where(F.col("_metadata.file_size") <= max_bytes)
+    raw = raw.withColumn("file", F.col("_metadata.file_path"))
     segs = raw.select("file", F.posexplode("trk").alias("trk_no", "t")).select("file", "trk_no", F.posexplode("t.trkseg").alias("seg_no", "s"))
     segs = segs.where(F.size("s.trkpt") > 0).withColumn("many", F.size("s.trkpt") > 1)
     pts = segs.select("file", "many", (F.col("trk_no") * 1_000_000 + F.col("seg_no")).cast("bigint").alias("segment_no"), F.posexplode("s.trkpt").alias("point_no", "p"))
@@ -48,9 +50,10 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> tuple[DataF
         F.col("path").alias("file"), "length")
     key = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # the two scans write local paths differently
     verdict = listing.withColumn("k", key("file")).join(per.withColumn("k", key("file")).drop("file"), "k", "left")
+    above = lambda c, most: F.lit(False) if most is None else F.col(c) > most
     reason = (
-        F.when(F.col("length") > MAX_GPX_BYTES, "TOO_LARGE").when(F.col("points").isNull(), "NOT_READABLE").when(F.col("bad"), "INVALID_POINT")
-        .when(F.col("back"), "TIME_NOT_INCREASING").when(~F.col("points").between(MIN_POINTS, MAX_POINTS), "POINT_COUNT"))
+        F.when(above("length", max_bytes), "TOO_LARGE").when(F.col("points").isNull(), "NOT_READABLE").when(F.col("bad"), "INVALID_POINT")
+        .when(F.col("back"), "TIME_NOT_INCREASING").when((F.col("points") < MIN_POINTS) | above("points", max_points), "POINT_COUNT"))
     verdict = verdict.select("file", "k", reason.alias("reason"))
     good = verdict.where(F.col("reason").isNull()).select("k")
     fixes = pts.where("many").withColumn("k", key("file")).join(good, "k", "left_semi").select("file", "segment_no", "point_no", "lon", "lat", "ts")

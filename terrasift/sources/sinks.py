@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,14 +54,26 @@ def content_digest(df: DataFrame, name: str = "digest") -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a table under the digest of its content and point ``name`` at it; published bytes never change."""
+    """Write a table under the digest of its content and point ``name`` at it; published bytes never change.
+
+    The table is staged first, the digest taken from the stored copy, and the folder moved into place in one
+    step. A folder without ``_SUCCESS`` is a broken write and is not taken for a published one.
+    """
     spark = df.sparkSession
-    digest = content_digest(df).first()[0]
-    target = f"{root.rstrip('/')}/{name}/digest={digest}"
-    try:
-        spark.read.parquet(target).schema
-    except Exception:  # nothing published under this digest yet
-        df.write.mode("errorifexists").parquet(target)
+    home = f"{root.rstrip('/')}/{name}"
+    staged = f"{home}/_staging-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(staged)
+    digest = content_digest(spark.read.schema(df.schema).parquet(staged)).first()[0]
+    target = f"{home}/digest={digest}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path(f"{target}/_SUCCESS")):
+        files.delete(path(staged), True)
+    else:
+        if files.exists(path(target)):
+            files.delete(path(target), True)
+        if not files.rename(path(staged), path(target)):
+            raise OSError(f"cannot move {staged} to {target}")
     pointer = spark.createDataFrame([(name, digest)], "name string, digest string").withColumn("at", F.current_timestamp())
     pointer.write.mode("append").parquet(f"{root.rstrip('/')}/_pointers")
     return digest
