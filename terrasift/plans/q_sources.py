@@ -117,10 +117,14 @@ def s8(spark, sf):
     return RD.parse_point(i).select("incident_index", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
 
 
-@query("s9_fingerprint")
+@query("s9_fingerprint", """SELECT s_suppkey AS k, octet_length(encode(t))::BIGINT AS bytes, sha256(t) AS sha256, md5(t) AS md5 FROM (SELECT s_suppkey, s_name||'|'||s_nationkey||chr(10) AS t FROM supplier)""")
 def s9(spark, sf):
-    """Size and hashes of every given table file."""
-    return RD.fingerprint(spark, sf).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes", "sha256", "md5")
+    """Size and hashes of files, one written for each supplier."""
+    s = table(spark, sf, "supplier")
+    out = shared_dir(spark, "fingerprint")
+    s.select(F.col("s_suppkey").alias("k"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value")).repartition("k").write.partitionBy("k").text(out)
+    files = RD.fingerprint(spark, out).where(F.col("path").contains("/k="))
+    return files.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast(BIG).alias("k"), "bytes", "sha256", "md5")
 
 
 @query("s10_model_scan", "SELECT c_custkey::VARCHAR AS model, (c_custkey%9)::DOUBLE AS s, 1000.0::DOUBLE+c_custkey AS scale FROM customer WHERE c_custkey%9>0 AND c_custkey%7<>0")

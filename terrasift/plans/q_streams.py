@@ -21,11 +21,17 @@ def stream_table(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
 
 
-def stream_of(spark, df, purpose, files=3):
-    """A derived table written in several files, read back as a file stream, one file per micro-batch."""
+def stream_of(spark, df, purpose, *keys, batches=3):
+    """A derived table written in the session's partitions (whole ``keys`` in one file), read back in about three micro-batches."""
     out = shared_dir(spark, purpose)
-    df.repartition(files).write.parquet(out)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).write.parquet(out)
+    return batches_of(spark, out, df.schema, batches)
+
+
+def batches_of(spark, out, schema, batches=3):
+    """The files below ``out`` as a stream of about so many micro-batches, whatever their number."""
+    files = len(spark.read.schema(schema).parquet(out).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(out)
 
 
 @query("t9_live_edges_stream", "SELECT status, count(*) AS n, round(sum(length),3) AS length_m FROM sweep_edges GROUP BY 1")
@@ -75,11 +81,12 @@ def t1(spark, sf):
     return ev.groupBy("mission_id", "bin_end_s").agg(F.count(F.lit(1)).alias("cells"), R6(F.sum("intensity")).alias("intensity"))
 
 
-@query("t2_screen_late_stream", "SELECT count(*) FILTER (t_s<200) AS quarantined, count(*) FILTER (t_s>=200 AND ceil((t_s-200)/60.0)*60<=1800) AS used FROM fixes")
+@query("t2_screen_late_stream", "SELECT count(*) FILTER (early) AS quarantined, count(*) FILTER (NOT early AND ceil(age/60.0)*60<=1800) AS used FROM (SELECT *, bool_or(track_id%3=0 AND t_s<200) OVER (PARTITION BY track_id) AS early, t_s-CASE WHEN track_id%3=0 THEN 200 ELSE 0 END AS age FROM fixes)")
 def t2(spark, sf):
-    f = A.fixes(spark, sf, A.track_block(spark, sf)).select("track_id", "seq", "t_s", F.lit(200).alias("base_s"))
+    """Every third track starts before its base time and is refused whole; a track is uploaded in one batch."""
+    f = A.fixes(spark, sf, A.track_block(spark, sf)).select("track_id", "seq", "t_s", F.when(F.col("track_id") % 3 == 0, 200).otherwise(0).alias("base_s"))
     good, bad, ck = (shared_dir(spark, p) for p in ("good", "bad", "ck"))
-    SM.screen_late(stream_of(spark, f, "late-in"), good, bad, ck, horizon=1800).awaitTermination()
+    SM.screen_late(stream_of(spark, f, "late-in", "track_id"), good, bad, ck, horizon=1800).awaitTermination()
     from ..operators.models import _one_row
 
     q = spark.read.parquet(bad).agg(F.count(F.lit(1)).alias("quarantined"))
@@ -94,6 +101,21 @@ def t11(spark, sf):
     return SM.coverage_total(spark, out).groupBy("mission_id").agg(F.count(F.lit(1)).alias("cells"), R6(F.sum("effort")).alias("effort"))
 
 
+@query("t3_shuffled_batches", """SELECT mission_id, count(*) AS cells, round(sum(effort),6) AS effort, true AS same_cells FROM effort GROUP BY 1""")
+def t3(spark, sf):
+    """Running coverage of the same edges in batches dealt in another way: the same cells and sums."""
+    totals = []
+    for k, keys in enumerate((["row"], ["col", "t_s"])):
+        src = stream_of(spark, QM.mission_edges(spark, sf), f"shuffled-in-{k}", *keys)
+        out, ck = shared_dir(spark, "shuffled"), shared_dir(spark, "shuffled-ck")
+        SM.running_coverage(src, out, ck).awaitTermination()
+        totals.append(SM.coverage_total(spark, out))
+    a, b = totals[0], totals[1].withColumnRenamed("effort", "other")
+    both = a.join(b, ["mission_id", "row", "col"], "full")
+    same = F.coalesce(F.abs(F.col("effort") - F.col("other")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("effort")), F.lit(False))
+    return both.groupBy("mission_id").agg(F.count(F.lit(1)).alias("cells"), R6(F.sum("effort")).alias("effort"), F.bool_and(same).alias("same_cells"))
+
+
 @query("t7_overdue_stream", "SELECT user_id AS member_id, 1704067200000+max(event_id)*60000 AS last_ms, 1704067500000+max(event_id)*60000 AS due_ms FROM events WHERE user_id%9<>0 GROUP BY 1")
 def t7(spark, sf):
     """Overdue members as event time passes; the last events of the table move the clock."""
@@ -101,7 +123,7 @@ def t7(spark, sf):
         F.col("user_id").alias("member_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") * 60).alias("ts"), F.lit(300).alias("interval_s"), (F.col("user_id") % 9 == 0).alias("revoked"))
     late = e.agg(F.max("ts").alias("m")).select(F.lit(-1).cast(BIG).alias("member_id"), (F.col("m") + F.expr("interval 1 day")).alias("ts"), F.lit(300).alias("interval_s"), F.lit(True).alias("revoked"))
     out = shared_dir(spark, "checkins-in")
-    for i, part in enumerate((e, late)):
-        part.coalesce(1).write.mode("append").parquet(out)
-    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    for part in (e, late):  # the file of the late row is the newest and comes last
+        part.write.mode("append").parquet(out)
+    src = batches_of(spark, out, e.schema)
     return SM.run_available(SM.overdue(src), "overdue")

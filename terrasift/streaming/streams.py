@@ -268,15 +268,17 @@ def stream_evidence(edges: DataFrame, delay: str = "6 hours", horizon: int = G.M
 
 
 def screen_late(fixes: DataFrame, good: str, quarantine: str, checkpoint: str, base: str = "base_s", horizon: int = G.MAX_FORECAST_S):
-    """Start a query that writes usable fixes and, apart from them, fixes before the base time.
+    """Start a query that writes usable fixes and, apart from them, tracks with a fix before the base time.
 
-    Each micro-batch owns a folder named by its id, so a repeated batch replaces its own output only.
-    Fixes beyond the horizon are ignored.
+    A track is an upload and arrives in one micro-batch; one early fix refuses all of it. Each micro-batch
+    owns a folder named by its id, so a repeated batch replaces its own output only. Fixes beyond the
+    horizon are ignored.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         age = F.col("t_s") - F.col(base)
-        tag = batch.withColumn("early", age < 0)
+        refused = batch.where(age < 0).select("track_id").distinct().withColumn("early", F.lit(True))
+        tag = batch.join(refused, "track_id", "left").withColumn("early", F.coalesce("early", F.lit(False)))
         ok = ~F.col("early") & (F.ceil(age / G.BIN_SECONDS) * G.BIN_SECONDS <= horizon)
         tag.where(ok).drop("early").write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
         tag.where("early").drop("early").withColumn("reason", F.lit("BEFORE_BASE_TIME")).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
