@@ -55,17 +55,35 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _finished(edges: DataFrame) -> DataFrame:
+    """The components of a bounded number of edges, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if rows:
+            all_ = pd.concat(rows)
+            node, root = forest(all_["a"].to_numpy(), all_["b"].to_numpy())
+            yield pd.DataFrame({"node": node, "component": root})
+
+    return edges.coalesce(1).mapInPandas(run, "node long, component long")
+
+
+def components(edges: DataFrame, bounded: int = 1 << 21) -> DataFrame:
     """(node, component): the smallest node reachable from every node with an edge, itself left out if it is the smallest.
 
-    ``edges`` holds longs a and b; self-loops and repeated edges do no harm. Each round is a
-    written step. A hub's rows are never gathered: minima are summed map-side and the
-    joins back to the edges are plain equi joins, which AQE may split.
+    ``edges`` holds longs a and b; self-loops and repeated edges do no harm. Edges are first
+    contracted inside the tasks that hold them. While more than ``bounded`` edges are left
+    (32 MB at 16 bytes each), rounds of large and small stars shrink them, each a written
+    step; what fits the bound is finished in one task. A hub's rows are never gathered in
+    the rounds: minima are taken map-side and the joins back to the edges are plain equi
+    joins, which AQE may split.
     """
-    now = step(contract(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = _mark(now)
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = step(contract(edges.where("a <> b")), "components")
+    rows = now.count()
+    mark = None
+    while rows > bounded:
+        ordered = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = ordered.unionByName(ordered.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = step(large, "components-large")
@@ -75,4 +93,5 @@ def components(edges: DataFrame) -> DataFrame:
         then = _mark(now)
         if then == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = then
+        rows, mark = then[0], then
+    return step(_finished(now), "components-finished")
