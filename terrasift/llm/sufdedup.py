@@ -108,8 +108,9 @@ def anchors(docs: DataFrame, width: int, k: int) -> DataFrame:
                     seen.add(u)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                keep = new[row]
-                yield pa.RecordBatch.from_arrays([pa.array(m.key[m.place][keep].view(np.int64)), pa.array(units[i + row[keep]])], names=["anchor", "unit"])
+                row, key = row[new[row]], m.key[m.place][new[row]]
+                _, once = np.unique(mix(key ^ mix(row.astype(np.uint64))), return_index=True)  # a text repeats its own lines
+                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(units[i + row[once]])], names=["anchor", "unit"])
 
     return docs.select("text", "unit").mapInArrow(run, "anchor long, unit long")
 
@@ -208,6 +209,15 @@ def owners(distinct: DataFrame, width: int, batch_rows: int) -> DataFrame:
     """(seg, first, last, owner): runs of windows of a segment with one smallest owner, other than the segment's own."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        anchor = pdf["anchor"].to_numpy()
+        opens = np.r_[True, anchor[1:] != anchor[:-1]]
+        alone = opens & np.r_[opens[1:], True]  # a string without another to be ordered with: all its windows are its owner's
+        one = pdf[alone]
+        last = np.array([len(b) - width for b in one["bytes"]], np.int64)
+        single = pd.DataFrame({"seg": one["seg"], "first": np.zeros(len(one), np.int64), "last": last, "owner": one["owner"]})
+        return pd.concat([single, ordered(pdf[~alone])]) if not alone.all() else single
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = pdf["bytes"].tolist()
         bounds = np.r_[0, np.cumsum([len(b) for b in raw])]
         own = pdf["owner"].to_numpy(np.int64)
