@@ -185,6 +185,46 @@ def test_passages(hard_docs, hard_texts, no_docs):
     assert chaining.repeated_passages(no_docs).collect() == []
 
 
+def test_passages_behind_overlapping_fragments(spark):
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+    junk = lambda n: [f"j{next(fresh)}" for _ in range(n)]
+    shared, other, third = ([f"{c}{i}" for i in range(n)] for c, n in (("s", 60), ("o", 60), ("t", 33)))
+    docs = {}
+    for i in range(0, 60, 4):  # pieces under 30 words before, between
+        docs[i] = junk(9) + shared[i : i + 26] + junk(9)
+        docs[200 + i] = junk(7) + shared[max(0, i - 5) : i + 20] + junk(9)
+    docs[100] = junk(40) + shared + junk(20)
+    docs[300] = junk(11) + shared + junk(5)
+    # the earlier document holds the seeds singly before it holds them in a row
+    docs[110] = [w for i in range(0, 60, 3) for w in other[i : i + 14] + junk(30)] + other
+    docs[310] = junk(12) + other + junk(12)
+    # a stretch of little more than 30 words beside a short common one
+    docs[120], docs[320] = other[:12] + junk(15) + third, other[:12] + junk(22) + third + junk(3)
+    for i in range(400, 430):  # pieces of any length of a common text
+        a = rng.randrange(60)
+        docs[i] = junk(8) + (shared + other)[a : a + rng.randint(12, 50)] + junk(8)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(df).collect()}
+    want, seen = {}, {}
+    for d in sorted(docs):
+        w = docs[d]
+        want[d] = [s for s in range(len(w) - 29) if tuple(w[s : s + 30]) in seen]
+        for s in range(len(w) - 29):
+            seen.setdefault(tuple(w[s : s + 30]), d)
+    assert want[300] and want[310] and want[320] and sum(map(len, want.values())) > 200
+    for d in docs:
+        held = {i for p in got[d]["passages"] for i in range(p["start"], p["end"])}
+        missing = [s for s in want[d] if not held.issuperset(range(s, s + 30))]
+        assert not missing, (d, missing)
+        for p in got[d]["passages"]:
+            if p["edits"] == 0:
+                assert docs[d][p["start"] : p["end"]] == docs[p["ref_doc_id"]][p["ref_start"] : p["ref_end"]]
+        if not want[d] and d < 400:
+            assert got[d]["n_passages"] == 0, d
+    assert (300, 100, 60) in {(300, p["ref_doc_id"], p["end"] - p["start"]) for p in got[300]["passages"]}
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(7)
     for _ in range(60):
