@@ -154,7 +154,8 @@ class Splitter:
 class Counter:
     """The counting transducer of one BPE vocabulary, built as it is used."""
 
-    MAX_STATES = 1 << 18  # a bound of memory: beyond it the states are dropped and built anew
+    # bounds of memory: beyond them all states but those of the strings being read are dropped and built anew
+    MAX_STATES, MAX_EDGES = 1 << 18, 1 << 21
 
     def __init__(self, merges: list[tuple[bytes, bytes]], units: list[bytes]):
         self.tokens = {u: i for i, u in enumerate(units)}
@@ -221,13 +222,15 @@ class Counter:
         state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for k in range(int(length[0]) if len(length) else 0):
             n = int(np.searchsorted(-length, -k))
-            key = state[:n] << 8 | data[at[:n] + k]
-            edge = self.edges.get(key)
+            byte = data[at[:n] + k]
+            edge = self.edges.get(state[:n] << 8 | byte)
             missing = np.flatnonzero(edge < 0)
             if len(missing):
+                if not self._room(len(np.unique(state[missing] << 8 | byte[missing]))):
+                    state[:n] = self._carried(state[:n])
+                    missing = np.arange(n)
+                key = state[:n] << 8 | byte
                 new = np.unique(key[missing])
-                if len(self.states) + len(new) > self.MAX_STATES or self.n_edges + len(new) > 1 << 21:
-                    return self._counts_in_parts(data, start, end)
                 self.edges.put(new, np.array([self._edge(e >> 8, e & 255) for e in new.tolist()], np.int64))
                 self.n_edges += len(new)
                 edge[missing] = self.edges.get(key[missing])
@@ -237,13 +240,26 @@ class Counter:
         out[order] = total
         return out
 
-    def _counts_in_parts(self, data, start, end):
-        """The same from fresh states; half of the strings at a time where they would need too many at once."""
+    def _room(self, more: int) -> bool:
+        return len(self.states) + more <= self.MAX_STATES and self.n_edges + more <= self.MAX_EDGES
+
+    def _carried(self, state: np.ndarray) -> np.ndarray:
+        """The numbers of the same states in a fresh table, which has them and the root only.
+
+        States of the strings still open are at most one a string, so what is kept is bounded
+        by the block and no string is too long.
+        """
+        old, inverse = np.unique(state, return_inverse=True)
+        kept = [self.states[s] for s in old.tolist()]
         self.reset()
-        if len(start) == 1:
-            raise ValueError("one pre-token needs more states than MAX_STATES")
-        half = len(start) // 2
-        return np.r_[self.counts(data, start[:half], end[:half]), self.counts(data, start[half:], end[half:])]
+        number = np.empty(len(kept), np.int64)
+        for i, s in enumerate(kept):
+            if s not in self.number:
+                self.number[s] = len(self.states)
+                self.states.append(s)
+            number[i] = self.number[s]
+        return number[inverse]
+
 
 class TokenCounter:
     """Counts of a byte-level BPE tokenizer (``tokenizers`` JSON: no normaliser, ByteLevel splitting, plain BPE)."""

@@ -37,6 +37,23 @@ def test_counter_rebuilds_its_states_within_its_bound():
     assert counter.count_block(texts).tolist() == want
 
 
+def test_one_word_needs_more_states_than_the_bound():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(2)
+    texts = ["".join(rng.choice("abcdefghiklmnoprstuvwé中") for _ in range(150)), "cat", "".join(rng.choice("etaoin") for _ in range(60)), "mat"]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    for states, edges in ((40, 1 << 21), (1 << 18, 40), (3, 3)):
+        counter = tokcount.TokenCounter(path, tokcount.Splitter.class_runs())
+        counter.counter.MAX_STATES, counter.counter.MAX_EDGES = states, edges
+        assert counter.count_block(texts).tolist() == want
+        counter.counter.seen.clear()
+        assert [int(counter.count_block([t])[0]) for t in texts] == want  # a full table and one word more
+
+
 def test_split_maps_compose_to_the_serial_run():
     import numpy as np
 
