@@ -147,9 +147,16 @@ class PiiFinder:
 
     def _iban(self, text, start, end, out, over):
         m = _IBAN.match(text, end)
-        if m and len(m[1].replace(" ", "")) <= 34 and _mod97(m[1]):
-            out.append(m.span(1))
-            over["iban"] = m.end(1)
+        item = m[1] if m else ""
+        while item:  # the last group may be the next word: shorter ends until one is valid
+            size = len(item.replace(" ", ""))
+            if size < 15:
+                break
+            if size <= 34 and _mod97(item):
+                out.append((m.start(1), m.start(1) + len(item)))
+                over["iban"] = m.start(1) + len(item)
+                break
+            item = item.rpartition(" ")[0]
 
     def _ssn(self, text, start, end, out, over):
         m = _SSN.match(text, end)

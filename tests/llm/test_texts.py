@@ -122,6 +122,15 @@ def test_added_kinds_and_redaction():
     assert pii.redacted(text, spans) == "IBAN: [IBAN], see [URL]. Acct no [ACCOUNT], SSN [SSN], [EMAIL]"
 
 
+def test_iban_before_a_capital_word():
+    for text, want in (
+        ("IBAN: DE89370400440532013000 BIC: COBADEFFXXX", "IBAN: [IBAN] BIC: COBADEFFXXX"),
+        ("IBAN GB29 NWBK 6016 1331 9268 19 SWIFT NWBKGB2L", "IBAN [IBAN] SWIFT NWBKGB2L"),
+        ("IBAN DE89370400440532013001 BIC X", "IBAN DE89370400440532013001 BIC X"),
+    ):
+        assert pii.redacted(text, [s for s in pii.PiiFinder().spans(text) if s[0] == "iban"]) == want
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
