@@ -80,3 +80,12 @@ def test_quota_without_a_cap(spark):
     n = 10_000_000_000
     rows = spark.createDataFrame([(1, 0, n), (1, 1, 3)], "mission_id long, pos long, n long")
     assert {r.pos: r.quota for r in paths.quota(rows, n).collect()} == {0: n - 3, 1: 3}
+
+
+def test_travel_time_without_a_cutoff(spark):
+    from terrasift.operators import graph
+
+    edges = spark.createDataFrame([(1, i + 1, i, 400.0) for i in range(6)] + [(1, 9, 8, 1.0)], "window_id long, src long, dst long, seconds double")
+    seeds = spark.createDataFrame([(1, 0)], "window_id long, cell long")
+    assert sorted((r["cell"], r["seconds"]) for r in graph.travel_time(edges, seeds).collect()) == [(i, 400.0 * i) for i in range(7)]
+    assert sorted(r["cell"] for r in graph.travel_time(edges, seeds, 600.0).collect()) == [0, 1]
