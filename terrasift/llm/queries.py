@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, chaining, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
+from . import balltree, chaining, crosstok, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
 from .steps import table
 
 
@@ -54,6 +54,11 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sptok.digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Null, empty and differently spelt texts have zeros and an empty digest; copies and repeated rows each count."""
+    return crosstok.align(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_passages": op2_passages,
@@ -65,6 +70,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_alignment": op11_alignment,
 }
 ORACLES: dict[str, str] = {
     "op3_embedding_duplicates": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
