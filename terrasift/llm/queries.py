@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, chaining, crosstok, egojoin, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
+from . import balltree, chaining, charpoly, crosstok, egojoin, ftrl, mixing, pii, qda, sptok, sufdedup, tgm, tokcount
 from .steps import table
 
 
@@ -59,6 +59,16 @@ def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return crosstok.align(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Null and empty texts have the score of the intercept; repeated rows are all scored."""
+    return ftrl.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors that are null or hold null or non-finite entries have no rows; repeated rows are all returned."""
+    return charpoly.whiten(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_passages": op2_passages,
@@ -71,6 +81,8 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op3_embedding_duplicates": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
