@@ -173,7 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", boun
     return rows.select(F.pmod("place", F.lit(SHARDS)).cast("int").alias("shard"), "place", "doc_id", "text", "label")
 
 
-_CHANGE = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.DoubleType()))])
+_CHANGE = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("z", T.ArrayType(T.FloatType())), T.StructField("n", T.ArrayType(T.FloatType()))])
 
 
 def _round(rows: DataFrame, rates: Rates, index: np.ndarray, z: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _round(rows: DataFrame, rates: Rates, index: np.ndarray, z: np.ndarray, n: n
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(range(RANGES), pa.int32()), pa.array([shard] * RANGES, pa.int32()), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
-                pa.array([state.z[p] - before.z[p] for p in parts], pa.list_(pa.float64())), pa.array([state.n[p] - before.n[p] for p in parts], pa.list_(pa.float64())),
+                pa.array([(state.z[p] - before.z[p]).astype(np.float32) for p in parts], pa.list_(pa.float32())), pa.array([(state.n[p] - before.n[p]).astype(np.float32) for p in parts], pa.list_(pa.float32())),
             ],
             names=_CHANGE.names,
         )
@@ -215,11 +215,11 @@ def _round(rows: DataFrame, rates: Rates, index: np.ndarray, z: np.ndarray, n: n
             place = np.searchsorted(at, index)
             for c in "zn":
                 out[c][place] += lists[c][k] / SHARDS
-        columns = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([out[c]], pa.list_(pa.float64())) for c in "zn")]
+        columns = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([out[c].astype(np.float32)], pa.list_(pa.float32())) for c in "zn")]
         return pa.table(columns, names=_CHANGE.names)
 
     dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "doc_id").select("shard", "text", "label")
-    change = dealt.mapInArrow(run, _CHANGE).groupBy("range").applyInArrow(merged, _CHANGE)
+    change = step(dealt.mapInArrow(run, _CHANGE).groupBy("range").applyInArrow(merged, _CHANGE), "ftrl-round")
     state = State(rates, index, z, n, bits)
     found = change.toArrow()  # one row a range, 2^20 buckets in all at most
     for k in range(found.num_rows):
