@@ -227,7 +227,7 @@ def _round(rows: DataFrame, rates: Rates, index: np.ndarray, z: np.ndarray, n: n
         state.z[at] += dz
         state.n[at] += dn
     index = np.flatnonzero(state.n)
-    return index, state.z[index], state.n[index]
+    return index.astype(np.int32), state.z[index].astype(np.float32), state.n[index].astype(np.float32)  # what tasks get
 
 
 def train(rows: DataFrame, rates: Rates = Rates(), bits: int = BITS) -> Model:
