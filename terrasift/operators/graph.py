@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import grid as G
 from ..functions.geo import floor_long
-from ..session import cut_lineage
+from .traveltime import travel_time as travel_time  # noqa: PLC0414
 
 STEPS8 = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 CELL_KEY = ["window_id", "row", "col"]
@@ -106,29 +106,6 @@ def crop(points: DataFrame, windows: DataFrame, margin: int = 0, size: int = G.N
     return j.where((r >= -margin) & (r < size + margin) & (c >= -margin) & (c < size + margin)).drop("__tr", "__tc")
 
 
-def travel_time(edges: DataFrame, seeds: DataFrame, cutoff_s: float | None = None, hops: int = 4) -> DataFrame:
-    """Seconds from every cell to its nearest seed along directed edges, for times up to the cutoff if there is one.
-
-    Only cells whose time improved in the last round are extended. Each round extends ``hops`` edges,
-    keeps the best time per cell and writes the step to shared storage; it stops when nothing improves.
-    """
-    back = cut_lineage(edges.select("window_id", F.col("dst").alias("cell"), "src", "seconds"), "edges")
-    dist = cut_lineage(seeds.select("window_id", "cell").distinct().withColumn("seconds", F.lit(0.0)), "dist")
-    front = dist
-    while True:
-        reach = front
-        for _ in range(hops):
-            nxt = reach.withColumnRenamed("seconds", "t").join(back, ["window_id", "cell"]).select("window_id", F.col("src").alias("cell"), (F.col("t") + F.col("seconds")).alias("seconds"))
-            reach = reach.unionByName(nxt if cutoff_s is None else nxt.where(F.col("seconds") <= cutoff_s)).groupBy("window_id", "cell").agg(F.min("seconds").alias("seconds"))
-        old = dist.withColumnRenamed("seconds", "old")
-        state = cut_lineage(
-            reach.join(old, ["window_id", "cell"], "full").select(
-                "window_id", "cell", F.least("seconds", "old").alias("seconds"), (F.col("seconds").isNotNull() & (F.col("old").isNull() | (F.col("seconds") < F.col("old")))).alias("better")), "dist")
-        dist, front = state.drop("better"), state.where("better").drop("better")
-        if front.isEmpty():
-            return dist
-
-
 def sweep_pattern(zones: DataFrame, rows: str = "band_rows") -> DataFrame:
     """Lawn-mower walk over each zone, in both directions: step, walked cell and the cells it sweeps.
 

@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, movement, textfn
 from ..functions import grid as G
 from ..session import cut_lineage, fan_out
+from . import foldfits
 from .profile import exact_percentiles
 from .proximity import near_any
 
@@ -316,7 +318,11 @@ def evaluate_interval(df: DataFrame, baseline: tuple[float, float], folds: int =
     x = df.withColumn("b", movement.interval("distance_m", "uncertainty_m", F.lit(scale))).withColumn("lower", F.col("b.lower")).withColumn("upper", F.col("b.upper")).drop("b")
     x = x.withColumn("fold", group_fold(F.col("spatial_block"), folds))
     p = fit_interval(x, folds).select("fold", "mu", "sigma", "at_boundary")
-    y = x.join(F.broadcast(p), "fold")
+    return _score_intervals(x.join(F.broadcast(p), "fold"), baseline)
+
+
+def _score_intervals(y: DataFrame, baseline: tuple[float, float]) -> DataFrame:
+    """Log losses of the row's own (mu, sigma) and of the baseline, radii, and what surely or possibly lies inside."""
     for q, z in ((50, G.Z50), (80, G.Z80), (95, G.Z95)):
         y = y.withColumn(f"r{q}", movement.lognormal_radius("mu", "sigma", z))
         y = y.withColumn(f"sure{q}", F.col("upper") <= F.col(f"r{q}")).withColumn(f"maybe{q}", F.col("lower") <= F.col(f"r{q}"))
@@ -325,6 +331,17 @@ def evaluate_interval(df: DataFrame, baseline: tuple[float, float], folds: int =
     return y.withColumn("nll", -F.col("lp")).withColumn("baseline_nll", -F.col("base_lp")).drop("lp", "base_lp")
 
 
+def leave_one_out_interval(df: DataFrame, baseline: tuple[float, float], scales: Sequence[float] = (0.5, 1.0, 2.0), case: str = "case_id") -> DataFrame:
+    """Every case scored by a fit to all other cases, with its uncertainty times each of a few scales."""
+    out = None
+    for scale in scales:
+        b = movement.interval("distance_m", "uncertainty_m", F.lit(scale))
+        x = df.select(case, b["lower"].alias("lower"), b["upper"].alias("upper"))
+        y = x.join(foldfits.leave_one_out_intervals(x, case), case).withColumn("scale", F.lit(float(scale)))
+        out = y if out is None else out.unionByName(y)
+    return _score_intervals(out, baseline)
+
+
 # ---------------------------------------------------------------- terrain tilt on polar cells
 def polar_cells(cases: DataFrame) -> DataFrame:
     """Each case with its 5,760 polar cells, generated inside the row."""
@@ -366,53 +383,36 @@ def tilt_mass(features: DataFrame, radial: DataFrame, beta: DataFrame) -> DataFr
     return x.select("fold", "case_id", "cell_idx", F.exp(F.col("score") - F.col("lse") + F.log1p(-F.col("outside"))).alias("mass"), "outside")
 
 
-def _tilt_step(features: DataFrame, labels: DataFrame, radial: DataFrame, beta: DataFrame) -> DataFrame:
-    """Per fold: objective, gradient and Hessian of the penalised conditional likelihood."""
-    x = _tilted(features, radial, beta).join(labels, ["fold", "case_id"])
-    per = x.withColumn("e", F.exp("score")).groupBy("fold", "case_id", "label", "outside").agg(
-        F.sum("e").alias("z"), F.sum(F.col("e") * F.col("rise")).alias("s1"), F.sum(F.col("e") * F.col("steep")).alias("s2"),
-        F.sum(F.col("e") * F.col("rise") * F.col("rise")).alias("s11"), F.sum(F.col("e") * F.col("rise") * F.col("steep")).alias("s12"),
-        F.sum(F.col("e") * F.col("steep") * F.col("steep")).alias("s22"),
-        F.max(F.when(F.col("cell_idx") == F.col("label"), F.struct("score", "rise", "steep"))).alias("y"))
-    inside = F.col("y").isNotNull()
-    m1, m2 = F.col("s1") / F.col("z"), F.col("s2") / F.col("z")
-    ins = lambda c: F.when(inside, c).otherwise(0.0)
-    return per.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(inside, F.ln("z") - F.col("y.score") - F.log1p(-F.col("outside"))).otherwise(-F.ln("outside"))).alias("nll"),
-        F.avg(ins(m1 - F.col("y.rise"))).alias("g1"), F.avg(ins(m2 - F.col("y.steep"))).alias("g2"),
-        F.avg(ins(F.col("s11") / F.col("z") - m1 * m1)).alias("h11"), F.avg(ins(F.col("s12") / F.col("z") - m1 * m2)).alias("h12"),
-        F.avg(ins(F.col("s22") / F.col("z") - m2 * m2)).alias("h22"))
-
-
-def fit_tilt(features: DataFrame, labels: DataFrame, radial: DataFrame, penalty: float = 0.1, bound: float = 3.0, max_steps: int = 25, tol: float = 1e-7) -> DataFrame:
-    """Two tilt coefficients per fold by projected Newton steps; one aggregation per step over all folds.
-
-    The objective is convex. A coefficient held at its bound leaves the step when its gradient points out.
+def buffered_folds(cases: DataFrame, km: float = 40.0, min_train: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Radial fits of all folds (spatial groups) on what the buffer leaves, and the (fold, case_id) pairs kept out.
+
+    Folds with fewer than ``min_train`` training cases are left out of both.
     """
-    spark = features.sparkSession
-    beta = {r["fold"]: [0.0, 0.0] for r in radial.select("fold").collect()}
-    done: dict = {}
-    for step in range(max_steps):
-        b = spark.createDataFrame([(f, *v) for f, v in beta.items()], "fold int, b1 double, b2 double")
-        moved = 0.0
-        for r in _tilt_step(features, labels, radial, b).collect():
-            f, v = r["fold"], beta[r["fold"]]
-            g = [r["g1"] + penalty * v[0], r["g2"] + penalty * v[1]]
-            h11, h12, h22 = r["h11"] + penalty, r["h12"], r["h22"] + penalty
-            done[f] = (f, v[0], v[1], r["nll"] + penalty / 2 * (v[0] ** 2 + v[1] ** 2), step, r["n"])
-            free = [not (abs(v[k]) >= bound and v[k] * g[k] < 0) for k in (0, 1)]
-            if all(free):
-                det = h11 * h22 - h12 * h12
-                d = [(h22 * g[0] - h12 * g[1]) / det, (h11 * g[1] - h12 * g[0]) / det]
-            else:
-                d = [g[0] / h11 if free[0] else 0.0, g[1] / h22 if free[1] else 0.0]
-            new = [min(max(v[k] - d[k], -bound), bound) for k in (0, 1)]
-            moved = max(moved, abs(new[0] - v[0]), abs(new[1] - v[1]))
-            beta[f] = new
-        if moved < tol:
-            return spark.createDataFrame(list(done.values()), "fold int, b1 double, b2 double, objective double, steps int, cases bigint")
-    raise RuntimeError("tilt fit did not settle")
+    out = cut_lineage(buffered_excluded(cases, km), "excluded")
+    g = _distance_sums(out.join(cases.select("case_id", "distance_m"), "case_id"), ["fold"], "distance_m", "g")
+    t = _distance_sums(cases, [], "distance_m", "t")
+    fits = _one_row(g, t).select("fold", *_params(*[F.col("t" + c) - F.col("g" + c) for c in ("n", "s", "ss", "q")])).drop("scale")
+    good = cut_lineage(fits.where(F.col("train_n") >= min_train), "fold-radials")
+    return good, out.join(good.select("fold"), "fold", "left_semi")
+
+
+def case_folds(cases: DataFrame) -> DataFrame:
+    """Radial fits of folds of one case each: all sums minus the case's own."""
+    g = _distance_sums(cases, ["case_id"], "distance_m", "g")
+    t = _distance_sums(cases, [], "distance_m", "t")
+    return _one_row(g, t).select(F.col("case_id").alias("fold"), *_params(*[F.col("t" + c) - F.col("g" + c) for c in ("n", "s", "ss", "q")])).drop("scale")
+
+
+def fit_tilt(features: DataFrame, labels: DataFrame, radial: DataFrame, penalty: float = 0.1) -> DataFrame:
+    """Two tilt coefficients of one fit to all cases, for each row of ``radial`` (fold, mu, sigma).
+
+    Columns in: case_id, cell_idx, rise, steep, and case_id, label. Fold fits that leave cases out
+    are those of :func:`terrasift.operators.foldfits.fit_tilt_folds`.
+    """
+    packed = cut_lineage(foldfits.pack_cells(features).join(labels.select("case_id", "label"), "case_id"), "tilt-cases")
+    none = packed.sparkSession.createDataFrame([], T.StructType([radial.schema["fold"], packed.schema["case_id"]]))
+    first = radial.select("mu", "sigma").first()
+    return foldfits.fit_tilt_folds(packed, radial.select("fold", F.lit(packed.count()).cast("bigint").alias("train_n"), "mu", "sigma"), none, (first["mu"], first["sigma"]), foldfits.TiltFit(penalty=penalty))
 
 
 def running_area(mass: DataFrame) -> DataFrame:
@@ -433,12 +433,16 @@ def area_hits(mass: DataFrame, labels: DataFrame, shares: Sequence[float] = (0.1
 
 
 def fold_summary(pred: DataFrame, folds: DataFrame, min_train: int = 20) -> DataFrame:
-    """Summary over successful folds; a fold with fewer training cases than ``min_train`` failed."""
+    """Summary over successful folds; a fold with fewer training cases than ``min_train`` failed.
+
+    Mean log losses and area hits are added where ``pred`` has them.
+    """
     good = folds.where(F.col("train_n") >= min_train).select("fold", "train_n")
     p = cut_lineage(pred.join(good, "fold"), "fold-predictions")
     med = exact_percentiles(p, [], "delta_nll", {"delta_median": 0.5})
+    shares = [F.avg(F.col(c).cast("double")).alias(c) for c in pred.columns if c in ("base_nll", "nll") or "_hit" in c]
     s = p.agg(
-        F.count(F.lit(1)).alias("cases"), F.count_distinct("fold").alias("folds"), F.avg("delta_nll").alias("delta_mean"), F.min("train_n").alias("min_train"))
+        F.count(F.lit(1)).alias("cases"), F.count_distinct("fold").alias("folds"), F.avg("delta_nll").alias("delta_mean"), F.min("train_n").alias("min_train"), *shares)
     bad = folds.agg(F.count_if(F.col("train_n") < min_train).alias("failed"))
     return _one_row(_one_row(s, med), bad)
 

@@ -12,6 +12,8 @@ from ..functions import geo, textfn, timefn
 from ..functions import grid as G
 from ..functions.geo import floor_long
 from . import mass as M
+from .exposure import exposure as exposure  # noqa: PLC0414
+from .exposure import regular_frame as regular_frame  # noqa: PLC0414
 
 
 def _halves(paths: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -56,12 +58,6 @@ def nearest_frame(visits: DataFrame, frames: DataFrame, key: str = "mission_id",
     return hit.select(*visits.columns, "frame_idx")
 
 
-def regular_frame(mid: Column | str, step: float) -> Column:
-    """Nearest frame of a regular time axis starting at zero; ties go to the earlier frame."""
-    m = F.col(mid) if isinstance(mid, str) else mid
-    return F.ceil(m / step - 0.5).cast("bigint")
-
-
 def lookup_evidence(positions: DataFrame, evidence: DataFrame, keys: Sequence[str] = ("mission_id", "bin_end_s")) -> DataFrame:
     """Evidence intensity under each position, zero where there is none."""
     j = positions.join(evidence.select(*keys, "cell", "intensity"), [*keys, "cell"], "left")
@@ -73,31 +69,12 @@ def evidence_upto(evidence: DataFrame, seconds: Column, horizon: int = G.MAX_FOR
     return evidence.where((F.col("bin_end_s") <= seconds) & (F.col("bin_end_s") <= horizon))
 
 
-def exposure(paths: DataFrame, steps: DataFrame, scale: Column | float = 1.0, step_s: float = 15.0) -> DataFrame:
-    """Effort each weighted path meets on each plan.
+def gain(exposed: DataFrame) -> DataFrame:
+    """Added detection per plan, scenario and width: sum w * exp(-W * old) * (1 - exp(-W * new)).
 
-    ``steps`` lists the walked edges of a plan with the cells swept at both ends (``cells_a``,
-    ``cells_b``). Half an edge's effort falls on each end, at the frame nearest its midpoint time.
-    A step past the last frame of its mission meets the last frame. Efforts are summed per
-    (plan, frame, cell) before the paths are looked up.
+    ``exposed`` is what :func:`exposure` gives; ``old`` is what assigned plans already meet.
     """
-    last = paths.groupBy("mission_id").agg(F.max("frame_idx").alias("__last"))  # a row per mission
-    steps = steps.join(last, "mission_id")
-    sc = scale if isinstance(scale, Column) else F.lit(scale)
-    mid = (F.col("arrive_s") + F.col("leave_s")) / 2
-    e = steps.select("mission_id", "plan_id", F.least(regular_frame(mid, step_s), F.col("__last")).alias("frame_idx"), F.explode(F.concat("cells_a", "cells_b")).alias("cell"), (sc / (2 * G.CELL)).alias("unit"))
-    e = e.where(F.col("cell") >= 0).groupBy("mission_id", "plan_id", "frame_idx", "cell").agg(F.sum("unit").alias("effort"))
-    h = _halves(paths, ["mission_id", "scenario", "path_id", "frame_idx", "weight"])
-    j = h.join(e, ["mission_id", "frame_idx", "cell"])
-    return j.groupBy("mission_id", "plan_id", "scenario", "path_id").agg(F.max("weight").alias("weight"), F.sum(F.col("share") * F.col("effort")).alias("effort"))
-
-
-def gain(exposed: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
-    """Added detection per plan, scenario and width: sum w * exp(-W * old) * (1 - exp(-W * new))."""
-    if assigned is None:
-        x = exposed.withColumn("old", F.lit(0.0))
-    else:
-        x = exposed.join(assigned.select("mission_id", "scenario", "path_id", F.col("effort").alias("old")), ["mission_id", "scenario", "path_id"], "left").fillna(0.0, ["old"])
+    x = exposed
     x = x.withColumn("width", F.explode(F.array(*[F.lit(w) for w in G.WIDTHS])))
     g = F.col("weight") * F.exp(-F.col("width") * F.col("old")) * -F.expm1(-F.col("width") * F.col("effort"))
     return x.groupBy("mission_id", "plan_id", "scenario", "width").agg(F.sum(g).alias("gain"))

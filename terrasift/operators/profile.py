@@ -1,9 +1,10 @@
 """Table profiles and exact order statistics that no single task has to hold.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here
-values are first counted (which combines before the shuffle), the distinct values are cut into
-ordered blocks at approximate quantiles, and ranks are counted block by block. The approximate cut
-points only balance the blocks; the answers are exact.
+values are first counted (which combines before the shuffle), the distinct values of all keys are
+dealt by range in the order (key, value), as many ranges as the data needs, and ranks are counted
+range by range with one row per key and range carried over. The ranges only balance the work; the
+answers are exact.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-COARSE = 8
-BLOCKS = COARSE * COARSE
+RANK_BLOCK = 1 << 19  # distinct values of one block, on average
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
@@ -30,18 +30,16 @@ def finite(c: Column) -> Column:
 
 def _ranked(counts: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Distinct values with the number of rows up to and including each, and the group total."""
-    cuts = [i / BLOCKS for i in range(1, BLOCKS)]
-    heads = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("__cuts"), F.sum("n").alias("__total"), *extra)
-    # two short searches find the block: among every eighth cut, then among the seven after it
-    upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col(value)))
-    b = counts.join(heads, list(keys)).withColumn("__hi", upto(F.array(*[F.col("__cuts")[COARSE * i - 1] for i in range(1, COARSE)])))
-    b = b.withColumn("__blk", F.col("__hi") * COARSE + upto(F.slice("__cuts", F.col("__hi") * COARSE + 1, COARSE - 1))).drop("__cuts", "__hi")
-    b = cut_lineage(b, "ranks")  # one set of cut points for every reader
+    counts = cut_lineage(counts, "counts")
+    heads = counts.groupBy(*keys).agg(F.sum("n").alias("__total"), *extra)
+    ranges = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANK_BLOCK))
+    b = counts.repartitionByRange(ranges, *keys, value).withColumn("__blk", F.spark_partition_id())
+    b = cut_lineage(b, "ranks")  # the range of a value, fixed for every reader
     run = W.partitionBy(*keys, "__blk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     inner = b.withColumn("__cum", F.sum("n").over(run))
-    sw = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    sw = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     off = b.groupBy(*keys, "__blk").agg(F.sum("n").alias("__bn")).withColumn("__off", F.coalesce(F.sum("__bn").over(sw), F.lit(0))).drop("__bn")
+    off = off.join(heads, list(keys))
     return inner.join(off, [*keys, "__blk"]).withColumn("__cum", F.col("__cum") + F.col("__off")).drop("__off", "__blk")
 
 
@@ -93,24 +91,26 @@ def profile(df: DataFrame) -> DataFrame:
 
     The whole table is read once into (column, value) counts; everything else comes from those.
     """
-    cells = []
-    for f in df.schema:
+    cells, types = [], {}
+    for at, f in enumerate(df.schema):
+        types[at] = (f.name, f.dataType.simpleString())
         whole, real = isinstance(f.dataType, _WHOLE), isinstance(f.dataType, _REAL)
         cells.append(F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), (F.col(f.name) if whole else F.lit(None)).cast("bigint").alias("k"),
+            F.lit(at).alias("at"), (F.col(f.name) if whole else F.lit(None)).cast("bigint").alias("k"),
             (F.col(f.name) if real else F.lit(None)).cast("double").alias("d"), (F.lit(None) if whole or real else F.col(f.name)).cast("string").alias("s")))
-    counts = df.select(F.inline(F.array(*cells))).groupBy("column", "dtype", "k", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(F.inline(F.array(*cells))).groupBy("at", "k", "d", "s").agg(F.count(F.lit(1)).alias("n"))
     counts = cut_lineage(counts, "profile").withColumn("v", F.coalesce(F.col("k").cast("double"), F.col("d")))
     missing = F.col("k").isNull() & F.col("d").isNull() & F.col("s").isNull()
-    base = counts.groupBy("column", "dtype").agg(
+    base = counts.groupBy("at").agg(
         F.sum("n").alias("rows"), F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("nulls"), F.count_if(~missing).alias("distinct"))
-    r = _ranked(counts.where(finite(F.col("v"))).select("column", "v", "n"), ["column"], "v", extra=[(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("__mean")])
+    r = _ranked(counts.where(finite(F.col("v"))).select("at", "v", "n"), ["at"], "v", extra=[(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("__mean")])
     total = F.max("__total")
     var = F.try_divide(F.sum(F.col("n") * F.pow(F.col("v") - F.col("__mean"), 2)), (total - 1).cast("double"))
     want = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
-    nums = r.groupBy("column").agg(
+    nums = r.groupBy("at").agg(
         F.max("__mean").alias("mean"), F.sqrt(var).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), *[_pick("v", p).alias(n) for n, p in want.items()])
-    return base.join(nums, "column", "left")
+    name, kind = (F.element_at(F.array(*[F.lit(t[i]) for t in types.values()]), F.col("at") + 1) for i in (0, 1))
+    return base.join(nums, "at", "left").select(name.alias("column"), kind.alias("dtype"), "*").drop("at")
 
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -111,8 +111,8 @@ def bin_end(t: Column, base: Column, step: int = G.BIN_SECONDS) -> Column:
 
 
 def evidence_bins(edges: DataFrame, base: Column, horizon: int = G.MAX_FORECAST_S, width: float = 15.0) -> DataFrame:
-    """Coverage of each 60 s bin of the later fix, summed over team geometries; bins beyond the horizon are left out."""
-    e = edges.withColumn("bin_end_s", bin_end(F.col("t_s"), base)).where(F.col("bin_end_s") <= horizon)
+    """Coverage of each 60 s bin of the later fix, summed over team geometries; edges before the base and bins beyond the horizon are left out."""
+    e = edges.where(F.col("t_s") >= base).withColumn("bin_end_s", bin_end(F.col("t_s"), base)).where(F.col("bin_end_s") <= horizon)
     c = C.team_coverage(e, ["mission_id", "bin_end_s"])
     return c.select("mission_id", "bin_end_s", "row", "col", (F.col("effort") * width).alias("intensity")).where("intensity > 0")
 

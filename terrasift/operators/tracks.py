@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,7 +61,10 @@ def admit_edges(edges: DataFrame) -> DataFrame:
 
 
 def exclusion_reasons(links: DataFrame) -> DataFrame:
-    """Endpoint links with every reason that keeps them out of the fit."""
+    """Endpoint links with every reason that keeps them out of the fit.
+
+    A link is one path of two vertices; ``n_paths`` and ``n_vertices`` count what was delivered.
+    """
     counts = links.groupBy("case_a").agg(F.count(F.lit(1)).alias("__n"))
     xs = [F.col(c) for c in ("lon_a", "lat_a", "lon_b", "lat_b")]
 
@@ -78,6 +82,8 @@ def exclusion_reasons(links: DataFrame) -> DataFrame:
             F.when((F.col("type_a") != "IPP") | (F.col("type_b") != "Found"), "NON_PRIMARY_ENDPOINT"),
             F.when(broken | outside, "INVALID_COORDINATE"),
             F.when(wrong, "INVALID_UNCERTAINTY"),
+            F.when(~(broken | outside) & (geo.haversine("lat_a", "lon_a", "lat_b", "lon_b") <= 0), "ZERO_DISTANCE"),
+            F.when(~(F.col("n_paths").eqNullSafe(F.lit(1)) & F.col("n_vertices").eqNullSafe(F.lit(2))), "UNEXPECTED_GEOMETRY"),
         )
     )
     return links.join(counts, "case_a").withColumn("reasons", reasons).drop("__n")
@@ -242,36 +248,53 @@ def path_hashes(fixes: DataFrame, key: str = "track_id", order: str = "seq") ->
 
 
 # ---------------------------------------------------------------- dedupe
-def first_wins(df: DataFrame, person: str, time: str, coord: list[str], order: str) -> DataFrame:
+FINISH_ROWS = 1 << 20  # undecided rows that one task settles in order
+
+
+def _in_order(batches):
+    """Rows by order -> those kept: no (person, time) twice, no coordinate of another person."""
+    times, owner = set(), {}
+    for batch in batches:
+        keep = []
+        for at, person, time, ck, own in zip(*[batch[c].tolist() for c in batch.columns], strict=True):
+            fine = (person, time) not in times and (own or owner.get(ck, person) == person)
+            if fine:
+                times.add((person, time))
+                owner[ck] = person
+            keep.append(fine)
+        yield batch.loc[np.array(keep, bool), batch.columns[:1]]
+
+
+def first_wins(df: DataFrame, person: str, time: str, coord: list[str], order: str, finish: int = FINISH_ROWS) -> DataFrame:
     """Keep rows in ``order``: one per (person, time), and no coordinate window of another person.
 
     The rule is sequential: a refused row blocks nobody. Each round settles every row that is first
-    in both of its groups, drops what those rows block, and repeats on the rest; the first undecided row
-    always settles, so it ends. A round writes only what it settled and what is left.
+    in both of its groups and drops what those rows block; at most ``finish`` undecided rows, such as a
+    chain in which every row waits for the one before it, are settled in order by one task. Deciding such
+    chains in logarithmic rounds would decide lexicographically first matchings, for which no such
+    method is known. A round reads only what the last one left undecided.
     """
     ck = F.sha2(F.concat_ws("|", *[F.round(c, 6).cast("string") for c in coord]), 256)
     df = cut_lineage(df, "first-wins")
-    undecided = df.select(order, person, time, ck.alias("__ck"))
-    kept: DataFrame | None = None
-    while True:
-        by_time = undecided.groupBy(person, time).agg(F.min(order).alias("__t"))
-        by_ck = undecided.groupBy("__ck").agg(F.min(order).alias("__c"))
-        j = undecided.join(by_time, [person, time]).join(by_ck, "__ck")
-        if kept is not None:
-            owner = kept.select("__ck", F.col(person).alias("__owner")).distinct()
-            j = j.join(owner, "__ck", "left")
-            mine = F.coalesce(F.col("__owner") == F.col(person), F.col(order) == F.col("__c"))
-        else:
-            mine = F.col(order) == F.col("__c")
-        now = j.where((F.col(order) == F.col("__t")) & mine).select(order, person, time, "__ck")
-        now = cut_lineage(now, "first-wins")
-        kept = now if kept is None else kept.unionByName(now)
-        owner = kept.select("__ck", F.col(person).alias("__owner")).distinct()
-        rest = undecided.join(kept.select(person, time).distinct(), [person, time], "left_anti")
-        rest = rest.join(owner, "__ck", "left").where(F.col("__owner").isNull() | (F.col("__owner") == F.col(person))).drop("__owner")
-        undecided = cut_lineage(rest, "first-wins")
-        if undecided.isEmpty():
-            return df.join(kept.select(order), order, "left_semi")
+    # __own: the coordinate has been taken, by this very person
+    undecided = cut_lineage(df.select(F.col(order).alias("__o"), F.col(person).alias("__p"), F.col(time).alias("__time"), ck.alias("__ck"), F.lit(False).alias("__own")), "first-wins")
+    kept = []
+    while undecided.count() > finish:
+        by_time = undecided.groupBy("__p", "__time").agg(F.min("__o").alias("__t"))
+        by_ck = undecided.groupBy("__ck").agg(F.min("__o").alias("__c"))
+        j = undecided.join(by_time, ["__p", "__time"]).join(by_ck, "__ck")
+        now = cut_lineage(j.where((F.col("__o") == F.col("__t")) & (F.col("__own") | (F.col("__o") == F.col("__c")))).select("__o", "__p", "__time", "__ck"), "first-wins")
+        kept.append(now.select("__o"))
+        owner = now.groupBy("__ck").agg(F.min("__p").alias("__owner"))
+        rest = undecided.join(now.select("__p", "__time"), ["__p", "__time"], "left_anti").join(owner, "__ck", "left")
+        rest = rest.where(F.col("__owner").isNull() | (F.col("__owner") == F.col("__p")))
+        undecided = cut_lineage(rest.select("__o", "__p", "__time", "__ck", (F.col("__own") | F.col("__owner").isNotNull()).alias("__own")), "first-wins")
+    last = undecided.repartition(1).sortWithinPartitions("__o").mapInPandas(_in_order, T.StructType([undecided.schema["__o"]]))
+    kept.append(cut_lineage(last, "first-wins"))
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return df.join(out.withColumnRenamed("__o", order), order, "left_semi")
 
 
 # ---------------------------------------------------------------- audits
@@ -286,6 +309,14 @@ def track_summary(edges: DataFrame, key: str = "track_id") -> DataFrame:
     )
 
 
+COVERED = 0.01  # intensity from which a cell counts as covered
+
+
+def covered_area(coverage: DataFrame, key: str = "track_id") -> DataFrame:
+    """Square kilometres of cells whose intensity at the middle detection width passes ``COVERED``; ``coverage`` has effort by cell."""
+    return coverage.groupBy(key).agg((F.count_if(F.col("effort") * G.WIDTHS[1] > COVERED) * G.CELL**2 / 1e6).alias("coverage_km2"))
+
+
 def audit_tracks(points: DataFrame, key: str = "track_id", order: str = "seq", by: str = "person", block: int | None = None) -> DataFrame:
     """Pairs of one walk interval: faulty times, gaps, speeds, usable seconds."""
     c = connected(points, key, order, block)

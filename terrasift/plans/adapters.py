@@ -215,7 +215,9 @@ def endpoint_links(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("objectid"), case.alias("case_a"), F.when(k % 23 == 0, k + 1).otherwise(case).alias("case_b"),
         F.when(k % 31 == 0, "LKP").otherwise("IPP").alias("type_a"), F.lit("Found").alias("type_b"),
         F.when(k % 37 == 0, F.lit(None)).otherwise(F.col("ipp_lon")).alias("lon_a"), F.col("ipp_lat").alias("lat_a"),
-        F.when(k % 41 == 0, F.lit(200.0)).otherwise(F.col("find_lon")).alias("lon_b"), F.col("find_lat").alias("lat_b"),
+        F.when(k % 41 == 0, F.lit(200.0)).when(k % 59 == 0, F.col("ipp_lon")).otherwise(F.col("find_lon")).alias("lon_b"),
+        F.when(k % 59 == 0, F.col("ipp_lat")).otherwise(F.col("find_lat")).alias("lat_b"),
+        F.when(k % 61 == 0, 2).otherwise(1).alias("n_paths"), F.when(k % 61 == 0, 4).when(k % 67 == 0, 3).otherwise(2).alias("n_vertices"),
         F.when(k % 43 == 0, 0.0).otherwise((5 + k % 120).cast("double")).alias("err_a"), (3 + k % 60).cast("double").alias("err_b"),
     )
 
@@ -223,7 +225,8 @@ def endpoint_links(spark: SparkSession, sf: str) -> DataFrame:
 cte("endpoint_links", """SELECT incident_index AS objectid, CASE WHEN incident_index%19=1 THEN incident_index-1 ELSE incident_index END AS case_a,
  CASE WHEN incident_index%23=0 THEN incident_index+1 WHEN incident_index%19=1 THEN incident_index-1 ELSE incident_index END AS case_b,
  CASE WHEN incident_index%31=0 THEN 'LKP' ELSE 'IPP' END AS type_a, 'Found' AS type_b,
- CASE WHEN incident_index%37=0 THEN NULL ELSE ipp_lon END AS lon_a, ipp_lat AS lat_a, CASE WHEN incident_index%41=0 THEN 200.0::DOUBLE ELSE find_lon END AS lon_b, find_lat AS lat_b,
+ CASE WHEN incident_index%37=0 THEN NULL ELSE ipp_lon END AS lon_a, ipp_lat AS lat_a, CASE WHEN incident_index%41=0 THEN 200.0::DOUBLE WHEN incident_index%59=0 THEN ipp_lon ELSE find_lon END AS lon_b, CASE WHEN incident_index%59=0 THEN ipp_lat ELSE find_lat END AS lat_b,
+ CASE WHEN incident_index%61=0 THEN 2 ELSE 1 END AS n_paths, CASE WHEN incident_index%61=0 THEN 4 WHEN incident_index%67=0 THEN 3 ELSE 2 END AS n_vertices,
  CASE WHEN incident_index%43=0 THEN 0.0::DOUBLE ELSE (5+incident_index%120)::DOUBLE END AS err_a, (3+incident_index%60)::DOUBLE AS err_b FROM incidents""")
 
 # ---------------------------------------------------------------- shared SQL expressions

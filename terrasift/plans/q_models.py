@@ -7,12 +7,15 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo, textfn
+from ..functions import grid as G
+from ..operators import foldfits
 from ..operators import models as MD
 from ..operators import tracks as T
+from ..session import cut_lineage
 from . import adapters as A
 from . import q_scalars as S
 from . import q_tracks as Q
-from .registry import cte, query, table
+from .registry import CTES, cte, query, table
 
 R6 = lambda c: F.round(c, 6)
 
@@ -60,25 +63,31 @@ _PER = """SELECT person, count(*) AS rows_, avg(-ln(m.value)) AS model_nll, avg(
  FROM walk_samples s JOIN tr_model m ON m.kind='transition' AND m.i=s.prev_bin AND m.j=s.next_class JOIN tr_model b ON b.kind='baseline' AND b.j=s.next_class
  JOIN (SELECT t.i, sum(t.value*t.value) AS sq, sum(t.value*r.value) AS ev FROM tr_model t LEFT JOIN tr_model r ON r.kind='speed' AND r.i=t.j//9 WHERE t.kind='transition' GROUP BY 1) ms ON ms.i=s.prev_bin
  JOIN (SELECT sum(t.value*r.value) AS ev FROM tr_model t LEFT JOIN tr_model r ON r.kind='speed' AND r.i=t.j//9 WHERE t.kind='baseline') bs ON true GROUP BY person"""
-cte("tr_scores", _PER)
+# People are split once; the model learns from the training people and is scored on each split by itself.
+cte("walk_split", """SELECT person, CASE WHEN rn<=floor(n*0.6) THEN 'train' WHEN rn<=floor(n*0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT person, row_number() OVER (ORDER BY sha256('geolife-v1:'||lpad(person::VARCHAR,3,'0'))) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT person FROM walk_samples))""")
+cte("train_samples", "SELECT s.* FROM walk_samples s JOIN walk_split USING (person) WHERE split='train'")
+for _name in ("tr_cells", "tr_dense", "tr_model"):
+    cte(_name.replace("tr_", "ht_"), CTES[_name].replace("tr_", "ht_").replace("FROM walk_samples", "FROM train_samples"))
+cte("held_scores", f"SELECT split, p.* FROM ({_PER.replace('tr_', 'ht_')}) p JOIN walk_split USING (person)")
 
 
 def scores(spark, sf):
-    s = Q.walk_samples(spark, sf, A.track_block(spark, sf))
-    from ..session import cut_lineage
+    s = cut_lineage(Q.walk_samples(spark, sf, A.track_block(spark, sf)), "samples")
+    split = cut_lineage(MD.hash_split(s.select("person")), "split")  # a row per person
+    train = s.join(split.where("split = 'train'"), "person", "left_semi")
+    return cut_lineage(MD.score_transitions(s, MD.fit_transitions(train)).join(split, "person"), "scores")
 
-    s = cut_lineage(s, "samples")
-    return MD.score_transitions(s, MD.fit_transitions(s))
 
-
-@query("a24_score_transitions", "SELECT person, rows_, round(model_nll,6) AS model_nll, round(baseline_nll,6) AS baseline_nll, round(model_brier,6) AS model_brier, round(model_mae,6) AS model_mae, round(persistence_mae,6) AS persistence_mae FROM tr_scores")
+@query("a24_score_transitions", "SELECT person, split, rows_, round(model_nll,6) AS model_nll, round(baseline_nll,6) AS baseline_nll, round(model_brier,6) AS model_brier, round(model_mae,6) AS model_mae, round(persistence_mae,6) AS persistence_mae FROM held_scores")
 def a24(spark, sf):
-    return scores(spark, sf).select("person", F.col("rows").alias("rows_"), *[R6(c).alias(c) for c in ("model_nll", "baseline_nll", "model_brier", "model_mae", "persistence_mae")])
+    """Scores of training, validation and test people by the model of the training people."""
+    return scores(spark, sf).select("person", "split", F.col("rows").alias("rows_"), *[R6(c).alias(c) for c in ("model_nll", "baseline_nll", "model_brier", "model_mae", "persistence_mae")])
 
 
-@query("a24_macro_scores", "SELECT count(*) AS people, sum(rows_)::BIGINT AS rows_, round(avg(model_nll),6) AS model_nll, round(avg(baseline_nll),6) AS baseline_nll, round(avg(baseline_mae),6) AS baseline_mae FROM tr_scores")
+@query("a24_macro_scores", "SELECT count(*) AS people, sum(rows_)::BIGINT AS rows_, round(avg(model_nll),6) AS model_nll, round(avg(baseline_nll),6) AS baseline_nll, round(avg(baseline_mae),6) AS baseline_mae FROM held_scores WHERE split='test'")
 def a24m(spark, sf):
-    m = MD.macro(scores(spark, sf), ["model_nll", "baseline_nll", "baseline_mae"])
+    """Means over test people."""
+    m = MD.macro(scores(spark, sf).where("split = 'test'"), ["model_nll", "baseline_nll", "baseline_mae"])
     return m.select("people", F.col("rows").alias("rows_"), *[R6(c).alias(c) for c in ("model_nll", "baseline_nll", "baseline_mae")])
 
 
@@ -127,28 +136,89 @@ def interval_cases(spark, sf):
     return i.withColumn("spatial_block", textfn.block_key("lon", "lat", 0.1))
 
 
-@query("a27_fit_interval")
+def _interval_ll_sql(rows, keep):
+    """``keep`` and lp, the log mass of a lognormal (mu, sg) in (lower, upper], for a subquery with those columns."""
+    return f"""(SELECT {keep}, CASE WHEN lower<=0 THEN la ELSE la+ln(1-exp({S.log_ndtr_sql('zb')}-la)) END AS lp FROM (SELECT *, {S.log_ndtr_sql('za')} AS la FROM
+ (SELECT *, CASE WHEN zl>0 THEN -zl ELSE zu END AS za, CASE WHEN zl>0 THEN -zu ELSE zl END AS zb FROM (SELECT *, (ln(greatest(lower,1e-9))-mu)/sg AS zl, (ln(upper)-mu)/sg AS zu FROM {rows}))))"""
+
+
+def _zoom_ctes(name, rows, fits, apart):
+    """CTEs of the grid refinement over ``rows`` (own, lower, upper) for the fits of ``fits`` (fit); the last is ``name``."""
+    (m0, m1), (s0, s1) = MD.MU_BOUNDS, MD.SIGMA_BOUNDS
+    half, k = [(m1 - m0) / 2, (s1 - s0) / 2], 0
+    cte(f"{name}_0", f"SELECT fit, {(m0 + m1) / 2!r}::DOUBLE AS mu, {(s0 + s1) / 2!r}::DOUBLE AS sg, 0.0::DOUBLE AS nll FROM {fits}")
+    while max(half) * 2 / 8 > 1e-6:
+        grid = f"(SELECT DISTINCT fit, least(greatest(mu+{half[0]!r}*(2*i/8.0::DOUBLE-1),{m0!r}),{m1!r}) AS mu, least(greatest(sg+{half[1]!r}*(2*j/8.0::DOUBLE-1),{s0!r}),{s1!r}) AS sg FROM {name}_{k}, generate_series(0,8) a(i), generate_series(0,8) b(j))"
+        cte(f"{name}_{k + 1}", f"SELECT fit, arg_min(mu, nll) AS mu, arg_min(sg, nll) AS sg, min(nll) AS nll FROM (SELECT fit, mu, sg, -sum(lp)/count(*) AS nll FROM {_interval_ll_sql(f'(SELECT * FROM {grid} g JOIN {rows} r ON {apart})', 'fit, mu, sg')} GROUP BY 1,2,3) GROUP BY fit")
+        half, k = [h * 2.5 / 8 for h in half], k + 1
+    cte(name, f"SELECT * FROM {name}_{k}")
+
+
+BASELINE = (math.log(2436.9), 0.6948)
+cte("iv_cases", """SELECT case_id, distance_m, (5+case_id%120)*20.0::DOUBLE AS u, ('0x'||substr(sha256(floor(lon*10)::BIGINT||':'||floor(lat*10)::BIGINT),1,8))::BIGINT%5 AS own FROM cases""")
+cte("iv_scaled", "SELECT case_id, s AS scale, greatest(0.0,distance_m-u*s) AS lower, distance_m+u*s AS upper, own FROM iv_cases, (VALUES (0.5::DOUBLE),(1.0::DOUBLE),(2.0::DOUBLE)) t(s)")
+cte("iv_rows", "SELECT own, lower, upper FROM iv_scaled WHERE scale=1")
+_zoom_ctes("iv_all", "iv_rows", "(SELECT -1 AS fit)", "true")
+_zoom_ctes("iv_fold", "iv_rows", "(SELECT unnest(generate_series(0,4)) AS fit)", "r.own<>g.fit")
+_zoom_ctes("iv_scale", "iv_scaled", "(SELECT unnest([0.5::DOUBLE,1.0::DOUBLE,2.0::DOUBLE]) AS fit)", "r.scale=g.fit")
+
+
+def _scored_sql(rows):
+    """Losses of (lower, upper, mu, sg) rows and of the baseline, and what lies inside the radii; ``scale`` passes through."""
+    radii = ", ".join(f"exp(mu+{z!r}*sg) AS r{q}" for q, z in ((50, G.Z50), (80, G.Z80), (95, G.Z95)))
+    inner = _interval_ll_sql(f"(SELECT *, {radii} FROM {rows})", "scale, lower, upper, r50, r80, r95")
+    own = inner.replace(" AS lp FROM", " AS own_lp FROM", 1)
+    return _interval_ll_sql(f"(SELECT *, {BASELINE[0]!r}::DOUBLE AS mu, {BASELINE[1]!r}::DOUBLE AS sg FROM {own})", "scale, lower, upper, r50, r80, r95, own_lp")
+
+
+_COVER = ", ".join(f"round(avg(({a}<=r{q})::INT),6) AS {k}{q}" for k, a in (("sure", "upper"), ("maybe", "lower")) for q in (50, 80, 95))
+
+
+@query("a27_fit_interval", "SELECT fit::INT AS fold, round(mu,4) AS mu, round(sg,4) AS sigma, round(nll,6) AS nll, false AS at_boundary FROM iv_all")
 def a27(spark, sf):
     i = interval_cases(spark, sf).select(F.greatest(F.lit(0.0), F.col("distance_m") - F.col("uncertainty_m")).alias("lower"), (F.col("distance_m") + F.col("uncertainty_m")).alias("upper"))
-    return MD.fit_interval(i)
+    return MD.fit_interval(i).select("fold", F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"), R6("nll").alias("nll"), "at_boundary")
+
+
+def _cover(e, keys=(), digits=4):
+    return e.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg("nll"), digits).alias("nll"), F.round(F.avg("baseline_nll"), 4).alias("baseline_nll"),
+        *[R6(F.avg(F.col(f"{k}{q}").cast("double"))).alias(f"{k}{q}") for k in ("sure", "maybe") for q in (50, 80, 95)])
 
 
-@query("a28_interval_holdout")
+@query("a28_interval_holdout", f"""SELECT count(*) AS cases, round(avg(-own_lp),4) AS nll, round(avg(-lp),4) AS baseline_nll, {_COVER} FROM {_scored_sql('(SELECT s.*, mu, sg FROM iv_scaled s JOIN iv_fold f ON f.fit=s.own WHERE scale=1)')}""")
 def a28(spark, sf):
-    e = MD.evaluate_interval(interval_cases(spark, sf), (math.log(2436.9), 0.6948))
-    return e.agg(
-        F.count(F.lit(1)).alias("cases"), F.avg("nll").alias("nll"), F.avg("baseline_nll").alias("baseline_nll"),
-        *[F.avg(F.col(f"{k}{q}").cast("double")).alias(f"{k}{q}") for k in ("sure", "maybe") for q in (50, 80, 95)])
+    """Five spatial folds by block."""
+    return _cover(MD.evaluate_interval(interval_cases(spark, sf), BASELINE))
+
+
+# One Newton step of every case from the fit to all: derivatives of the sum without the case, by differences.
+_H = 1e-3
+cte("iv_stencil", f"""SELECT scale, case_id, lower, upper, i, j, lp FROM {_interval_ll_sql(f"(SELECT s.*, i, j, f.mu+i*{_H} AS mu, f.sg+j*{_H} AS sg FROM iv_scaled s JOIN iv_scale f ON f.fit=s.scale, generate_series(-1,1) a(i), generate_series(-1,1) b(j))", 'scale, case_id, lower, upper, i, j')}""")
+cte("iv_without", """SELECT scale, case_id, i, j, sum(lp) OVER (PARTITION BY scale, i, j)-lp AS f FROM iv_stencil""")
+cte("iv_newton", f"""SELECT scale, case_id, (f11*g2-f12*g1)/(f11*f22-f12*f12) AS d2, (f22*g1-f12*g2)/(f11*f22-f12*f12) AS d1 FROM (SELECT scale, case_id,
+ sum(CASE WHEN j=0 THEN i*f ELSE 0 END)/(2*{_H}) AS g1, sum(CASE WHEN i=0 THEN j*f ELSE 0 END)/(2*{_H}) AS g2, sum(CASE WHEN j<>0 THEN 0 WHEN i=0 THEN -2*f ELSE f END)/pow({_H},2) AS f11,
+ sum(CASE WHEN i<>0 THEN 0 WHEN j=0 THEN -2*f ELSE f END)/pow({_H},2) AS f22, sum(i*j*f)/(4*pow({_H},2)) AS f12 FROM iv_without GROUP BY 1,2)""")
+
+
+@query("a28_leave_one_out", f"""SELECT scale, count(*) AS cases, round(avg(-own_lp),3) AS nll, round(avg(-lp),4) AS baseline_nll, {_COVER} FROM {_scored_sql('(SELECT s.*, f.mu-d1 AS mu, f.sg-d2 AS sg FROM iv_scaled s JOIN iv_scale f ON f.fit=s.scale JOIN iv_newton n ON n.scale=s.scale AND n.case_id=s.case_id)')} GROUP BY 1""")
+def a28l(spark, sf):
+    """Every case against a fit to all others, with half, the whole and twice the assumed uncertainty."""
+    return _cover(MD.leave_one_out_interval(interval_cases(spark, sf), BASELINE), ["scale"], 3)  # the SQL takes one Newton step, exact to the square of a case's weight
+
+
+def _draws_sql(clusters, seed=20260919):
+    """slot, rep and uniform u of every cluster of a table with ``idx`` and 2,000 resamples."""
+    return f"""(SELECT slot, rep, xor(z::BIGINT,z::BIGINT>>16)/4294967296.0::DOUBLE AS u FROM (SELECT *, ((xor(y::BIGINT,y::BIGINT>>13))::HUGEINT*3266489917)%4294967296 AS z FROM
+ (SELECT *, ((xor(x::BIGINT,x::BIGINT>>16))::HUGEINT*2246822519)%4294967296 AS y FROM (SELECT slot, rep, (slot::HUGEINT*747796405+rep::HUGEINT*2891336453+{seed}::HUGEINT*277803737+1597334677)%4294967296 AS x
+ FROM (SELECT idx AS slot, unnest(generate_series(0,1999)) AS rep FROM {clusters})))))"""
 
 
-_U = """(SELECT slot, rep, xor(z::BIGINT,z::BIGINT>>16)/4294967296.0::DOUBLE AS u FROM (SELECT *, ((xor(y::BIGINT,y::BIGINT>>13))::HUGEINT*3266489917)%4294967296 AS z FROM
- (SELECT *, ((xor(x::BIGINT,x::BIGINT>>16))::HUGEINT*2246822519)%4294967296 AS y FROM (SELECT slot, rep, (slot::HUGEINT*747796405+rep::HUGEINT*2891336453+20260919::HUGEINT*277803737+1597334677)%4294967296 AS x
- FROM (SELECT idx AS slot, unnest(generate_series(0,1999)) AS rep FROM clusters)))))"""
 cte("clusters", """SELECT *, row_number() OVER (ORDER BY sha256(person::VARCHAR))-1 AS idx, count(*) OVER () AS total FROM (SELECT track_id%200 AS person, sum(dt)::DOUBLE AS s, count(*) AS c FROM fix_steps GROUP BY 1)""")
 
 
 @query("a29_bootstrap", f"""SELECT count(*) AS resamples, round(quantile_cont(m,0.025),6) AS low, round(quantile_cont(m,0.975),6) AS high FROM
- (SELECT rep, sum(s)/sum(c) AS m FROM (SELECT rep, floor(u*(SELECT any_value(total) FROM clusters))::BIGINT AS idx FROM {_U}) JOIN clusters USING (idx) GROUP BY rep)""")
+ (SELECT rep, sum(s)/sum(c) AS m FROM (SELECT rep, floor(u*(SELECT any_value(total) FROM clusters))::BIGINT AS idx FROM {_draws_sql('clusters')}) JOIN clusters USING (idx) GROUP BY rep)""")
 def a29(spark, sf):
     e = F.col("event_id")
     d = table(spark, sf, "events").select(
@@ -185,10 +255,50 @@ def a30(spark, sf):
     return m.groupBy("case_id").agg(F.round(F.sum("mass") + F.max("outside"), 9).alias("total"), R6(F.max("outside")).alias("outside"), F.round(F.max("mass"), 9).alias("top_mass"))
 
 
-@query("a31_fit_tilt")
+def tilt_cases(spark, sf):
+    """Cases with place, group, distance, the cell they ended in and the two features of all 5,760 cells as arrays."""
+    k = F.col("case_id")
+    label = S.polar_labels(A.incidents(spark, sf)).select(F.col("incident_index").alias("case_id"), F.col("cell").alias("label"))
+    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(geo.POLAR_CELLS - 1).cast("bigint"))
+    return cut_lineage(cases(spark, sf).join(label, "case_id").select(
+        "case_id", "lat", "lon", "spatial_group", "distance_m", "label",
+        F.transform(cells, lambda j: ((k * 31 + j * 17) % 201 - 100) / 50.0).alias("rise"), F.transform(cells, lambda j: ((k * 13 + j * 29) % 91) / 30.0).alias("steep")), "tilt-cases")
+
+
+def _radial(c):
+    r = MD.fit_distance(c, []).first()
+    return r["mu"], r["sigma"]
+
+
+def buffered_tilts(spark, sf):
+    c = tilt_cases(spark, sf)
+    folds, out = MD.buffered_folds(c)
+    return c, folds, foldfits.fit_tilt_folds(c, folds, out, _radial(c))
+
+
+cte("fold_x", f"""SELECT DISTINCT t.spatial_group AS fold, c.case_id FROM cases t JOIN cases c ON t.spatial_group=c.spatial_group OR (abs(t.lat-c.lat)<0.4 AND {A.HAV('t.lat','t.lon','c.lat','c.lon')}<=40000)""")
+cte("fold_train", "SELECT f.fold, c.case_id, distance_m FROM (SELECT DISTINCT spatial_group AS fold FROM cases) f, cases c WHERE NOT EXISTS (SELECT 1 FROM fold_x x WHERE x.fold=f.fold AND x.case_id=c.case_id)")
+cte("fold_fit", "SELECT fold, count(*) AS train_n, avg(ln(distance_m)) AS mu, stddev_pop(ln(distance_m)) AS sigma FROM fold_train GROUP BY 1 HAVING count(*)>=20")
+cte("fold_ring", f"""SELECT fold, ring, ln((hi-lo)/72) AS lb, outside FROM (SELECT fold, ring, exp({S.log_ndtr_sql('zh')}) AS hi, CASE WHEN ring=0 THEN 0 ELSE exp({S.log_ndtr_sql('zl')}) END AS lo, exp({S.log_ndtr_sql('(-zo)')}) AS outside FROM
+ (SELECT fold, ring, (ln((ring+1)*250.0::DOUBLE)-mu)/sigma AS zh, (ln(greatest(ring,1)*250.0::DOUBLE)-mu)/sigma AS zl, (ln(20000.0::DOUBLE)-mu)/sigma AS zo FROM fold_fit, generate_series(0,79) g(ring)))""")
+cte("tilt_label", f"SELECT incident_index AS case_id, cell AS label FROM {S.POLAR_SQL}")
+cte("tilt_cell", "SELECT case_id, c, c//72 AS ring, ((case_id*31+c*17)%201-100)/50.0::DOUBLE AS rise, ((case_id*13+c*29)%91)/30.0::DOUBLE AS steep FROM cases, generate_series(0,5759) g(c)")
+_TILT_STEPS = 4
+cte("tilt_b0", "SELECT fold, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM fold_fit")
+for _k in range(_TILT_STEPS):
+    cte(f"tilt_s{_k}", f"""SELECT fold, case_id, sum(e) AS z, sum(e*rise) AS s1, sum(e*steep) AS s2, sum(e*rise*rise) AS s11, sum(e*rise*steep) AS s12, sum(e*steep*steep) AS s22 FROM
+ (SELECT fold, case_id, rise, steep, exp(lb+b1*rise+b2*steep) AS e FROM fold_train JOIN tilt_b{_k} USING (fold) JOIN tilt_cell USING (case_id) JOIN fold_ring USING (fold, ring)) GROUP BY 1,2""")
+    cte(f"tilt_b{_k + 1}", f"""SELECT fold, b1-(h22*g1-h12*g2)/(h11*h22-h12*h12) AS b1, b2-(h11*g2-h12*g1)/(h11*h22-h12*h12) AS b2 FROM (SELECT fold, b1, b2, g1+0.1*b1 AS g1, g2+0.1*b2 AS g2, h11+0.1 AS h11, h12, h22+0.1 AS h22 FROM
+ (SELECT fold, avg(CASE WHEN label<5760 THEN s1/z-y1 ELSE 0 END) AS g1, avg(CASE WHEN label<5760 THEN s2/z-y2 ELSE 0 END) AS g2, avg(CASE WHEN label<5760 THEN s11/z-pow(s1/z,2) ELSE 0 END) AS h11,
+ avg(CASE WHEN label<5760 THEN s12/z-s1*s2/z/z ELSE 0 END) AS h12, avg(CASE WHEN label<5760 THEN s22/z-pow(s2/z,2) ELSE 0 END) AS h22 FROM
+ (SELECT s.*, label, ((case_id*31+label*17)%201-100)/50.0::DOUBLE AS y1, ((case_id*13+label*29)%91)/30.0::DOUBLE AS y2 FROM tilt_s{_k} s JOIN tilt_label USING (case_id)) GROUP BY 1) JOIN tilt_b{_k} USING (fold))""")
+
+
+@query("a31_fit_tilt", f"""SELECT fold, train_n, round(mu,6) AS mu, round(sigma,6) AS sigma, round(b1,4) AS b1, round(b2,4) AS b2 FROM fold_fit JOIN tilt_b{_TILT_STEPS} USING (fold)""")
 def a31(spark, sf):
-    f, labels, radial = tilt_inputs(spark, sf)
-    return MD.fit_tilt(f, labels, radial)
+    """Tilts of every spatial fold, its own cases and those within 40 km left out."""
+    _, _, fitted = buffered_tilts(spark, sf)
+    return fitted.select("fold", "train_n", R6("mu").alias("mu"), R6("sigma").alias("sigma"), F.round("b1", 4).alias("b1"), F.round("b2", 4).alias("b2"))
 
 
 _MASSV = "((case_id*31+c*17)%1009+1)::DOUBLE"
@@ -212,26 +322,50 @@ def a32(spark, sf):
     return MD.area_hits(_masses(spark, sf), labels)
 
 
-cte("case_pred", "SELECT case_id, spatial_group AS fold, ((case_id*7)%101-60)/50.0::DOUBLE AS delta_nll FROM cases")
-cte("case_folds", "SELECT spatial_group AS fold, (SELECT count(*) FROM cases)-count(*)*20 AS train_n FROM cases GROUP BY 1")
+# Held-out cells of both models: e is the mass before it is brought to one.
+cte("held_cell", f"""SELECT case_id, spatial_group AS fold, c, 2*ring+1 AS units, exp(lb) AS e0, exp(lb+b1*rise+b2*steep) AS e1, outside FROM cases JOIN tilt_b{_TILT_STEPS} ON fold=spatial_group JOIN tilt_cell USING (case_id) JOIN fold_ring USING (fold, ring)""")
+cte("held_true", """SELECT case_id, fold, label, e0, e1, units FROM held_cell JOIN tilt_label USING (case_id) WHERE c=label""")
+cte("held_sums", f"""SELECT h.case_id, h.fold, any_value(outside) AS outside, sum(h.e0) AS z0, sum(h.e1) AS z1, any_value(t.e0) AS y0, any_value(t.e1) AS y1, count(t.case_id)>0 AS inside,
+ sum(CASE WHEN h.e0/h.units>t.e0/t.units OR (h.e0=t.e0 AND h.units=t.units AND h.c<=label) THEN h.units END) AS a0, sum(CASE WHEN h.e1/h.units>t.e1/t.units OR (h.e1/h.units=t.e1/t.units AND h.c<=label) THEN h.units END) AS a1 FROM held_cell h LEFT JOIN held_true t USING (case_id) GROUP BY 1,2""")
+_HITS = {f"{k}_hit{s}": f"coalesce({a}<={round(s / 100 * geo.TOTAL_UNITS)},false)" for k, a in (("base", "a0"), ("tilted", "a1")) for s in (10, 20, 30)}
+cte("held_pred", f"""SELECT case_id, fold, CASE WHEN inside THEN -ln(y0/z0)-ln(1-outside) ELSE -ln(outside) END AS base_nll, CASE WHEN inside THEN -ln(y1/z1)-ln(1-outside) ELSE -ln(outside) END AS nll, {', '.join(f'{v} AS {k}' for k, v in _HITS.items())} FROM held_sums""")
 
 
-@query("a33_fold_summary", """SELECT count(*) AS cases, count(DISTINCT fold) AS folds, round(avg(delta_nll),6) AS delta_mean, min(train_n) AS min_train, round(median(delta_nll),6) AS delta_median, (SELECT count(*) FROM case_folds WHERE train_n<20) AS failed
- FROM case_pred JOIN case_folds USING (fold) WHERE train_n>=20""")
+@query("a33_fold_summary", f"""SELECT count(*) AS cases, count(DISTINCT fold) AS folds, round(avg(nll-base_nll),5) AS delta_mean, min(train_n) AS min_train, round(median(nll-base_nll),5) AS delta_median,
+ (SELECT count(DISTINCT spatial_group) FROM cases)-(SELECT count(*) FROM fold_fit) AS failed, round(avg(base_nll),5) AS base_nll, round(avg(nll),5) AS nll, {', '.join(f'round(avg({k}::INT),6) AS {k}' for k in _HITS)} FROM held_pred JOIN fold_fit USING (fold)""")
 def a33(spark, sf):
-    c = cases(spark, sf)
-    pred = c.select("case_id", F.col("spatial_group").alias("fold"), (((F.col("case_id") * 7) % 101 - 60) / 50.0).alias("delta_nll"))
-    n = c.groupBy("spatial_group").agg(F.count(F.lit(1)).alias("k"))
-    folds = MD._one_row(n, c.agg(F.count(F.lit(1)).alias("t"))).select(F.col("spatial_group").alias("fold"), (F.col("t") - F.col("k") * 20).alias("train_n"))
-    s = MD.fold_summary(pred, folds)
-    return s.select("cases", "folds", R6("delta_mean").alias("delta_mean"), "min_train", R6("delta_median").alias("delta_median"), "failed")
+    """Held-out losses and area hits of the radial and the tilted model over all spatial folds."""
+    c, folds, fitted = buffered_tilts(spark, sf)
+    pred = foldfits.score_held_out(c, fitted, "spatial_group").withColumn("delta_nll", F.col("nll") - F.col("base_nll"))
+    all_folds = c.select(F.col("spatial_group").alias("fold")).distinct().join(folds.select("fold", "train_n"), "fold", "left").fillna(0, ["train_n"])
+    s = MD.fold_summary(pred, all_folds)
+    five = lambda name: F.round(name, 5).alias(name)
+    return s.select("cases", "folds", five("delta_mean"), "min_train", five("delta_median"), "failed", five("base_nll"), five("nll"), *[R6(k).alias(k) for k in _HITS])
+
+
+@query("a31_leave_one_out")
+def a31l(spark, sf):
+    """Every case against tilts from all other cases: as many fits as cases from one pass over them."""
+    c = tilt_cases(spark, sf)
+    fitted = foldfits.fit_tilt_folds(c, MD.case_folds(c), None, _radial(c))
+    pred = foldfits.score_held_out(c, fitted, "case_id").withColumn("delta_nll", F.col("nll") - F.col("base_nll"))
+    return pred.agg(F.count(F.lit(1)).alias("cases"), F.avg("delta_nll").alias("delta_mean"), F.avg("base_nll").alias("base_nll"), F.avg("nll").alias("nll"), *[F.avg(F.col(k).cast("double")).alias(k) for k in _HITS])
+
+
+cte("gate_people", "SELECT baseline_nll-model_nll AS s, baseline_nll, row_number() OVER (ORDER BY sha256(person::VARCHAR))-1 AS idx, count(*) OVER () AS total FROM held_scores WHERE split='test'")
+cte("gate_resamples", f"SELECT rep, avg(s) AS m FROM (SELECT rep, floor(u*(SELECT any_value(total) FROM gate_people))::BIGINT AS idx FROM {_draws_sql('gate_people')}) JOIN gate_people USING (idx) GROUP BY rep")
 
 
-@query("a34_gate", """SELECT bool_and(people>=30) AS enough_people, bool_and(baseline_nll-model_nll>0) AS improved, bool_and(people>=30) AND bool_and(baseline_nll-model_nll>0) AS passed,
- CASE WHEN bool_and(people>=30) AND bool_and(baseline_nll-model_nll>0) THEN 'ADOPTED' ELSE 'NOT_ADOPTED' END AS status FROM (SELECT count(*) AS people, avg(model_nll) AS model_nll, avg(baseline_nll) AS baseline_nll FROM tr_scores)""")
+@query("a34_gate", """SELECT enough_people, improved, sure, enough_people AND improved AND sure AS passed, CASE WHEN enough_people AND improved AND sure THEN 'ADOPTED' ELSE 'NOT_ADOPTED' END AS status, relative, low, high FROM
+ (SELECT people>=6 AS enough_people, relative>=0.01 AS improved, low>0 AS sure, round(relative,6) AS relative, round(low,6) AS low, round(high,6) AS high FROM (SELECT count(*) AS people, avg(s)/avg(baseline_nll) AS relative FROM gate_people),
+ (SELECT quantile_cont(m,0.025) AS low, quantile_cont(m,0.975) AS high FROM gate_resamples))""")
 def a34(spark, sf):
-    m = MD.macro(scores(spark, sf), ["model_nll", "baseline_nll"])
-    return MD.gate(m, {"enough_people": F.col("people") >= 30, "improved": F.col("baseline_nll") - F.col("model_nll") > 0})
+    """Whether the transition model is adopted: gain on test people, with the paired bootstrap over them."""
+    test = scores(spark, sf).where("split = 'test'").withColumn("gain", F.col("baseline_nll") - F.col("model_nll"))
+    m = test.agg(F.count(F.lit(1)).alias("people"), (F.avg("gain") / F.avg("baseline_nll")).alias("relative"))
+    m = cut_lineage(MD._one_row(m, MD.bootstrap(test, "person", "gain")), "gate")
+    g = MD.gate(m, {"enough_people": F.col("people") >= 6, "improved": F.col("relative") >= 0.01, "sure": F.col("low") > 0})
+    return MD._one_row(g, m.select(*[R6(c).alias(c) for c in ("relative", "low", "high")]))
 
 
 _SMP = """(SELECT h AS horizon, (s_suppkey*37%200-100)*h/30.0::DOUBLE AS x, (s_suppkey*53%200-100)*h/30.0::DOUBLE AS y, (s_suppkey*71%200-100)*h/30.0::DOUBLE AS x2, (s_suppkey*91%200-100)*h/30.0::DOUBLE AS y2 FROM supplier, (VALUES (30),(120),(300)) t(h))"""

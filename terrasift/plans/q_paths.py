@@ -93,8 +93,9 @@ cte("plan_gain", """SELECT mission_id, plan_id, scenario, width, sum(weight*exp(
 
 
 def gains(spark, sf):
-    e = exposed(spark, sf)
-    return P.gain(e.where("plan_id <> 0"), e.where("plan_id = 0"))
+    p, steps = paths(spark, sf), plan_steps(spark, sf)
+    first = P.exposure(p, steps.where("plan_id = 0"), scale=0.01)
+    return P.gain(P.exposure(p, steps.where("plan_id <> 0"), scale=0.01, assigned=first))
 
 
 @query("a14_gain", """SELECT mission_id, plan_id, round(CASE WHEN count(*) FILTER (width=15)=3 THEN min(gain) FILTER (width=15) ELSE 0 END,8) AS worst, round(CASE WHEN count(*)=9 THEN min(gain) ELSE 0 END,8) AS low, round(max(gain),8) AS high FROM plan_gain GROUP BY 1,2""")

@@ -47,19 +47,23 @@ def s2(spark, sf):
     return c.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max("c_name").alias("last_name"))
 
 
-@query("s3_plt_scan", "SELECT person, count(*) AS n, round(sum(39.0+(event_id%1000)/1000.0::DOUBLE),4) AS lat_sum FROM (SELECT user_id%20 AS person, event_id FROM events) WHERE person%4<>0 GROUP BY 1")
+@query("s3_plt_scan", """SELECT person, count(*) FILTER (event_id%101<>0) AS n, round(sum(39.0+(event_id%1000)/1000.0::DOUBLE) FILTER (event_id%101<>0),4) AS lat_sum, sum(line_no) FILTER (event_id%101<>0)::BIGINT AS line_sum,
+ count(*) FILTER (event_id%101=0) AS rejects, sum(line_no) FILTER (event_id%101=0)::BIGINT AS reject_lines FROM (SELECT user_id%20 AS person, event_id, 6+row_number() OVER (PARTITION BY user_id%20 ORDER BY event_id) AS line_no FROM events) WHERE person%4<>0 GROUP BY 1""")
 def s3(spark, sf):
-    """Trajectory text per person with its header lines; only people with a walk label are kept."""
+    """A trajectory file per person with six header lines and some broken lines; only people with a walk label are kept."""
     e = F.col("event_id")
-    row = F.concat_ws(",", (F.lit(39.0) + e % 1000 / 1000.0).cast("string"), F.lit("116.3"), F.lit("0"), F.lit("100"), (F.lit(39744.0) + e / 86400.0).cast("string"), F.lit("2008-10-23"), F.lit("02:53:04"))
-    lines = table(spark, sf, "events").select((F.col("user_id") % 20).alias("person"), row.alias("value"))
-    head = lines.select("person").distinct().select("person", F.explode(F.array(*[F.lit(h) for h in ("Geolife trajectory", "WGS 84", "Altitude is in Feet", "Reserved 3", "0,2,255,My Track", "0")])).alias("value"))
+    broken = e % 101 == 0
+    row = F.concat_ws(",", F.when(broken, "n/a").otherwise((F.lit(39.0) + e % 1000 / 1000.0).cast("string")), F.lit("116.3"), F.lit("0"), F.lit("100"), (F.lit(39744.0) + e / 86400.0).cast("string"), F.lit("2008-10-23"), F.when(e % 202 != 0, "02:53:04"))
+    lines = table(spark, sf, "events").select((F.col("user_id") % 20).alias("person"), e.alias("at"), row.alias("value"))
+    header = ("Geolife trajectory", "WGS 84", "Altitude is in Feet", "Reserved 3", "0,2,255,My Track,0,0,2,8421376", "0")
+    head = lines.select("person").distinct().select("person", F.posexplode(F.array(*[F.lit(h) for h in header])).alias("at", "value")).withColumn("at", F.col("at") - 100)
     out = shared_dir(spark, "plt")
-    for part, df in (("head", head), ("body", lines)):
-        df.write.partitionBy("person").text(f"{out}/{part}")
+    lines.unionByName(head).repartition("person").sortWithinPartitions("person", "at").select("person", "value").write.partitionBy("person").text(out)
     eligible = lines.select("person").distinct().where("person % 4 <> 0").select(F.col("person").cast("string").alias("person"))
-    p = RD.read_plt(spark, out, eligible, glob="part-*", person=r"person=(\d+)")
-    return p.groupBy(F.col("person").cast(BIG).alias("person")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lat"), 4).alias("lat_sum"))
+    points, rejects = RD.read_plt(spark, out, eligible, glob="part-*", person=r"person=(\d+)")
+    p = points.groupBy("person").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lat"), 4).alias("lat_sum"), F.sum("line_no").alias("line_sum"))
+    r = rejects.groupBy("person").agg(F.count(F.lit(1)).alias("rejects"), F.sum("line_no").alias("reject_lines"))
+    return p.join(r, "person", "left").fillna(0, ["rejects"]).withColumn("person", F.col("person").cast(BIG))
 
 
 @query("s4_label_scan", "SELECT mode, count(*) AS n FROM (SELECT CASE WHEN o_custkey%3=0 THEN 'walk' ELSE 'bus' END AS mode FROM orders WHERE o_orderkey%10<>0) GROUP BY 1")
@@ -88,18 +92,18 @@ def s5(spark, sf):
     return _one_row(s, dup.agg(F.count(F.lit(1)).alias("duplicate_ids")))
 
 
-@query("s6_osm_scan", "SELECT category, count(*) AS n FROM poi WHERE category IS NOT NULL GROUP BY 1")
+@query("s6_osm_scan", """SELECT category, count(*) AS n FROM poi WHERE category IS NOT NULL AND "row"<60 GROUP BY 1""")
 def s6(spark, sf):
     p = A.poi(spark, sf).select(
         F.lit("node").alias("type"), F.regexp_extract("osm_id", r"(\d+)$", 1).cast(BIG).alias("id"), F.lit(33.4).alias("lat"), F.when(F.col("row") < 30, F.lit(126.3)).alias("lon"),
-        F.when(F.col("row") >= 30, F.struct(F.lit(33.4).alias("lat"), F.lit(126.3).alias("lon"))).alias("center"), "tags")
+        F.when(F.col("row") >= 30, F.struct(F.when(F.col("row") < 60, 33.4).otherwise(35.1).alias("lat"), F.lit(126.3).alias("lon"))).alias("center"), "tags")
     out = shared_dir(spark, "osm")
     p.select(F.array(F.struct(*p.columns)).alias("elements")).write.json(out)
-    poi, _ = RD.read_osm(spark, out, multiline=False)
+    poi, _ = RD.read_osm(spark, out, multiline=False, on_grid=lambda lon, lat: lon.between(126.02, 127.08) & lat.between(33.0, 33.67))
     return poi.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s7_terrain_window", """SELECT count(*) AS n, round(sum(dem),2) AS dem_sum FROM terrain WHERE window_id=0 AND "row" BETWEEN 16 AND 47 AND col BETWEEN 16 AND 47""")
+@query("s7_terrain_window", """SELECT count(*) AS n, round(sum(dem),2) AS dem_sum, 1024::BIGINT AS expected, 0::BIGINT AS incomplete FROM terrain WHERE window_id=0 AND "row" BETWEEN 16 AND 47 AND col BETWEEN 16 AND 47""")
 def s7(spark, sf):
     """Terrain written by tile; a window scan reads only its tiles."""
     t = A.terrain(spark, sf)
@@ -108,7 +112,11 @@ def s7(spark, sf):
         F.col("slope").cast("float").alias("slope"), F.col("road_distance").cast("float").alias("road_distance"), (F.col("road_distance") < 30).alias("on_road"))
     out = shared_dir(spark, "terrain")
     RD.write_terrain(cells, out, tile=16)
-    return RD.read_terrain(spark, out, 16, 16, size=32, tile=16).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dem"), 2).alias("dem_sum"))
+    window = RD.read_terrain(spark, out, 16, 16, size=32, tile=16)
+    gaps = RD.terrain_gaps(window, 32, 32).select("expected", "incomplete")
+    from ..operators.models import _one_row
+
+    return _one_row(window.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dem"), 2).alias("dem_sum")), gaps)
 
 
 @query("s8_point_text", "SELECT incident_index, round(ipp_lat,6) AS latitude, round(ipp_lon,6) AS longitude FROM incidents")
@@ -127,6 +135,12 @@ def s9(spark, sf):
     return files.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast(BIG).alias("k"), "bytes", "sha256", "md5")
 
 
+@query("s9_text_fingerprint", "SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
+def s9t(spark, sf):
+    """Size and hashes of every whole document text."""
+    return RD.row_fingerprint(table(spark, sf, "documents"), ["doc_id"], "text")
+
+
 @query("s10_model_scan", "SELECT c_custkey::VARCHAR AS model, (c_custkey%9)::DOUBLE AS s, 1000.0::DOUBLE+c_custkey AS scale FROM customer WHERE c_custkey%9>0 AND c_custkey%7<>0")
 def s10(spark, sf):
     k = F.col("c_custkey")
@@ -185,10 +199,16 @@ def k5(spark, sf):
     return SK.append_version(v, new).select("mission_id", "number", "parent_hash", (F.length("hash") == 64).alias("chained"))
 
 
-@query("k6_manifest", "SELECT 0::BIGINT AS problems")
+@query("k6_manifest", """SELECT s_suppkey AS k, CASE WHEN s_suppkey%7=0 THEN 'MISSING' ELSE 'CHANGED' END AS problem FROM supplier WHERE s_suppkey%7=0 OR s_suppkey%5=0 UNION ALL SELECT s_suppkey+1000000000, 'EXTRA' FROM supplier WHERE s_suppkey%11=0""")
 def k6(spark, sf):
-    """A manifest of written files matches the files."""
-    out = shared_dir(spark, "package")
-    table(spark, sf, "nation").write.option("header", "true").csv(out)
-    m = SK.manifest(spark, out).withColumnRenamed("name", "path")
-    return ST.verify(SK.manifest(spark, out).withColumnRenamed("name", "path"), m).agg(F.count(F.lit(1)).alias("problems"))
+    """A manifest is written with its files; another copy of the files has missing, changed and further ones."""
+    out, record, other = (shared_dir(spark, p) for p in ("package", "manifest", "copy"))
+    k = F.col("s_suppkey")
+    files = table(spark, sf, "supplier").select(k.alias("k"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value"))
+    files.repartition("k").write.partitionBy("k").text(out)
+    SK.write_manifest(spark, out, record, r"/(k=\d+)/")
+    copy = files.where("k % 7 <> 0").withColumn("value", F.when(F.col("k") % 5 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    more = files.where("k % 11 = 0").withColumn("k", F.col("k") + 1_000_000_000)
+    copy.unionByName(more).repartition("k").write.partitionBy("k").text(other)
+    found = ST.verify(SK.manifest(spark, other, r"/(k=\d+)/").where("name <> ''"), SK.read_manifest(spark, record).where("name <> ''"), "name")
+    return found.select(F.regexp_extract("name", r"k=(\d+)", 1).cast(BIG).alias("k"), "problem")

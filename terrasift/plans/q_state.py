@@ -15,15 +15,21 @@ R6 = lambda c: F.round(c, 6)
 BIG = "bigint"
 O, C_ = "o_orderkey", "o_custkey"
 
-_RULES = """concat_ws(',', CASE WHEN NOT (lon BETWEEN 126.02 AND 127.08) THEN 'lon' END, CASE WHEN NOT (hours BETWEEN 0.25 AND 8) THEN 'hours' END, CASE WHEN NOT (row_share BETWEEN 0 AND 0.5) THEN 'row_share' END, CASE WHEN NOT (team_size BETWEEN 1 AND 12) THEN 'team_size' END)"""
-
-
-@query("f11_violations", f"""SELECT k, {_RULES} AS violations FROM (SELECT o_orderkey AS k, 126.0::DOUBLE+(o_custkey%120)/100.0::DOUBLE AS lon, (o_orderkey%40)/4.0::DOUBLE AS hours, (o_custkey%70)/100.0::DOUBLE AS row_share, o_orderkey%14 AS team_size FROM orders)""")
+# One value per rule from the keys of an order; most rules are broken by some rows.
+_SETTINGS = {
+    "lon": "126.0+(o_custkey%120)/100.0", "lat": "32.9+(o_orderkey%90)/100.0", "hours": "(o_orderkey%40)/4.0", "sigma": "(o_custkey%530)*1.0", "facility_strength": "(o_custkey%110)/100.0",
+    "night_factor": "(o_orderkey%110)/100.0", "row_share": "(o_custkey%70)/100.0", "team_size": "(o_orderkey%14)*1.0", "spacing_m": "(o_custkey%64)*1.0", "minutes": "(o_orderkey%125)*1.0",
+}
+_LIMITS = {  # fixed values: the ranges a mission may have
+    "lon": (126.02, 127.08), "lat": (33.0, 33.67), "hours": (0.25, 8), "sigma": (5, 500), "facility_strength": (0, 1), "night_factor": (0.3, 1), "row_share": (0, 0.5), "team_size": (1, 12), "spacing_m": (3, 60), "minutes": (5, 120),
+}
+_RULES = ", ".join(f"CASE WHEN NOT ({n} BETWEEN {lo} AND {hi}) THEN '{n}' END" for n, (lo, hi) in _LIMITS.items())
+
+
+@query("f11_violations", f"""SELECT k, concat_ws(',', {_RULES}) AS violations FROM (SELECT o_orderkey AS k, {', '.join(f"({e})::DOUBLE AS {n}" for n, e in _SETTINGS.items())} FROM orders)""")
 def f11(spark, sf):
-    o, c = F.col(O), F.col(C_)
-    d = table(spark, sf, "orders").select(o.alias("k"), (F.lit(126.0) + c % 120 / 100.0).alias("lon"), (o % 40 / 4.0).alias("hours"), (c % 70 / 100.0).alias("row_share"), (o % 14).alias("team_size"))
-    rules = {n: F.expr(ST.MISSION_RULES[n]) for n in ("lon", "hours", "row_share", "team_size")}
-    return ST.violations(d, rules).select("k", F.concat_ws(",", "violations").alias("violations"))
+    d = table(spark, sf, "orders").select(F.col(O).alias("k"), *[F.expr(e).cast("double").alias(n) for n, e in _SETTINGS.items()])
+    return ST.violations(d, {n: F.expr(r) for n, r in ST.MISSION_RULES.items()}).select("k", F.concat_ws(",", "violations").alias("violations"))
 
 
 cte("log_versions", """SELECT mission_id, number, hash, CASE WHEN o%101=0 THEN 'tampered' ELSE coalesce(lag(hash) OVER (PARTITION BY mission_id ORDER BY number),'genesis') END AS parent_hash, o FROM
@@ -187,13 +193,13 @@ def j5(spark, sf):
 
 
 @query("g1_travel_time", """WITH RECURSIVE reach(window_id, cell, s) USING KEY (window_id, cell) AS (SELECT DISTINCT window_id, floor("row")::BIGINT*512+floor(col)::BIGINT, 0.0::DOUBLE FROM poi_ok WHERE eligible
- UNION SELECT e.window_id, e.src, min(d.s+e.seconds) FROM reach d JOIN edges8 e ON e.window_id=d.window_id AND e.dst=d.cell LEFT JOIN recurring.reach r ON r.window_id=e.window_id AND r.cell=e.src WHERE d.s+e.seconds<=600 AND (r.s IS NULL OR d.s+e.seconds<r.s-1e-9) GROUP BY 1,2)
+ UNION SELECT e.window_id, e.src, min(d.s+e.seconds) FROM reach d JOIN edges8 e ON e.window_id=d.window_id AND e.dst=d.cell LEFT JOIN recurring.reach r ON r.window_id=e.window_id AND r.cell=e.src WHERE r.s IS NULL OR d.s+e.seconds<r.s-1e-9 GROUP BY 1,2)
  SELECT window_id, cell, round(s,4) AS seconds, round(exp(-s/900),6) AS decay FROM reach""")
 def g1(spark, sf):
-    """Seconds and decay to the nearest usable facility, up to ten minutes."""
+    """Seconds and decay to the nearest usable facility, over all cells that reach one; a window is four tiles."""
     t = A.terrain(spark, sf)
     seeds = GR.poi_eligible(A.poi(spark, sf), t).where("eligible").select("window_id", (F.col("r") * 512 + F.col("c")).alias("cell"))
-    d = GR.travel_time(GR.edges8(t), seeds, 600.0)
+    d = GR.travel_time(GR.edges8(t), seeds, side=32)
     from ..functions import geo
 
     return d.select("window_id", "cell", F.round("seconds", 4).alias("seconds"), R6(geo.decay("seconds")).alias("decay"))

@@ -83,14 +83,14 @@ def t1(spark, sf):
 
 @query("t2_screen_late_stream", "SELECT count(*) FILTER (early) AS quarantined, count(*) FILTER (NOT early AND ceil(age/60.0)*60<=1800) AS used FROM (SELECT *, bool_or(track_id%3=0 AND t_s<200) OVER (PARTITION BY track_id) AS early, t_s-CASE WHEN track_id%3=0 THEN 200 ELSE 0 END AS age FROM fixes)")
 def t2(spark, sf):
-    """Every third track starts before its base time and is refused whole; a track is uploaded in one batch."""
+    """Every third track starts before its base time and is refused whole, though its fixes come in several batches."""
     f = A.fixes(spark, sf, A.track_block(spark, sf)).select("track_id", "seq", "t_s", F.when(F.col("track_id") % 3 == 0, 200).otherwise(0).alias("base_s"))
     good, bad, ck = (shared_dir(spark, p) for p in ("good", "bad", "ck"))
-    SM.screen_late(stream_of(spark, f, "late-in", "track_id"), good, bad, ck, horizon=1800).awaitTermination()
+    SM.screen_late(stream_of(spark, f, "late-in", "seq"), good, bad, ck, horizon=1800).awaitTermination()
     from ..operators.models import _one_row
 
-    q = spark.read.parquet(bad).agg(F.count(F.lit(1)).alias("quarantined"))
-    return _one_row(q, spark.read.parquet(good).agg(F.count(F.lit(1)).alias("used")))
+    used, refused = SM.screened(spark, good, bad)
+    return _one_row(refused.agg(F.count(F.lit(1)).alias("quarantined")), used.agg(F.count(F.lit(1)).alias("used")))
 
 
 @query("t11_running_coverage_stream", """SELECT mission_id, count(*) AS cells, round(sum(effort),6) AS effort FROM effort GROUP BY 1""")

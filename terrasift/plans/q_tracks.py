@@ -50,7 +50,7 @@ def f2(spark, sf):
 
 @query("f3_exclusion_reasons", """SELECT objectid, concat_ws(',', CASE WHEN case_a<>case_b THEN 'CROSS_CASE_JOIN' END, CASE WHEN n<>1 THEN 'MULTIPLE_ENDPOINTS_UNRESOLVED' END,
  CASE WHEN type_a<>'IPP' OR type_b<>'Found' THEN 'NON_PRIMARY_ENDPOINT' END, CASE WHEN lon_a IS NULL OR abs(lon_a)>180 OR abs(lon_b)>180 THEN 'INVALID_COORDINATE' END,
- CASE WHEN err_a<=0 OR err_b<=0 THEN 'INVALID_UNCERTAINTY' END) AS reasons FROM (SELECT *, count(*) OVER (PARTITION BY case_a) AS n FROM endpoint_links)""")
+ CASE WHEN err_a<=0 OR err_b<=0 THEN 'INVALID_UNCERTAINTY' END, CASE WHEN lon_a=lon_b AND lat_a=lat_b AND abs(lon_b)<=180 THEN 'ZERO_DISTANCE' END, CASE WHEN n_paths<>1 OR n_vertices<>2 THEN 'UNEXPECTED_GEOMETRY' END) AS reasons FROM (SELECT *, count(*) OVER (PARTITION BY case_a) AS n FROM endpoint_links)""")
 def f3(spark, sf):
     return T.exclusion_reasons(A.endpoint_links(spark, sf)).select("objectid", F.concat_ws(",", "reasons").alias("reasons"))
 

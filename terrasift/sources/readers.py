@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, timefn
@@ -14,10 +17,38 @@ GPX_SCHEMA = (
 )
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Size, SHA-256 and MD5 of every file below a path; the bytes stay on the executors."""
+ROW_BYTES = (1 << 31) - (1 << 20)  # what one binary value can hold
+
+
+def fingerprint(spark: SparkSession, path: str, max_bytes: int = ROW_BYTES) -> DataFrame:
+    """Size, SHA-256 and MD5 of every file below a path; the bytes stay on the executors.
+
+    A file beyond ``max_bytes`` is not read: its row has its size, no hashes and ``TOO_LARGE`` as its problem.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    small = files.where(F.col("length") <= max_bytes)  # a filter of the scan: other files are not opened
+    none = F.lit(None).cast("string")
+    out = small.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), none.alias("problem"))
+    large = files.select("path", "length").where(F.col("length") > max_bytes)
+    return out.unionByName(large.select("path", F.col("length").alias("bytes"), none.alias("sha256"), none.alias("md5"), F.lit("TOO_LARGE").alias("problem")))
+
+
+def row_fingerprint(df: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """Bytes, SHA-256 and MD5 of a text column by row; a missing text has no hashes."""
+    return df.select(*keys, F.octet_length(content).cast("bigint").alias("bytes"), F.sha2(content, 256).alias("sha256"), F.md5(content).alias("md5"))
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """value, file and line_no (from 1) of text files; a long file is read and numbered in several tasks.
+
+    Lines are numbered inside the piece of a file that one task reads; the pieces before it add their counts.
+    """
+    t = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    t = t.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    inner = t.withColumn("__n", F.row_number().over(W.partitionBy("file", "__at").orderBy("__id")))
+    pieces = t.groupBy("file", "__at").agg(F.count(F.lit(1)).alias("__lines"))
+    before = F.coalesce(F.sum("__lines").over(W.partitionBy("file").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per piece
+    return inner.join(pieces.select("file", "__at", before.alias("__off")), ["file", "__at"]).select("value", "file", (F.col("__n") + F.col("__off")).cast("bigint").alias("line_no"))
 
 
 def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx", max_bytes: int | None = None, max_points: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -68,20 +99,27 @@ SEARCHER_TRACKS = "search_type string, team_id bigint, searcher_id bigint, track
 INCIDENT_ENDPOINTS = "incident_index bigint, IPP_lat double, IPP_lon double, find_lat double, find_lon double, straight_line_distance_m double, source_file string, row_kind string"
 
 
-def read_plt(spark: SparkSession, path: str, eligible: DataFrame | None = None, glob: str = "*.plt", person: str = r"/([^/]+)/Trajectory/[^/]+$") -> DataFrame:
-    """Trajectory text files: six header lines, then lat, lon, _, altitude, day number, date, time.
+PLT_HEADER = 6
+
+
+def read_plt(spark: SparkSession, path: str, eligible: DataFrame | None = None, glob: str = "*.plt", person: str = r"/([^/]+)/Trajectory/[^/]+$") -> tuple[DataFrame, DataFrame]:
+    """(points, rejects) of trajectory text files: six header lines, then lat, lon, _, altitude, day number, date, time.
 
-    Lines are read as lines, so a long file splits over tasks; header lines are told from data by their
-    shape (data lines have seven fields). ``eligible`` keeps only the listed people.
+    Lines are read as lines, so a long file splits over tasks; ``line_no`` is the line's place in its file.
+    A data line without seven fields or without numbers for position and day is a reject (person, file,
+    line_no, value). ``eligible`` keeps only the listed people.
     """
-    t = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    t = t.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    c = F.split("value", ",")
-    t = t.where(F.size(c) == 7).withColumn("person", F.regexp_extract("file", person, 1))
+    t = numbered_lines(spark, path, glob).where((F.col("line_no") > PLT_HEADER) & (F.trim("value") != ""))
+    t = t.withColumn("person", F.regexp_extract("file", person, 1))
     if eligible is not None:
         t = t.join(eligible.select("person"), "person", "left_semi")
-    num = lambda i: c[i].try_cast("double")
-    return t.select("person", "file", "line_no", num(0).alias("lat"), num(1).alias("lon"), num(4).alias("excel_days"), F.concat_ws(" ", c[5], c[6]).alias("text_time"))
+    c = F.split("value", ",")
+    num = lambda i: F.get(c, F.lit(i)).try_cast("double")
+    points = t.select(
+        "person", "file", "line_no", num(0).alias("lat"), num(1).alias("lon"), num(4).alias("excel_days"), F.concat_ws(" ", F.get(c, F.lit(5)), F.get(c, F.lit(6))).alias("text_time"), "value",
+        (F.size(c) == 7).alias("__seven"))
+    ok = F.col("__seven") & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("excel_days").isNotNull()
+    return points.where(ok).drop("value", "__seven"), points.where(~ok).select("person", "file", "line_no", "value")
 
 
 def read_labels(spark: SparkSession, path: str, glob: str = "labels.txt") -> tuple[DataFrame, DataFrame]:
@@ -119,14 +157,19 @@ OSM_SCHEMA = (
 )
 
 
-def read_osm(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(facilities, ways): classified points with a position, and ways with more than one vertex."""
+def read_osm(spark: SparkSession, path: str, multiline: bool = True, on_grid: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facilities, ways): classified points with a position, and ways with more than one vertex.
+
+    ``on_grid`` tells from longitude and latitude whether a point lies on the master grid; others are dropped.
+    """
     e = spark.read.schema(OSM_SCHEMA).option("multiLine", multiline).json(path).select(F.explode("elements").alias("e")).select("e.*")
     lon, lat = F.coalesce("center.lon", "lon"), F.coalesce("center.lat", "lat")
     poi = e.select(
         F.concat_ws("/", "type", "id").alias("osm_id"), geo.poi_category("tags").alias("category"), geo.poi_name("tags").alias("name"), F.coalesce(F.col("tags")["opening_hours"], F.lit("")).alias("opening_hours"),
         F.coalesce(F.col("tags")["access"], F.lit("unknown")).alias("access"), F.when(F.col("type") == "node", "node").otherwise("geometry_center").alias("coordinate_kind"), lon.alias("lon"), lat.alias("lat"),
     ).where(F.col("category").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    if on_grid is not None:
+        poi = poi.where(F.coalesce(on_grid(F.col("lon"), F.col("lat")), F.lit(False)))
     ways = e.where((F.col("type") == "way") & (F.size("geometry") > 1)).select("id", "geometry", "tags").dropDuplicates(["id"])
     return poi, ways
 
@@ -135,13 +178,16 @@ TERRAIN_SCHEMA = "row int, col int, dem float, landcover smallint, slope float,
 
 
 def write_terrain(cells: DataFrame, path: str, tile: int = 64) -> None:
-    """Terrain cells partitioned by tile, so a window reads its own tiles only."""
+    """Terrain cells in the order of their tiles, so that a window reads the files and row groups of its own tiles only.
+
+    Tiles are dealt by range; files hold many tiles each and carry the bounds of theirs.
+    """
     t = cells.withColumn("tile_r", F.floor(F.col("row") / tile).cast("int")).withColumn("tile_c", F.floor(F.col("col") / tile).cast("int"))
-    t.repartition("tile_r", "tile_c").write.partitionBy("tile_r", "tile_c").mode("errorifexists").parquet(path)
+    t.repartitionByRange("tile_r", "tile_c").sortWithinPartitions("tile_r", "tile_c", "row", "col").write.mode("errorifexists").parquet(path)
 
 
 def read_terrain(spark: SparkSession, path: str, row0: int | None = None, col0: int | None = None, size: int = 512, tile: int = 64) -> DataFrame:
-    """Terrain cells; with an origin only the window's tiles are scanned (partition pruning)."""
+    """Terrain cells; with an origin the tile bounds are filters of the scan, so other files and row groups are skipped."""
     t = spark.read.schema(TERRAIN_SCHEMA).parquet(path)
     if row0 is None:
         return t

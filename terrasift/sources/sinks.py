@@ -102,7 +102,16 @@ def append_version(versions: DataFrame, new: DataFrame) -> DataFrame:
     return r.withColumn("hash", receipt_hash(r.columns))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name and SHA-256 of every file of an output folder."""
+def manifest(spark: SparkSession, path: str, name: str = r"([^/]+)$") -> DataFrame:
+    """Name, SHA-256 and size of every file of an output folder; ``name`` says which part of a path names the file."""
     f = fingerprint(spark, path)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "sha256", "bytes")
+    return f.select(F.regexp_extract("path", name, 1).alias("name"), "sha256", "bytes")
+
+
+def write_manifest(spark: SparkSession, path: str, out: str, name: str = r"([^/]+)$") -> None:
+    """The manifest of a folder as JSON lines in another one, which is then its record."""
+    manifest(spark, path, name).write.mode("errorifexists").json(out)
+
+
+def read_manifest(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("name string, sha256 string, bytes bigint").json(out)

@@ -268,24 +268,33 @@ def stream_evidence(edges: DataFrame, delay: str = "6 hours", horizon: int = G.M
 
 
 def screen_late(fixes: DataFrame, good: str, quarantine: str, checkpoint: str, base: str = "base_s", horizon: int = G.MAX_FORECAST_S):
-    """Start a query that writes usable fixes and, apart from them, tracks with a fix before the base time.
+    """Start a query that sorts fixes into two folders: usable ones, and those of tracks with a fix before the base time.
 
-    A track is an upload and arrives in one micro-batch; one early fix refuses all of it. Each micro-batch
-    owns a folder named by its id, so a repeated batch replaces its own output only. Fixes beyond the
-    horizon are ignored.
+    Each micro-batch owns a folder named by its id, so a repeated batch replaces its own output only. A
+    track may be dealt over any batches: :func:`screened` refuses it whole, whichever batch held the early
+    fix. Fixes beyond the horizon are ignored unless their track is refused.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         age = F.col("t_s") - F.col(base)
-        refused = batch.where(age < 0).select("track_id").distinct().withColumn("early", F.lit(True))
-        tag = batch.join(refused, "track_id", "left").withColumn("early", F.coalesce("early", F.lit(False)))
-        ok = ~F.col("early") & (F.ceil(age / G.BIN_SECONDS) * G.BIN_SECONDS <= horizon)
-        tag.where(ok).drop("early").write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-        tag.where("early").drop("early").withColumn("reason", F.lit("BEFORE_BASE_TIME")).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        early = batch.where(age < 0).select("track_id").distinct().withColumn("early", F.lit(True))
+        tag = batch.join(early, "track_id", "left").withColumn("early", F.coalesce("early", F.lit(False)))
+        within = F.ceil(age / G.BIN_SECONDS) * G.BIN_SECONDS <= horizon
+        tag.where(~F.col("early")).drop("early").withColumn("within", within).write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+        tag.where("early").drop("early").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
     return fixes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def screened(spark: SparkSession, good: str, quarantine: str) -> tuple[DataFrame, DataFrame]:
+    """(usable fixes, refused fixes with a reason) of all batches so far: a track with one early fix is refused whole."""
+    kept, held = spark.read.parquet(good), spark.read.parquet(quarantine)
+    refused = held.select("track_id").distinct()
+    back = kept.join(refused, "track_id", "left_semi").drop("within")
+    used = kept.join(refused, "track_id", "left_anti").where("within").drop("within")
+    return used, held.unionByName(back).withColumn("reason", F.lit("BEFORE_BASE_TIME"))
+
+
 def running_coverage(edges: DataFrame, out: str, checkpoint: str):
     """Start a query that adds each micro-batch's spread effort to a table of parts.
 

@@ -96,18 +96,6 @@ def test_interval_fit_recovers_parameters(spark):
     assert r.mu == pytest.approx(7.2, abs=0.08) and r.sigma == pytest.approx(0.9, abs=0.08) and not r.at_boundary
 
 
-def test_tilt_fit_is_stationary(spark):
-    c = spark.createDataFrame([(0, k, int((k * 37) % 3000), 300.0 + 61 * k) for k in range(12)], "fold int, case_id bigint, label bigint, distance_m double")
-    radial = MD.fit_distance(c, ["fold"])
-    f = MD.polar_cells(c.select("fold", "case_id")).withColumn("rise", F.sin(F.col("cell_idx") * 0.7 + F.col("case_id"))).withColumn("steep", F.cos(F.col("cell_idx") * 0.3))
-    fit = MD.fit_tilt(f, c.select("fold", "case_id", "label"), radial)
-    r = fit.first()
-    g = MD._tilt_step(f, c.select("fold", "case_id", "label"), radial, fit.select("fold", "b1", "b2")).first()
-    assert abs(g.g1 + 0.1 * r.b1) < 1e-6 and abs(g.g2 + 0.1 * r.b2) < 1e-6
-    total = MD.tilt_mass(f, radial, fit.select("fold", "b1", "b2")).groupBy("case_id").agg((F.sum("mass") + F.max("outside")).alias("t")).collect()
-    assert all(t.t == pytest.approx(1, abs=1e-9) for t in total)
-
-
 def test_energy_hand_case(spark):
     s = spark.createDataFrame([(30, 0.0, 0.0, 0.0, 0.0)], "horizon int, x double, y double, x2 double, y2 double")
     t = spark.createDataFrame([(30, 3.0, 4.0), (30, 0.0, 0.0)], "horizon int, tx double, ty double")

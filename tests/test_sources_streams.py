@@ -46,8 +46,33 @@ def test_plt_and_labels(spark, tmp_path):
     (tmp_path / "007" / "labels.txt").write_text("﻿Start Time\tEnd Time\tTransportation Mode\n2008/10/23 02:00:00\t2008/10/23 03:00:00\tWalk \n2008/10/23 05:00:00\t2008/10/23 04:00:00\tbus\n")
     labels, bad = RD.read_labels(spark, str(tmp_path))
     assert [(r.person, r.mode) for r in labels.collect()] == [("007", "walk")] and bad.count() == 1
-    pts = RD.read_plt(spark, str(tmp_path), labels.where("mode = 'walk'")).orderBy("lat").collect()
-    assert [(p.person, p.lat, p.lon, p.excel_days) for p in pts] == [("007", 39.9, 116.3, 39744.12), ("007", 39.91, 116.31, 39744.13)]
+    pts, rejects = RD.read_plt(spark, str(tmp_path), labels.where("mode = 'walk'"))
+    assert [(p.person, p.line_no, p.lat, p.lon, p.excel_days) for p in pts.orderBy("lat").collect()] == [("007", 7, 39.9, 116.3, 39744.12), ("007", 8, 39.91, 116.31, 39744.13)]
+    assert rejects.collect() == []
+
+
+def test_broken_lines_of_a_split_file_keep_their_numbers(spark, tmp_path):
+    d = tmp_path / "008" / "Trajectory"
+    d.mkdir(parents=True)
+    good = "39.9,116.3,0,492,39744.12,2008-10-23,02:53:04"
+    lines = ["a,b,c,d,e,f,g"] * 6 + [good if i % 7 else ["39.9,116.3", "x,116.3,0,492,39744.12,2008-10-23,02:53:04"][i % 2] for i in range(900)]
+    (d / "a.plt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        pts, rejects = RD.read_plt(spark, str(tmp_path))
+        assert sorted(r.line_no for r in rejects.collect()) == [7 + i for i in range(0, 900, 7)]
+        assert sorted(r.line_no for r in pts.collect()) == [7 + i for i in range(900) if i % 7]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_beyond_the_row_limit_have_a_row(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"x" * 10)
+    (tmp_path / "b.bin").write_bytes(b"y" * 11)
+    got = {r.path[-5:]: (r.bytes, r.sha256, r.problem) for r in RD.fingerprint(spark, str(tmp_path), max_bytes=10).collect()}
+    assert got == {"a.bin": (10, hashlib.sha256(b"x" * 10).hexdigest(), None), "b.bin": (11, None, "TOO_LARGE")}
 
 
 def test_point_text_is_latitude_first(spark):
@@ -73,9 +98,9 @@ def test_terrain_scan_prunes_tiles(spark, tmp_path):
                                     F.lit(0.0).cast("float").alias("slope"), F.lit(0.0).cast("float").alias("road_distance"), F.lit(True).alias("on_road"))
     RD.write_terrain(c, str(tmp_path / "t"), tile=16)
     w = RD.read_terrain(spark, str(tmp_path / "t"), 16, 16, size=32, tile=16)
-    assert w.count() == 32 * 32 and len(w.inputFiles()) > 4
+    assert w.count() == 32 * 32 and RD.terrain_gaps(w, 32, 32).first() == (1024, 1024, 0)
     plan = w._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(tile_r" in plan
+    assert "GreaterThanOrEqual(tile_r,1)" in plan and "LessThanOrEqual(tile_c,2)" in plan  # bounds that files and row groups are skipped by
 
 
 def test_manifest_problems(spark):
@@ -157,3 +182,13 @@ def test_effort_sum_is_independent_of_batch_order(spark):
         SM.running_coverage(source(spark, parts, schema), out, ck).awaitTermination()
         tot.append({(r.row, r.col): r.effort for r in SM.coverage_total(spark, out).collect()})
     assert tot[0].keys() == tot[1].keys() and all(tot[0][k] == pytest.approx(tot[1][k]) for k in tot[0])
+
+
+def test_an_early_fix_refuses_its_track_in_every_batch(spark, tmp_path):
+    parts = [[(1, 1, 50, 0), (2, 1, 50, 60)], [(1, 2, 90, 0), (2, 2, 70, 60), (3, 1, 5000, 0)], [(2, 3, 40, 60), (1, 3, 95, 0)], [(2, 4, 99, 60)]]
+    src = source(spark, parts, "track_id bigint, seq bigint, t_s bigint, base_s bigint")
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    SM.screen_late(src, good, bad, str(tmp_path / "ck"), horizon=1800).awaitTermination()
+    used, refused = SM.screened(spark, good, bad)
+    assert sorted((r.track_id, r.seq) for r in used.collect()) == [(1, 1), (1, 2), (1, 3)]
+    assert sorted((r.track_id, r.seq, r.reason) for r in refused.collect()) == [(2, k, "BEFORE_BASE_TIME") for k in (1, 2, 3, 4)]
