@@ -153,19 +153,24 @@ def build_order(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     m = len(bounds) - 1
     length = np.diff(bounds)
     at = bounds[1:] - 1
-    name = np.arange(m, dtype=np.int64) << 8 | length  # string and start, the empty suffixes first
+    kind = np.int32 if m < 1 << 22 else np.int64
+    name = np.arange(m, dtype=kind) << 8 | length.astype(kind)  # string and start, the empty suffixes first
     bwt = np.where(length > 0, data[np.maximum(at, 0)] if len(data) else _END, _END).astype(np.uint8)
     lcp = np.zeros(m, np.uint8)
-    fresh = length > 0  # suffixes whose next symbol has not been inserted
-    while fresh.any():
+    fresh = np.flatnonzero(length > 0)  # places of suffixes whose next symbol has not been inserted
+    while len(fresh):
         order = np.argsort(bwt, kind="stable")
-        rank = np.flatnonzero(fresh[order])
+        rank_of = np.empty(len(order), np.int32)
+        rank_of[order] = np.arange(len(order), dtype=np.int32)
+        rank = np.sort(rank_of[fresh])
         source = order[rank]
         # common prefixes of the new suffixes and of those right after them
-        ask = np.unique(np.r_[rank, rank + 1])
-        ask = ask[ask < len(order)]
+        asked = np.zeros(len(order) + 1, bool)
+        asked[rank] = asked[rank + 1] = True
+        ask = np.flatnonzero(asked[:-1])
         high, low = order[ask], order[np.maximum(ask - 1, 0)]
-        same = (ask > 0) & (bwt[high] == bwt[low]) & (bwt[high] != _END)
+        symbol = bwt[high]
+        same = (ask > 0) & (symbol == bwt[low]) & (symbol != _END)
         value = np.zeros(len(ask), np.uint8)
         if same.any():
             pairs = np.empty(2 * int(same.sum()), np.int64)
@@ -174,21 +179,20 @@ def build_order(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         # insertion in one sequential pass over the three arrays
         new_name = name[source] - 1
         string, start = new_name >> 8, new_name & 255
-        slots = np.ones(len(bwt) + len(rank), bool)
-        slots[m + rank] = False
-
-        def merged(old, new, slots=slots):
-            out = np.empty(len(slots), old.dtype)
-            out[slots], out[~slots] = old, new
-            return out
-
+        place = m + rank
+        source = np.ones(len(bwt) + len(rank), np.int32)
+        source[place] = 0
+        np.cumsum(source, out=source)
+        source -= 1  # of the old entries; the new ones follow all of them
+        source[place] = len(bwt) + np.arange(len(rank), dtype=np.int32)
         more = start > 0
-        lcp = merged(lcp, np.uint8(0))
-        real = ask[bwt[order[ask]] != _END]
-        lcp[m + real] = value[bwt[order[ask]] != _END]
+        real = symbol != _END
+        lcp = np.concatenate([lcp, np.zeros(len(rank), np.uint8)])[source]
+        lcp[m + ask[real]] = value[real]
         fresh_symbol = np.where(more, data[np.maximum(bounds[string] + start - 1, 0)], _END).astype(np.uint8)
-        bwt, name, fresh = merged(bwt, fresh_symbol), merged(name, new_name), merged(np.zeros(len(bwt), bool), more)
-    return name >> 8, name & 255, lcp
+        bwt, name = np.concatenate([bwt, fresh_symbol])[source], np.concatenate([name, new_name])[source]
+        fresh = place[more]
+    return (name >> 8).astype(np.int64), (name & 255).astype(np.int64), lcp
 
 
 def window_owners(data: np.ndarray, bounds: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,19 +236,24 @@ def owners(distinct: DataFrame, width: int, batch_rows: int) -> DataFrame:
         rest = None  # rows of an anchor stay in one batch
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if len(rest) >= batch_rows:
-                inner = np.flatnonzero((rest["anchor"] != rest["anchor"].iloc[-1]).to_numpy())
-                if len(inner):
-                    cut = int(inner[-1]) + 1
-                    yield solve(rest.iloc[:cut])
-                    rest = rest.iloc[cut:]
+            anchor = rest["anchor"].to_numpy()
+            opens = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1]
+            begin = 0
+            while len(rest) - begin >= batch_rows:  # the first anchor that begins beyond the batch, or the last one that begins
+                later = opens[opens > begin]
+                if not len(later):
+                    break
+                cut = int(later[min(np.searchsorted(later, begin + batch_rows), len(later) - 1)])
+                yield solve(rest.iloc[begin:cut])
+                begin = cut
+            rest = rest.iloc[begin:]
         if rest is not None and len(rest):
             yield solve(rest)
 
     return distinct.sortWithinPartitions("anchor").mapInPandas(run, "seg long, first long, last long, owner long")
 
 
-def removed_spans(docs: DataFrame, width: int = 50, k: int = 20, batch_rows: int = 1 << 15) -> DataFrame:
+def removed_spans(docs: DataFrame, width: int = 50, k: int = 20, batch_rows: int = 1 << 11) -> DataFrame:
     """(unit, doc_id of the unit's first document, spans): merged byte spans to remove from that document, and ``unit`` for all others.
 
     Needs columns doc_id, text (not null) and unit, a hash of the text.
