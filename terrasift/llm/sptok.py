@@ -77,7 +77,13 @@ class PieceModel:
         self.text_len = np.array([len(t) for t in texts], np.int64)
         self.text_at = np.cumsum(self.text_len) - self.text_len
         self.text = np.frombuffer(b"".join(texts), np.uint8)
-        self.seen, self.ids = HashCache(), np.zeros(0, np.int32)
+        self.seen = HashCache()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen.clear()
+        self.ids = np.zeros(0, np.int32)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a remembered word: where its ids begin, how many
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair of symbols makes; _NONE where there is none."""
@@ -184,25 +190,24 @@ class PieceModel:
         start = np.flatnonzero(opens)
         end = np.r_[start[1:], len(data)]
         hashes, first, inverse = np.unique(SegmentHash(data).of(start, end), return_index=True, return_inverse=True)
-        entry = self._remember(hashes, data, start[first], end[first])[inverse]
-        at, per_word = entry >> 24, entry & 0xFFFFFF
-        return ragged_take(self.ids, at, per_word), row_sums(per_word, np.searchsorted(start, offsets))
+        word = self._remember(hashes, data, start[first], end[first])[inverse]
+        per_word = self.count[word]
+        return ragged_take(self.ids, self.at[word], per_word), row_sums(per_word, np.searchsorted(start, offsets))
 
     def _remember(self, hashes, data, start, end):
-        """For each distinct word where its ids lie in self.ids (upper bits) and how many they are (lower 24 bits)."""
+        """The number of each distinct word among those remembered; words may have any number of symbols."""
         if len(self.seen.keys) + len(hashes) > self.seen.limit or len(self.ids) > 16 * self.seen.limit:
-            self.seen.clear()
-            self.ids = np.zeros(0, np.int32)
-        entry = self.seen.get(hashes)
-        new = entry < 0
+            self._forget()
+        word = self.seen.get(hashes)
+        new = word < 0
         if new.any():
             ids, count = self._encode_words(data, start[new], end[new])
-            if count.max() >= 1 << 24:
-                raise ValueError("a word of over 16 million symbols")
-            entry[new] = (len(self.ids) + np.cumsum(count) - count) << 24 | count
+            word[new] = len(self.at) + np.arange(len(count))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.seen.put(hashes[new], entry[new])
-        return entry
+            self.seen.put(hashes[new], word[new])
+        return word
 
     def _encode_words(self, data, start, end):
         length = end - start
