@@ -66,12 +66,21 @@ class TopK:
         self.score[rows], self.id[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
 
 
+def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact products of rows of whole numbers: by doubles where no sum can pass 2^53, else by 64-bit integers."""
+    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if top < 1 << 53:
+        return np.rint(q @ x.T).astype(np.int64)
+    return q.astype(np.int64) @ x.astype(np.int64).T
+
+
 def search(q: np.ndarray, qid: np.ndarray, top: TopK, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, nodes, centres, radii) -> None:
     """Adds to ``top`` what the tree over rows ``x`` (in tree order) holds; scores below ``floor`` need not be found."""
     length = np.sqrt((q**2).sum(1))
 
     def bound(node: int, rows: np.ndarray) -> np.ndarray:
-        return q[rows] @ centres[node] + length[rows] * radii[node]
+        slack = 1e-12 * length[rows] * (np.sqrt((centres[node] ** 2).sum()) + radii[node])  # of rounding
+        return q[rows] @ centres[node] + length[rows] * radii[node] + slack
 
     def visit(node: int, rows: np.ndarray, upper: np.ndarray) -> None:
         kth = np.maximum(top.score[rows, -1], floor[rows])
@@ -80,7 +89,7 @@ def search(q: np.ndarray, qid: np.ndarray, top: TopK, floor: np.ndarray, x: np.n
             return
         a, b, left, right = nodes[node]
         if left < 0:
-            score = np.rint(q[rows] @ x[a:b].T).astype(np.int64)
+            score = inner_products(q[rows], x[a:b])
             own = ids[a:b][None, :] == qid[rows][:, None]
             score[own] = _LOW
             top.add(rows, score, np.where(own, _NO_ID, ids[a:b][None, :]))
@@ -157,7 +166,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard:
         ids, x = by_width.get(width, (np.zeros(0, np.int64), np.zeros((0, width))))
         if len(ids) <= k:
             return np.full(len(q), _LOW, np.int64)
-        score = np.rint(q @ x.T).astype(np.int64)
+        score = inner_products(q, x)
         score[ids[None, :] == qid[:, None]] = _LOW
         return -np.partition(-score, k - 1, axis=1)[:, k - 1]
 
