@@ -11,7 +11,7 @@ from ..functions import grid as G
 from ..operators import foldfits
 from ..operators import models as MD
 from ..operators import tracks as T
-from ..session import cut_lineage
+from ..session import cut_lineage, fan_out
 from . import adapters as A
 from . import q_scalars as S
 from . import q_tracks as Q
@@ -260,7 +260,7 @@ def tilt_cases(spark, sf):
     k = F.col("case_id")
     label = S.polar_labels(A.incidents(spark, sf)).select(F.col("incident_index").alias("case_id"), F.col("cell").alias("label"))
     cells = F.sequence(F.lit(0).cast("bigint"), F.lit(geo.POLAR_CELLS - 1).cast("bigint"))
-    return cut_lineage(cases(spark, sf).join(label, "case_id").select(
+    return cut_lineage(fan_out(cases(spark, sf).join(label, "case_id"), "case_id").select(  # narrow rows are spread before they grow
         "case_id", "lat", "lon", "spatial_group", "distance_m", "label",
         F.transform(cells, lambda j: ((k * 31 + j * 17) % 201 - 100) / 50.0).alias("rise"), F.transform(cells, lambda j: ((k * 13 + j * 29) % 91) / 30.0).alias("steep")), "tilt-cases")
 
