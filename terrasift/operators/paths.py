@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, textfn, timefn
 from ..functions import grid as G
 from ..functions.geo import floor_long
+from ..session import fan_out
 from . import mass as M
 from .exposure import exposure as exposure  # noqa: PLC0414
 from .exposure import regular_frame as regular_frame  # noqa: PLC0414
@@ -227,10 +228,11 @@ def light_bins(starts: DataFrame, step: int = 60, key: str = "mission_id") -> Da
     """Light rate of each minute of a horizon, sampled at its midpoint, with the integral at both ends.
 
     Columns in: key, start_s (epoch seconds), horizon_s, lat, lon, night_factor. A horizon is at most
-    eight hours, so a key has at most 481 bins.
+    eight hours, so a key has at most 481 bins. Starts are spread by key before they grow, so that bins
+    are not shuffled, here or in what joins them on the key.
     """
     n = F.ceil(F.col("horizon_s") / step).cast("int")
-    b = starts.withColumn("bin", F.explode(F.sequence(F.lit(0), n)))
+    b = fan_out(starts, key).withColumn("bin", F.explode(F.sequence(F.lit(0), n)))
     mid = F.timestamp_seconds(F.col("start_s") + F.col("bin") * step + step / 2)
     b = b.withColumn("alt", timefn.solar_elevation(mid, "lat", "lon")).withColumn("rate", timefn.light_factor("alt", F.col("night_factor")))
     w = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -238,29 +240,36 @@ def light_bins(starts: DataFrame, step: int = 60, key: str = "mission_id") -> Da
     return b.withColumn("t0", (F.col("bin") * step).cast("double")).withColumn("t1", ((F.col("bin") + 1) * step).cast("double"))
 
 
+def _at_bins(queries: DataFrame, bins: DataFrame, key: str) -> DataFrame:
+    """Queries with all bins of their key; the caller's condition keeps one of them.
+
+    The bins stay where they are and pass once. A size guessed from the narrow starts says nothing
+    about the bins, so neither side is broadcast.
+    """
+    return queries.withColumnRenamed(key, "__key").join(bins.hint("merge"), F.col("__key") == F.col(key)).drop("__key")
+
+
 def effective_seconds(queries: DataFrame, bins: DataFrame, key: str = "mission_id", step: int = 60) -> DataFrame:
-    """Light-weighted seconds at each queried time: an equi join on the minute."""
-    q = queries.withColumn("bin", floor_long(F.col("t_s") / step).cast("int"))
-    j = q.join(bins.select(key, "bin", "lo", "rate", "t0"), [key, "bin"])
+    """Light-weighted seconds at each queried time, from the bin of its minute."""
+    q = queries.withColumn("__bin", floor_long(F.col("t_s") / step))
+    j = _at_bins(q, bins.select(key, "bin", "lo", "rate", "t0"), key).where(F.col("bin").between(F.col("__bin"), F.col("__bin")))
     return j.select(*queries.columns, (F.col("lo") + F.col("rate") * (F.col("t_s") - F.col("t0"))).alias("effective_s"), F.col("rate").alias("factor"))
 
 
-def finish_times(queries: DataFrame, bins: DataFrame, key: str = "mission_id", bucket: float = 60.0) -> DataFrame:
+def finish_times(queries: DataFrame, bins: DataFrame, key: str = "mission_id") -> DataFrame:
     """Clock time at which a light-weighted amount is reached.
 
-    A bin adds at most its length, so it spans two buckets of the integral at most, and a query finds
-    its bin by an equi join on the bucket. Every query row has one result row; an amount of zero or less
-    is reached at the start.
+    A bin holds the amounts above the integral before it, up to its own; the first holds those below too, and
+    the last those above. Every query row has one result row; an amount of zero or less is reached at the start.
     """
-    at = lambda c: floor_long(F.col(c) / bucket)
-    last = bins.groupBy(key).agg(F.max("hi").alias("__top"), F.max("t1").alias("__end"), F.max_by("rate", "bin").alias("__rate"), F.min("t0").alias("__start"))
-    b = bins.select(key, "lo", "hi", "rate", "t0", F.explode(F.sequence(at("lo"), at("hi"))).alias("__b"))
-    q = queries.withColumn("__b", at("target_s")).join(last, key)
-    # the half-open bins do not overlap: at most one holds an amount
-    b = b.withColumnsRenamed({key: "__key", "__b": "__bucket"})
-    j = q.join(b, (q[key] == F.col("__key")) & (q["__b"] == F.col("__bucket")) & (F.col("target_s") > F.col("lo")) & (F.col("target_s") <= F.col("hi")), "left")
-    over = F.col("target_s") > F.col("__top")
-    finish = F.when(F.col("target_s") <= 0, F.col("__start")).when(over, F.col("__end") + (F.col("target_s") - F.col("__top")) / F.col("__rate")).otherwise(F.col("t0") + (F.col("target_s") - F.col("lo")) / F.col("rate"))
+    w = W.partitionBy(key).orderBy("bin")
+    b = bins.select(
+        key, "lo", "hi", "rate", "t0", "t1", F.lag("hi").over(w).alias("__low"), F.lag("bin").over(w).isNull().alias("__first"), F.lead("bin").over(w).isNull().alias("__last"))
+    t = F.col("target_s")
+    holds = (F.col("__first") | (t > F.col("__low"))) & (F.col("__last") | (t <= F.col("hi")))
+    j = _at_bins(queries, b, key).where(F.coalesce(holds, F.col("__first")))
+    over = F.col("__last") & (t > F.col("hi"))
+    finish = F.when(t <= 0, F.col("t0")).when(over, F.col("t1") + (t - F.col("hi")) / F.col("rate")).otherwise(F.col("t0") + (t - F.col("lo")) / F.col("rate"))
     return j.select(*queries.columns, finish.alias("finish_s"))
 
 
