@@ -116,15 +116,14 @@ def at_edge(places: np.ndarray, box: Box, bounds: Box) -> np.ndarray:
 Terms = Callable[[pa.RecordBatch, Sequence[tuple[float, float]]], np.ndarray]
 
 
-def node_values(cases: DataFrame, keep: Sequence[str], terms: Terms, nodes: Sequence[tuple[float, float]]) -> DataFrame:
-    """The columns named and ``values`` array<double>, a value a node; row-local."""
+def node_values(cases: DataFrame, keep: Sequence[str], terms: Terms, nodes: Sequence[tuple[float, float]], rows: int = 1024) -> DataFrame:
+    """The columns named and ``values`` array<double>, a value a node; row-local, ``rows`` cases at a time."""
     schema = T.StructType([cases.schema[c] for c in keep] + [T.StructField("values", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = terms(batch, nodes)
-            lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(np.ascontiguousarray(flat, np.float64).ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), lists], names=schema.names)
+        for batch in slices(batches, rows):
+            made = lists(np.asarray(terms(batch, nodes), np.float64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=schema.names)
 
     return cases.mapInArrow(run, schema)
 
@@ -266,8 +265,36 @@ def ring_masses(mu: float, sigma: float) -> tuple[np.ndarray, float]:
     return np.diff(np.r_[0.0, cdf]) / geo.SECTORS, float(np.exp(log_ndtr(-edge[-1:]))[0])
 
 
-def _cells(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, geo.POLAR_CELLS)
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as an array; one of lists of equal length with a row a list."""
+    c = batch.column(batch.schema.get_field_index(name))
+    if pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+        return c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return c.to_numpy(zero_copy_only=False)
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """A list for each row."""
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.array(np.ascontiguousarray(values).ravel()))
+
+
+SLICE = 64  # cases whose cells are in memory at a time
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each; each case has 5,760 cells."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+#: The two features of the cells of cases (record batches of their columns): rows x 5,760 each.
+Features = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+
+
+def packed_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features that the cases carry as arrays."""
+    return column(batch, "rise"), column(batch, "steep")
 
 
 def pack_cells(features: DataFrame, case: str = "case_id") -> DataFrame:
@@ -276,7 +303,30 @@ def pack_cells(features: DataFrame, case: str = "case_id") -> DataFrame:
     return rows.select(case, F.transform("x", lambda c: c["rise"].cast("double")).alias("rise"), F.transform("x", lambda c: c["steep"].cast("double")).alias("steep"))
 
 
-def tilt_terms(radials: Sequence[tuple[float, float]]) -> Terms:
+def _ring_sums(rise: np.ndarray, steep: np.ndarray, tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by ring of a case's exponential scores, shifted by their ``top``, for every pair of tilts: nodes x rings, nodes.
+
+    On a grid of tilts the exponential is a product of one factor a side, and the sums over the
+    sectors of a ring are a product of two small matrices.
+    """
+    m = math.isqrt(tilt.shape[1])
+    one, two = tilt[0, ::m], tilt[1, :m]
+    grid = m * m == tilt.shape[1] and np.array_equal(tilt[0], np.repeat(one, m)) and np.array_equal(tilt[1], np.tile(two, m))
+    if grid:
+        a, b = one[:, None] * rise, two[:, None] * steep
+        top_a, top_b = a.max(1), b.max(1)
+        a -= top_a[:, None]
+        b -= top_b[:, None]
+        if a.min() + b.min() > -600:  # no product is lost
+            cells = (-1, geo.RINGS, geo.SECTORS)
+            left, right = np.exp(a).reshape(cells).transpose(1, 0, 2), np.exp(b).reshape(cells).transpose(1, 2, 0)
+            return (left @ right).reshape(geo.RINGS, -1).T, (top_a[:, None] + top_b).ravel()
+    score = tilt[0][:, None] * rise + tilt[1][:, None] * steep
+    top = score.max(1)
+    return np.exp(score - top[:, None]).reshape(-1, geo.RINGS, geo.SECTORS).sum(2), top
+
+
+def tilt_terms(radials: Sequence[tuple[float, float]], features: Features = packed_features) -> Terms:
     """Negative log mass of each case's cell, for every radial model and then every pair of tilts."""
     models = [ring_masses(*r) for r in radials]
     base = np.array([m for m, _ in models])  # radials x rings
@@ -284,18 +334,16 @@ def tilt_terms(radials: Sequence[tuple[float, float]]) -> Terms:
 
     def terms(batch: pa.RecordBatch, nodes: Sequence[tuple[float, float]]) -> np.ndarray:
         label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(np.int64)
-        rise, steep = _cells(batch, "rise"), _cells(batch, "steep")
+        rise, steep = features(batch)
         tilt = np.array(nodes).T  # 2 x nodes
         out = np.empty((len(label), len(models), len(nodes)))
         for i, cell in enumerate(label.tolist()):
             if cell >= geo.POLAR_CELLS:
                 out[i] = -np.log(outside)[:, None]
                 continue
-            score = tilt[0][:, None] * rise[i] + tilt[1][:, None] * steep[i]
-            top = score.max(1)
-            rings = np.exp(score - top[:, None]).reshape(len(nodes), geo.RINGS, geo.SECTORS).sum(2)
+            rings, top = _ring_sums(rise[i], steep[i], tilt)
             lse = np.log(base @ rings.T) + top
-            out[i] = lse - score[:, cell] - np.log(base[:, cell // geo.SECTORS])[:, None] - np.log1p(-outside)[:, None]
+            out[i] = lse - (tilt[0] * rise[i, cell] + tilt[1] * steep[i, cell]) - np.log(base[:, cell // geo.SECTORS])[:, None] - np.log1p(-outside)[:, None]
         return out.reshape(len(label), -1)
 
     return terms
@@ -314,18 +362,18 @@ class TiltFit:
     half: float = 0.12
 
 
-def fit_tilt_folds(cases: DataFrame, folds: DataFrame, excluded: DataFrame | None, radial: tuple[float, float], how: TiltFit = TiltFit()) -> DataFrame:
+def fit_tilt_folds(cases: DataFrame, folds: DataFrame, excluded: DataFrame | None, radial: tuple[float, float], how: TiltFit = TiltFit(), features: Features = packed_features) -> DataFrame:
     """Tilts of every fold from the cases that it does not exclude: fold, train_n, mu, sigma, b1, b2, objective.
 
-    ``cases`` has case_id, label (cell of the end point, 5,760 outside) and the arrays rise and
-    steep; ``folds`` has fold, train_n, mu and sigma of its own radial fit; ``excluded`` has
+    ``cases`` has case_id, label (cell of the end point, 5,760 outside) and what ``features`` takes,
+    the arrays rise and steep unless it says otherwise; ``folds`` has fold, train_n, mu and sigma of its own radial fit; ``excluded`` has
     (fold, case_id) pairs, None where every case is a fold and excludes itself. ``radial`` is the
     fit to all cases. A fold's objective is the mean of its cases plus half the penalty times the
     squared tilts, each tilt within 3 of 0.
     """
     bounds = Box((-TILT_BOUND, -TILT_BOUND), (TILT_BOUND, TILT_BOUND))
     penalty = lambda p: how.penalty / 2 * (p * p).sum(1)
-    _, centre = settle(cases, tilt_terms([radial]), bounds, penalty, how.half, NODES)
+    _, centre = settle(cases, tilt_terms([radial], features), bounds, penalty, how.half, NODES)
     r = folds.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("mu", "sigma")]).first()
     if r["min_mu"] is None:
         return folds.select("fold", "train_n", "mu", "sigma", *[F.lit(0.0).alias(c) for c in ("b1", "b2", "objective")])
@@ -338,7 +386,7 @@ def fit_tilt_folds(cases: DataFrame, folds: DataFrame, excluded: DataFrame | Non
     while True:
         box = bounds.around(points, half, bounds)
         nodes = box.nodes(m)
-        values = cut_lineage(node_values(cases, ["case_id"], tilt_terms(models.nodes(k)), nodes), "tilt-values")
+        values = cut_lineage(node_values(cases, ["case_id"], tilt_terms(models.nodes(k), features), nodes, SLICE), "tilt-values")
         total = np.array(sum_values(values, []).first()["values"])
         if excluded is None:
             out = values.select(F.col("case_id").alias("fold"), F.lit(1).cast("long").alias("n"), "values")
@@ -387,7 +435,7 @@ def _fit_folds(total: np.ndarray, n_all: int, models: Box, k: int, box: Box, m:
     return run
 
 
-def score_held_out(cases: DataFrame, fitted: DataFrame, group: str, shares: Sequence[float] = (0.1, 0.2, 0.3)) -> DataFrame:
+def score_held_out(cases: DataFrame, fitted: DataFrame, group: str, shares: Sequence[float] = (0.1, 0.2, 0.3), features: Features = packed_features) -> DataFrame:
     """Each case under its own fold's radial model and its tilted one: log losses and area hits of both.
 
     ``cases`` as in :func:`fit_tilt_folds` with the column ``group``; cases whose fold has no fit are left out.
@@ -410,10 +458,10 @@ def score_held_out(cases: DataFrame, fitted: DataFrame, group: str, shares: Sequ
         return -math.log(e[cell] / e.sum()) - math.log1p(-outside), [covered <= v for v in limits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("label", "mu", "sigma", "b1", "b2")}
             label, mu, sigma, b1, b2 = (cols[c].to_pylist() for c in cols)
-            rise, steep = _cells(batch, "rise"), _cells(batch, "steep")
+            rise, steep = features(batch)
             rows = []
             for i, cell in enumerate(label):
                 base, outside = ring_masses(mu[i], sigma[i])
@@ -424,5 +472,6 @@ def score_held_out(cases: DataFrame, fitted: DataFrame, group: str, shares: Sequ
             kinds = [pa.float64()] * 2 + [pa.bool_()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
 
-    own = cases.select("case_id", F.col(group).alias("fold"), "label", "rise", "steep")
-    return own.join(fitted.select("fold", "mu", "sigma", "b1", "b2"), "fold").select("case_id", "fold", "label", "mu", "sigma", "b1", "b2", "rise", "steep").mapInArrow(run, schema)
+    carried = [c for c in ("rise", "steep") if c in cases.columns]
+    own = cases.select("case_id", F.col(group).alias("fold"), "label", *carried)
+    return own.join(fitted.select("fold", "mu", "sigma", "b1", "b2"), "fold").select("case_id", "fold", "label", "mu", "sigma", "b1", "b2", *carried).mapInArrow(run, schema)

@@ -2,8 +2,12 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from terrasift.operators import foldfits as FF
+from terrasift.operators import models as MD
 from terrasift.operators import paths
 
 
@@ -32,3 +36,47 @@ def test_every_amount_has_one_finish(spark):
     got = {r.target_s: r.finish_s for r in paths.finish_times(q, bins).collect()}
     assert len(got) == 6 and got[-5.0] == 0.0 and got[None] is None and got[30.0] == 60.0 and got[90.0] == 180.0 and got[100.0] == 200.0
     assert 60.0 < got[30.0000001] < 60.001
+
+
+def test_cells_of_cases_stay_in_their_task(spark):
+    cases = spark.range(9).select(F.col("id").alias("case_id"), (F.col("id") * 777).alias("label"))
+    ids = lambda b: FF.column(b, "case_id")[:, None]
+    mass = lambda b: (1.0 + (ids(b) * 31 + np.arange(5760) * 17) % 13)  # many equal densities
+    one = lambda k: (1.0 + (k * 31 + np.arange(5760) * 17) % 13)
+    units = 2 * (np.arange(5760) // 72) + 1
+    made = {f: f(cases) for f in (lambda c: MD.area_hits(c, mass), lambda c: MD.cells_within(c, mass, {"n": 46080}), lambda c: MD.running_area(c, mass))}
+    hits, within, area = ({r.case_id: r for r in df.collect()} for df in made.values())
+    for df in made.values():
+        assert "Generate" not in plan(df) and "Broadcast" not in plan(df) and "Window" not in plan(df)
+    for k in range(9):
+        order = np.lexsort((np.arange(5760), -(one(k) / units)))
+        run = units[order].cumsum()
+        assert area[k].cells == order.tolist() and area[k].units == run.tolist() and within[k].n == (run <= 46080).sum()
+        at = run[order == k * 777]
+        assert [hits[k].hit10, hits[k].hit20, hits[k].hit30] == [bool(len(at) and at[0] <= s * 460800) for s in (0.1, 0.2, 0.3)]
+
+
+def test_totals_of_tilted_cells(spark):
+    c = spark.createDataFrame([(0, k, 300.0 + 61 * k) for k in range(7)], "fold int, case_id bigint, distance_m double")
+    radial = MD.fit_distance(c, ["fold"])
+    beta = radial.select("fold", F.lit(0.4).alias("b1"), F.lit(-0.3).alias("b2"))
+    made = lambda b: (np.sin(np.arange(5760) * 0.7 + FF.column(b, "case_id")[:, None]), np.cos(np.arange(5760) * 0.3) + 0 * FF.column(b, "case_id")[:, None])
+    f = MD.polar_cells(c.select("fold", "case_id")).withColumn("rise", F.sin(F.col("cell_idx") * 0.7 + F.col("case_id"))).withColumn("steep", F.cos(F.col("cell_idx") * 0.3))
+    want = {r.case_id: r for r in MD.tilt_mass(f, radial, beta).groupBy("case_id").agg(F.sum("mass").alias("inside"), F.max("mass").alias("top"), F.max("outside").alias("outside")).collect()}
+    got = MD.tilt_totals(c.select("fold", "case_id"), made, radial, beta)
+    assert "Window" not in plan(got) and got.count() == 7
+    for r in got.collect():
+        assert (r.inside, r.top, r.outside) == pytest.approx(tuple(want[r.case_id][n] for n in ("inside", "top", "outside")), rel=1e-12)
+
+
+def test_ring_sums_of_a_grid_of_tilts():
+    rng = np.random.default_rng(3)
+    rise, steep = rng.normal(0, 1, 5760), rng.exponential(1, 5760)
+    for scale in (1.0, 400.0):  # products of the second are lost and it is summed node by node
+        tilt = np.array(FF.Box((-3.0, -2.0), (1.0, 3.0)).nodes(5)).T * scale
+        score = tilt[0][:, None] * rise + tilt[1][:, None] * steep
+        rings, top = FF._ring_sums(rise, steep, tilt)
+        shift = score.max(1)
+        want = np.exp(score - shift[:, None]).reshape(25, 80, 72).sum(2)
+        at = want > 1e-200
+        assert np.allclose((np.log(rings, where=at, out=np.zeros_like(rings)) + top[:, None])[at], (np.log(want, where=at, out=np.zeros_like(want)) + shift[:, None])[at], rtol=1e-12, atol=1e-12)
