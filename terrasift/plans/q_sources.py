@@ -31,7 +31,7 @@ def s1(spark, sf):
     first, end = n.select("k", F.lit(-1).cast(BIG).alias("seq"), F.lit("<gpx><trk><trkseg>").alias("value")), n.select("k", (F.col("last") + 1).alias("seq"), F.lit("</trkseg></trk></gpx>").alias("value"))
     doc = pts.select("k", F.col("seq").cast(BIG).alias("seq"), line.alias("value")).unionByName(first).unionByName(end)
     out = shared_dir(spark, "gpx")
-    doc.withColumnRenamed("k", "track").repartition("track").sortWithinPartitions("track", "seq").select("track", "value").write.partitionBy("track").text(out)
+    SK.write_files(doc.withColumnRenamed("k", "track"), out, "track", "seq")
     # part files have no .gpx suffix, so the scan is told to take any
     fixes, rejects = RD.read_gpx(spark, out, glob="part-*")
     key = lambda df: df.withColumn("file_key", F.regexp_extract("file", r"track=(\d+)", 1).cast(BIG))
@@ -130,7 +130,7 @@ def s9(spark, sf):
     """Size and hashes of files, one written for each supplier."""
     s = table(spark, sf, "supplier")
     out = shared_dir(spark, "fingerprint")
-    s.select(F.col("s_suppkey").alias("k"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value")).repartition("k").write.partitionBy("k").text(out)
+    SK.write_files(s.select(F.col("s_suppkey").alias("k"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value")), out, "k")
     files = RD.fingerprint(spark, out).where(F.col("path").contains("/k="))
     return files.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast(BIG).alias("k"), "bytes", "sha256", "md5")
 
@@ -205,10 +205,10 @@ def k6(spark, sf):
     out, record, other = (shared_dir(spark, p) for p in ("package", "manifest", "copy"))
     k = F.col("s_suppkey")
     files = table(spark, sf, "supplier").select(k.alias("k"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value"))
-    files.repartition("k").write.partitionBy("k").text(out)
+    SK.write_files(files, out, "k")
     SK.write_manifest(spark, out, record, r"/(k=\d+)/")
     copy = files.where("k % 7 <> 0").withColumn("value", F.when(F.col("k") % 5 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
     more = files.where("k % 11 = 0").withColumn("k", F.col("k") + 1_000_000_000)
-    copy.unionByName(more).repartition("k").write.partitionBy("k").text(other)
+    SK.write_files(copy.unionByName(more), other, "k")
     found = ST.verify(SK.manifest(spark, other, r"/(k=\d+)/").where("name <> ''"), SK.read_manifest(spark, record).where("name <> ''"), "name")
     return found.select(F.regexp_extract("name", r"k=(\d+)", 1).cast(BIG).alias("k"), "problem")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, timefn
+from ..session import cut_lineage
 
 MIN_POINTS = 2
 
@@ -75,6 +76,7 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx", max_bytes: int
 
     prev = F.lag("ts").over(W.partitionBy("file", "segment_no").orderBy("point_no"))
     pts = pts.withColumn("bad", bad).withColumn("back", F.col("many") & F.coalesce(F.col("ts") <= prev, F.lit(False)))
+    pts = cut_lineage(pts, "gpx-points")  # files are opened and parsed once
     kept = F.count_if("many")
     per = pts.groupBy("file").agg(kept.alias("points"), F.bool_or("bad").alias("bad"), F.bool_or("back").alias("back"))
     listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import fan_out
 from .readers import fingerprint
 
 
@@ -32,6 +33,17 @@ def write_zones_csv(zones: DataFrame, path: str) -> None:
     z.repartition("mission_id").sortWithinPartitions("mission_id", "rank").drop("rank").write.partitionBy("mission_id").option("header", "true").mode("errorifexists").csv(path)
 
 
+def write_files(lines: DataFrame, path: str, key: str, order: str | None = None) -> None:
+    """One text file for each key, of its ``value`` lines, in ``order`` where given.
+
+    Small files cost by number and not by size, so keys are dealt over the session's shuffle partitions
+    whatever their bytes, and tasks put their files into place themselves, not the driver one by one.
+    """
+    rows = fan_out(lines, key)
+    rows = rows if order is None else rows.sortWithinPartitions(key, order)
+    rows.select(key, "value").write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("errorifexists").text(path)
+
+
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A derived table; non-finite numbers become missing values."""
     cols = [F.when(F.isnan(f.name) | (F.abs(F.col(f.name)) == float("inf")), None).otherwise(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema]

@@ -2,9 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from terrasift.plans import adapters as A
 from terrasift.plans import catalog
 from terrasift.sources import readers as RD
+from terrasift.sources import sinks as SK
 
 
 def test_every_facility_is_scanned(spark, sf):
@@ -19,3 +22,12 @@ def test_off_grid_facilities_are_dropped_on_request(spark, tmp_path):
     path = str(tmp_path / "o.json")
     assert RD.read_osm(spark, path)[0].count() == 2
     assert [r.osm_id for r in RD.read_osm(spark, path, on_grid=lambda lon, lat: lat.between(33.0, 33.67))[0].collect()] == ["node/0"]
+
+
+def test_small_files_are_dealt_over_tasks(spark, tmp_path):
+    rows = spark.range(120).select((F.col("id") % 40).alias("k"), (-F.col("id")).alias("at"), F.col("id").cast("string").alias("value"))
+    out = str(tmp_path / "files")
+    SK.write_files(rows, out, "k", "at")
+    parts = sorted((tmp_path / "files").glob("k=*/part-*.txt"))
+    assert len(parts) == 40 and len({p.name.split("-")[1] for p in parts}) == 4  # a file a key, from every task
+    assert [p.read_text() for p in parts if p.parent.name == "k=7"] == ["87\n47\n7\n"]
