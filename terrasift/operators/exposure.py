@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from ..functions import grid as G
 from ..session import cut_lineage
 
-POSITIONS = 250_000  # of paths in one group
-CHUNK = 2_000_000  # of (position, plan) pairs added up at once
+POSITIONS = 40_000  # of paths in one group
+CHUNK = 400_000  # of (position, plan) pairs added up at once
 _CELLS = 20  # bits of a cell number
 
 

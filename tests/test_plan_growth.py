@@ -1,11 +1,14 @@
 """What grows inside a row stays in its task: plans that neither shuffle nor broadcast it."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from terrasift.operators import exposure as EX
 from terrasift.operators import foldfits as FF
 from terrasift.operators import graph as GR
 from terrasift.operators import models as MD
@@ -97,3 +100,15 @@ def test_counts_of_cropped_points(spark):
     finally:
         GR.crop = plain
     assert got == want and len(got) == 60 and calls == [(300, 13)]
+
+
+def test_memory_of_a_group_of_paths():
+    n, plans = EX.POSITIONS // 4, 40
+    at = [{"frame_idx": f, "left_cell": 5, "right_cell": 6, "fraction": 0.5} for f in range(4)]
+    paths_ = pa.table({"path_id": np.arange(n), "at": pa.array([at] * n)})
+    effort = pa.table({"plan_id": np.arange(plans), "frame_idx": np.zeros(plans, np.int64), "cell": np.full(plans, 5), "effort": np.ones(plans)})
+    tracemalloc.start()
+    out = EX._meet(paths_, effort, ["path_id"], pa.schema([("path_id", pa.int64()), ("plan_id", pa.int64()), ("effort", pa.float64())]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n * plans and peak + out.nbytes < 100 << 20
