@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..session import cut_lineage
+from ..session import cut_lineage, fan_out
 
 NODES = 9  # per parameter
 WIDE = 17  # per parameter while the whole domain is searched
@@ -55,52 +55,57 @@ def minimise(values: np.ndarray, box: Box, m: int = NODES, steps: int = 60) -> t
     """Minima over the box of the polynomials through node values (rows x m * m): places, values, Hessian determinants.
 
     Newton steps from the best node, kept inside the box; a coordinate at the edge leaves the
-    step while its slope points out, and a step that does not lower the value is halved.
+    step while its slope points out, and a step that does not lower the value is halved. A row
+    that has settled takes no further part.
     """
-    inverse = np.linalg.inv(chebyshev.chebvander(-np.cos(np.pi * np.arange(m) / (m - 1)), m - 1))
+    unit = -np.cos(np.pi * np.arange(m) / (m - 1))
+    inverse = np.linalg.inv(chebyshev.chebvander(unit, m - 1))
     grid = values.reshape(-1, m, m)
-    coef = np.einsum("ia,fab,jb->fij", inverse, grid, inverse)
+    coef = inverse @ grid @ inverse.T
     slope = np.zeros((m, m))  # coefficients of the derivative
     for k in range(m):
-        unit = np.zeros(m)
-        unit[k] = 1.0
-        d = chebyshev.chebder(unit) if m > 1 else np.zeros(1)
+        one = np.zeros(m)
+        one[k] = 1.0
+        d = chebyshev.chebder(one) if m > 1 else np.zeros(1)
         slope[: len(d), k] = d
 
     def basis(x):
         v = chebyshev.chebvander(x, m - 1)
-        return v, v @ slope, v @ slope @ slope
+        return np.stack([v, v @ slope, v @ slope @ slope], 1)  # rows x (value, slope, curvature) x m
 
-    def at(x, y):
-        return np.einsum("fi,fij,fj->f", basis(x)[0], coef, basis(y)[0])
+    def at(c, x, y):
+        return ((c @ chebyshev.chebvander(y, m - 1)[:, :, None])[:, :, 0] * chebyshev.chebvander(x, m - 1)).sum(1)
 
     best = grid.reshape(len(grid), -1).argmin(1)
-    unit = -np.cos(np.pi * np.arange(m) / (m - 1))
     x, y = unit[best // m].copy(), unit[best % m].copy()
-    here = at(x, y)
+    here = at(coef, x, y)
     curve = np.zeros(len(grid))
+    live = np.arange(len(grid))
     for _ in range(steps):
-        (x0, x1, x2), (y0, y1, y2) = basis(x), basis(y)
-        gx, gy = np.einsum("fi,fij,fj->f", x1, coef, y0), np.einsum("fi,fij,fj->f", x0, coef, y1)
-        hxx, hyy, hxy = (np.einsum("fi,fij,fj->f", a, coef, b) for a, b in ((x2, y0), (x0, y2), (x1, y1)))
-        curve = hxx * hyy - hxy * hxy
-        free_x, free_y = ~((np.abs(x) >= 1) & (x * gx < 0)), ~((np.abs(y) >= 1) & (y * gy < 0))
-        both = free_x & free_y & (curve > 0) & (hxx > 0)
-        safe = np.where(both, curve, 1.0)
+        if not len(live):
+            break
+        c, px, py = coef[live], x[live], y[live]
+        d = basis(px) @ c @ basis(py).transpose(0, 2, 1)
+        gx, gy, hxx, hyy, hxy = d[:, 1, 0], d[:, 0, 1], d[:, 2, 0], d[:, 0, 2], d[:, 1, 1]
+        curve[live] = bend = hxx * hyy - hxy * hxy
+        free_x, free_y = ~((np.abs(px) >= 1) & (px * gx < 0)), ~((np.abs(py) >= 1) & (py * gy < 0))
+        both = free_x & free_y & (bend > 0) & (hxx > 0)
+        safe = np.where(both, bend, 1.0)
         dx = np.where(both, (hyy * gx - hxy * gy) / safe, np.where(free_x, gx / np.where(hxx > 0, hxx, np.abs(gx) + 1e-300), 0.0))
         dy = np.where(both, (hxx * gy - hxy * gx) / safe, np.where(free_y, gy / np.where(hyy > 0, hyy, np.abs(gy) + 1e-300), 0.0))
-        part, done = np.ones(len(x)), np.zeros(len(x), bool)
+        part, todo = 1.0, np.arange(len(live))
         for _ in range(30):
-            nx, ny = np.clip(x - part * dx, -1, 1), np.clip(y - part * dy, -1, 1)
-            value = at(nx, ny)
-            better = ~done & (value <= here)
-            x, y, here = np.where(better, nx, x), np.where(better, ny, y), np.where(better, value, here)
-            done |= better
-            if done.all():
+            nx, ny = np.clip(px[todo] - part * dx[todo], -1, 1), np.clip(py[todo] - part * dy[todo], -1, 1)
+            value, old = at(c[todo], nx, ny), here[live[todo]]
+            better = value <= old + 4e-16 * np.abs(old)  # a step at the bottom may round up
+            rows = live[todo[better]]
+            x[rows], y[rows], here[rows] = nx[better], ny[better], value[better]
+            todo, part = todo[~better], part / 2
+            if not len(todo):
                 break
-            part = np.where(done, part, part / 2)
-        if max(np.abs(dx).max(initial=0), np.abs(dy).max(initial=0)) < 1e-13:
-            break
+        going = np.maximum(np.abs(dx), np.abs(dy)) >= 1e-10  # a Newton step leaves about its square
+        going[todo] = False
+        live = live[going]
     place = np.column_stack([x, y]) * box.size() / 2 + np.add(box.low, box.high) / 2
     return place, here, curve
 
@@ -133,7 +138,16 @@ def sum_values(values: DataFrame, keys: Sequence[str], limit: int = 256) -> Data
 
     A task holds at most ``limit`` sums at a time.
     """
-    fields = [values.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return _add_up(values.select(*keys, "values"), keys, lambda batch: column(batch, "values"), None, limit)
+
+
+def sum_terms(cases: DataFrame, keys: Sequence[str], terms: Terms, nodes: Sequence[tuple[float, float]], weight: str | None = None, rows: int = 1024, limit: int = 256) -> DataFrame:
+    """:func:`sum_values` of :func:`node_values`, without a row a case in between; a case counts ``weight`` times."""
+    return _add_up(cases, keys, lambda batch: np.asarray(terms(batch, nodes), np.float64), weight, limit, rows)
+
+
+def _add_up(cases: DataFrame, keys: Sequence[str], values: Callable[[pa.RecordBatch], np.ndarray], weight: str | None, limit: int, size: int = 1 << 14) -> DataFrame:
+    fields = [cases.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))]
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,18 +158,18 @@ def sum_values(values: DataFrame, keys: Sequence[str], limit: int = 256) -> Data
             held.clear()
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow)
 
-        for batch in batches:
+        for batch in slices(batches, size):
             if not batch.num_rows:
                 continue
-            rows = batch.column(batch.schema.get_field_index("values"))
-            flat = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)) if keys else [()] * len(rows)
+            flat = values(batch)
+            times = np.ones(len(flat), np.int64) if weight is None else column(batch, weight)
+            names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)) if keys else [()] * len(flat)
             place: dict = {}
             for i, k in enumerate(names):
                 place.setdefault(k, []).append(i)
             for k, at in place.items():
                 n, v = held.get(k, (0, 0.0))
-                held[k] = n + len(at), v + flat[at].sum(0)
+                held[k] = n + int(times[at].sum()), v + times[at] @ flat[at]
                 if len(held) > limit:
                     yield out()
         if held:
@@ -164,55 +178,79 @@ def sum_values(values: DataFrame, keys: Sequence[str], limit: int = 256) -> Data
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    parts = values.select(*keys, "values").mapInArrow(run, schema)
+    parts = cases.mapInArrow(run, schema)
     long = parts.select(*keys, "n", F.posexplode("values").alias("__at", "__v"))
     sums = long.groupBy(*keys, "__at").agg(F.sum("__v").alias("__v"), F.sum("n").alias("n"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"])  # a value a node
     return sums.groupBy(*keys).agg(F.max("n").alias("n"), in_order.alias("values"))
 
 
-def _whole(cases: DataFrame, terms: Terms, box: Box, m: int) -> tuple[int, np.ndarray]:
+def _whole(cases: DataFrame, terms: Terms, box: Box, m: int, weight: str | None = None) -> tuple[int, np.ndarray]:
     """Number of cases and their mean values at the nodes of a box."""
-    r = sum_values(node_values(cases, [], terms, box.nodes(m)), []).first()
+    r = sum_terms(cases, [], terms, box.nodes(m), weight).first()
     return (0, np.zeros(m * m)) if r is None else (r["n"], np.array(r["values"]) / r["n"])
 
 
-def settle(cases: DataFrame, terms: Terms, bounds: Box, penalty: Callable[[np.ndarray], np.ndarray], half: float, wide: int = WIDE) -> tuple[int, np.ndarray]:
-    """Number of cases and the optimum of all of them, by boxes that shrink to ``half`` on every side."""
-    box, m = bounds, wide
+def settle(cases: DataFrame, terms: Terms, bounds: Box, penalty: Callable[[np.ndarray], np.ndarray], half: float, wide: int = WIDE, weight: str | None = None, start: Box | None = None, fine: int = NODES) -> tuple[int, np.ndarray]:
+    """Number of cases and the optimum of all of them, by boxes that shrink to ``half`` on every side.
+
+    The search begins with ``start``, or with the whole domain in ``wide`` nodes a side; later boxes have ``fine``. A
+    start that does not hold the optimum costs rounds only.
+    """
+    box, m = (bounds, wide) if start is None else (start, fine)
     while True:
-        n, mean = _whole(cases, terms, box, m)
+        n, mean = _whole(cases, terms, box, m, weight)
         place, _, _ = minimise((mean + penalty(np.array(box.nodes(m))))[None], box, m)
         edge = at_edge(place, box, bounds)[0]
         if not edge.any() and (box.size() <= 2 * half * 1.001).all():
             return n, place[0]
         # a side is cut to a quarter, but moves on with its size while the optimum is at its edge
-        box, m = box.around(place, np.maximum(np.where(edge, box.size() / 2, box.size() / 8), half * 0.999), bounds), NODES
+        box, m = box.around(place, np.maximum(np.where(edge, box.size() / 2, box.size() / 8), half * 0.999), bounds), fine
 
 
 # ---------------------------------------------------------------- interval-censored distances
 
 
-def _erfc_scaled(y: np.ndarray) -> np.ndarray:
-    """exp(y^2) erfc(y) for y >= 0."""
-    small = np.minimum(y, 20.0)
-    near = np.frompyfunc(math.erfc, 1, 1)(small).astype(float) * np.exp(small * small)
-    i = 1.0 / np.maximum(y * y, 1.0)
-    far = (1 + i * (-0.5 + i * (0.75 + i * (-1.875 + i * 6.5625)))) / (math.sqrt(math.pi) * np.maximum(y, 1.0))
-    return np.where(y > 20.0, far, near)
+def _tail_polynomial(centre: float = 3.0, degree: int = 24) -> np.ndarray:
+    """Coefficients, highest first, of log(exp(y^2) erfc(y) (centre + y)) in u = (centre - y) / (centre + y), y >= 0.
 
+    Within 1e-14 everywhere: the function is smooth in u, from y = 0 to infinity.
+    """
 
-def log_ndtr(z: np.ndarray) -> np.ndarray:
-    """Log of the standard normal CDF."""
-    y = np.abs(z) / math.sqrt(2)
-    s = _erfc_scaled(y)
-    return np.where(z < 0, np.log(s / 2) - y * y, np.log1p(-np.exp(-np.minimum(y * y, 700.0)) * s / 2))
+    def exact(y: float) -> float:
+        if y < 5:
+            return math.log(math.erfc(y)) + y * y
+        rest = 0.0  # continued fraction
+        for k in range(60, 0, -1):
+            rest = k / 2 / (y + rest)
+        return -math.log(math.pi) / 2 - math.log(y + rest)
 
+    u = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
+    places = (centre * (1 - u) / (1 + u)).tolist()
+    wanted = [exact(y) + math.log(centre + y) for y in places]
+    return chebyshev.cheb2poly(np.linalg.solve(chebyshev.chebvander(u, degree), wanted))[::-1].copy()
 
-def interval_terms(batch: pa.RecordBatch, nodes: Sequence[tuple[float, float]]) -> np.ndarray:
+
+_TAIL = _tail_polynomial()
+
+
+def log_ndtr(z: np.ndarray) -> np.ndarray:
+    """Log of the standard normal CDF."""
+    y = np.minimum(np.abs(z) * math.sqrt(0.5), 1e150)
+    u = (3.0 - y) / (3.0 + y)
+    out = np.full_like(u, _TAIL[0])
+    for c in _TAIL[1:].tolist():
+        out *= u
+        out += c
+    out -= np.log(6.0 + 2.0 * y)  # half of erfc
+    out -= y * y
+    up = z >= 0
+    out[up] = np.log1p(-np.exp(out[up]))
+    return out
+
+
+def interval_loss(lower: np.ndarray, upper: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """Negative log mass of a lognormal (mu, sigma) in (lower, upper]; lower may be 0."""
-    lower, upper = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[:, None] for c in ("lower", "upper"))
-    mu, sigma = np.array(nodes).T[:, None]
     open_ = lower > 0
     zl = np.where(open_, (np.log(np.where(open_, lower, 1.0)) - mu) / sigma, -1e6)
     zu = (np.log(upper) - mu) / sigma
@@ -220,37 +258,91 @@ def interval_terms(batch: pa.RecordBatch, nodes: Sequence[tuple[float, float]])
     return -(a + np.log(-np.expm1(np.minimum(b - a, -1e-300))))
 
 
+def interval_terms(batch: pa.RecordBatch, nodes: Sequence[tuple[float, float]]) -> np.ndarray:
+    """:func:`interval_loss` of every row at every node."""
+    mu, sigma = np.array(nodes).T[:, None]
+    return interval_loss(column(batch, "lower")[:, None], column(batch, "upper")[:, None], mu, sigma)
+
+
+def score_intervals(rows: DataFrame, baseline: tuple[float, float]) -> DataFrame:
+    """The rows with ``nll`` of their own (mu, sigma) and ``baseline_nll``; null where a bound or the fit is."""
+    schema = T.StructType(rows.schema.fields + [T.StructField(c, T.DoubleType()) for c in ("nll", "baseline_nll")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lower, upper, mu, sigma = (column(batch, c) for c in ("lower", "upper", "mu", "sigma"))
+            made = interval_loss(lower, upper, mu, sigma), interval_loss(lower, upper, *(np.full(len(lower), v) for v in baseline))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, from_pandas=True) for v in made)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 INTERVAL_BOUNDS = Box((math.log(10), 0.15), (math.log(100000), 3.0))
 
 
+def _settle_intervals(rows: DataFrame, half: float, weight: str | None = None) -> tuple[int, np.ndarray]:
+    """:func:`settle` for intervals, begun where the logs of their middles lie."""
+    n, middle = F.lit(1) if weight is None else F.col(weight), F.log((F.greatest(F.lit(1.0), "lower") + F.col("upper")) / 2)
+    r = rows.select(n.alias("n"), middle.alias("d")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("s"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("q")).first()
+    start = None
+    if r["s"] is not None and math.isfinite(r["s"]):
+        mean = r["s"] / r["n"]
+        point = np.clip([mean, math.sqrt(max(r["q"] / r["n"] - mean * mean, 0.0))], INTERVAL_BOUNDS.low, INTERVAL_BOUNDS.high)
+        start = INTERVAL_BOUNDS.around(point[None], np.array([0.4, 0.3]), INTERVAL_BOUNDS)
+    return settle(rows, interval_terms, INTERVAL_BOUNDS, lambda p: np.zeros(len(p)), half, weight=weight, start=start, fine=5)
+
+
+def fit_interval_folds(rows: DataFrame, folds: Sequence[int], half: float = 0.04) -> list[tuple[int, float, float, float]]:
+    """Lognormal (fold, mu, sigma, mean negative log mass) of each fold from the rows that are not its own.
+
+    ``rows`` has ``own`` (a fold, or a number that is none), ``lower``, ``upper`` and their number ``n``. Every row is
+    evaluated at the same nodes for all folds: a fold is the total minus its own rows.
+    """
+    n, centre = _settle_intervals(rows, half, "n")
+    points, half, last = centre[None], np.full(2, half), False
+    while n:
+        box = INTERVAL_BOUNDS.around(points, half, INTERVAL_BOUNDS)
+        own = {r["own"]: (r["n"], np.array(r["values"])) for r in sum_terms(rows, ["own"], interval_terms, box.nodes(), "n").collect()}
+        total = np.sum([v for _, v in own.values()], axis=0)
+        trained = [f for f in folds if n > own.get(f, (0, 0))[0]]
+        left = np.array([(total - own.get(f, (0, 0.0))[1]) / (n - own.get(f, (0, 0))[0]) for f in trained])
+        points, value, _ = minimise(left, box)
+        if at_edge(points, box, INTERVAL_BOUNDS).any():
+            half, last = half * 2, False
+            continue
+        if last:
+            return [(f, *p, v) for f, p, v in zip(trained, points.tolist(), value.tolist(), strict=True)]
+        # once more in the box of the optima, so that the polynomial is exact to rounding
+        half, last = np.maximum((points.max(0) - points.min(0)) * 0.25, 5e-3), True
+    return []
+
+
 def leave_one_out_intervals(cases: DataFrame, case: str = "case_id", half: float = 0.04) -> DataFrame:
-    """Lognormal (mu, sigma) of every case from all other cases: case, mu, sigma, train_nll, at_boundary.
+    """Lognormal (mu, sigma) of every case from all other cases: case, lower, upper, mu, sigma, train_nll, at_boundary.
 
     ``cases`` has ``lower`` and ``upper`` bounds of the distance. The optimum of all cases but one
     lies near that of all cases, so one box serves every case; should an optimum reach the edge of
-    the box, the box is doubled and all values are taken again.
+    the box, the box is doubled and all fits are made again.
     """
-    rows = cut_lineage(cases.select(case, "lower", "upper"), "intervals")
-    n, centre = settle(rows, interval_terms, INTERVAL_BOUNDS, lambda p: np.zeros(len(p)), half)
-    schema = T.StructType([rows.schema[case], *(T.StructField(c, T.DoubleType()) for c in ("mu", "sigma", "train_nll", "edge")), T.StructField("at_boundary", T.BooleanType())])
+    rows = cut_lineage(fan_out(cases.select(case, "lower", "upper"), case), "intervals")
+    n, centre = _settle_intervals(rows, half)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("mu", "sigma", "train_nll", "edge")), T.StructField("at_boundary", T.BooleanType())])
     while True:
         box = INTERVAL_BOUNDS.around(centre[None], np.full(2, half), INTERVAL_BOUNDS)
-        values = cut_lineage(node_values(rows, [case], interval_terms, box.nodes()), "interval-values")
-        total = np.array(sum_values(values, []).first()["values"]) if n else np.zeros(NODES * NODES)
-        fitted = cut_lineage(values.mapInArrow(_leave_out(total, n, box, case, schema.names), schema), "interval-fits")
+        total = np.array(sum_terms(rows, [], interval_terms, box.nodes()).first()["values"]) if n else np.zeros(NODES * NODES)
+        fitted = cut_lineage(rows.mapInArrow(_leave_out(total, n, box, schema.names), schema), "interval-fits")
         if (fitted.agg(F.max("edge")).first()[0] or 0.0) == 0.0:
             return fitted.drop("edge")
         half *= 2
 
 
-def _leave_out(total: np.ndarray, n: int, box: Box, case: str, names: Sequence[str]):
+def _leave_out(total: np.ndarray, n: int, box: Box, names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            place, value, _ = minimise((total - own) / max(n - 1, 1), box)
+        for batch in slices(batches, 1024):
+            place, value, _ = minimise((total - interval_terms(batch, box.nodes())) / max(n - 1, 1), box)
             edge = at_edge(place, box, INTERVAL_BOUNDS).any(1)
             bound = ((np.abs(place - INTERVAL_BOUNDS.low) < 1e-5) | (np.abs(place - INTERVAL_BOUNDS.high) < 1e-5)).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place[:, 0].copy()), pa.array(place[:, 1].copy()), pa.array(value), pa.array(edge.astype(float)), pa.array(bound)], names=list(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place[:, 0].copy()), pa.array(place[:, 1].copy()), pa.array(value), pa.array(edge.astype(float)), pa.array(bound)], names=list(names))
 
     return run
 

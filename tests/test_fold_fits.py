@@ -81,6 +81,34 @@ def test_few_cases_and_boundaries(spark):
     assert all(r.at_boundary and r.sigma == pytest.approx(0.15) for r in FF.leave_one_out_intervals(same).collect())
 
 
+def test_settled_rows_take_no_further_part(monkeypatch):
+    """A row costs a few evaluations, however many rows settle to the last bit at other steps."""
+    rng, box, seen = np.random.default_rng(2), FF.Box((-1.0, -1.0), (1.0, 1.0)), []
+    x, y = np.array(box.nodes()).T
+    px, py = rng.uniform(-0.9, 0.9, (2, 500, 1))
+    vander = FF.chebyshev.chebvander
+    monkeypatch.setattr(FF.chebyshev, "chebvander", lambda v, m: seen.append(np.size(v)) or vander(v, m))
+    place, _, _ = FF.minimise(np.cosh(x - px) + np.cosh(2 * (y - py)) + 0.3 * x * y, box)
+    assert sum(seen) < 60 * len(px)
+    slope = np.sinh(place[:, :1] - px) + 0.3 * place[:, 1:]
+    inside = (np.abs(place) < 1).all(1)
+    assert inside.sum() > 400 and np.abs(slope[inside]).max() < 1e-4  # of a polynomial of degree 8
+
+
+def test_interval_folds_are_the_refits(spark):
+    rng = np.random.default_rng(5)
+    d, u = np.exp(rng.normal(7.0, 0.8, 90)), rng.uniform(20, 400, 90)
+    rows = [(i % 3, float(max(0.0, a - b)), float(a + b)) for i, (a, b) in enumerate(zip(d, u, strict=True))]
+    df = spark.createDataFrame([*rows, (1, None, None)], "fold int, lower double, upper double")
+    got = {r.fold: r for r in MD.fit_interval(df, 3).collect()}
+    assert set(got) == {0, 1, 2}
+    for f in got:
+        rest = spark.createDataFrame([r for r in rows if r[0] != f], "fold int, lower double, upper double")
+        want = MD.fit_interval(rest).first()
+        assert (got[f].mu, got[f].sigma, got[f].nll) == pytest.approx((want.mu, want.sigma, want.nll), abs=1e-7)
+    assert not MD.fit_interval(df.where("fold = 1"), 3).where("fold = 1").count()  # no row to learn from
+
+
 @pytest.fixture(scope="module")
 def tilted(spark):
     """60 cases in six groups whose end cells follow a tilt."""
