@@ -123,28 +123,33 @@ class _Lifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        version = self.version.get()[0] if self.version.exists() else 0
+        version = (self.version.get() or (0,))[0]
+        stored: dict = {}  # status of the tracks in these rows, each read from the state once
+        status: dict = {}
         out = []
-        for r in new.itertuples(index=False):
-            track = (int(r.track_id),)
-            if r.kind == "VERSION":
+        for seq, track, kind, expected in zip(*(new[c].tolist() for c in ("seq", "track_id", "kind", "expected_version")), strict=True):
+            if kind == "VERSION":
                 version += 1
                 continue
-            known = self.tracks.containsKey(track)
-            if r.kind == "UPLOAD":
-                if not known:
-                    self.tracks.updateValue(track, ("UPLOADED",))
+            if track not in stored:
+                row = self.tracks.getValue((track,))
+                stored[track] = status[track] = None if row is None else row[0]
+            if kind == "UPLOAD":
+                if status[track] is None:
+                    status[track] = "UPLOADED"
                 continue
-            if not known:
+            if status[track] is None:
                 outcome = "UNKNOWN_TRACK"
-            elif self.tracks.getValue(track)[0] != "UPLOADED":
+            elif status[track] != "UPLOADED":
                 outcome = "ALREADY_PROCESSED"
-            elif r.kind == "APPLY" and r.expected_version != version:
+            elif kind == "APPLY" and expected != version:
                 outcome = "VERSION_CONFLICT"
             else:
-                outcome = "APPLIED" if r.kind == "APPLY" else "REJECTED"
-                self.tracks.updateValue(track, (outcome,))
-            out.append((int(key[0]), track[0], int(r.seq), outcome))
+                outcome = status[track] = "APPLIED" if kind == "APPLY" else "REJECTED"
+            out.append((int(key[0]), track, seq, outcome))
+        for track, now in status.items():
+            if now != stored[track]:
+                self.tracks.updateValue((track,), (now,))
         self.version.update((version,))
         yield pd.DataFrame(out, columns=["mission_id", "track_id", "seq", "outcome"])
 
@@ -174,32 +179,41 @@ def idempotent(requests: DataFrame, ttl_s: int = 120) -> DataFrame:
 
 
 class _Overdue(StatefulProcessor):
-    """One timer per member at last check-in plus interval; it fires without new events."""
+    """One timer per member at last check-in plus interval; it fires without new events.
+
+    A later check-in leaves the timer where it is: when it fires too early, it is set again.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, interval_ms bigint, active boolean")
-
-    def _rearm(self, due: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if due is not None:
-            self.handle.registerTimer(due)
+        self.last = handle.getValueState("last", "ms bigint, interval_ms bigint, active boolean, timer_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        last, interval, active = self.last.get() if self.last.exists() else (0, 0, True)
-        for r in new.itertuples(index=False):
-            last = max(last, int(pd.Timestamp(r.ts).value // 1_000_000))
-            interval, active = int(r.interval_s) * 1000, bool(active and not r.revoked)
-        self.last.update((last, interval, active))
-        self._rearm(last + interval + 1 if active else None)
-        yield pd.DataFrame([], columns=["member_id", "last_ms", "due_ms"])
+        new = pd.concat(list(rows))
+        last, interval, active, timer = self.last.get() or (0, 0, True, None)
+        ms = new["ts"].astype("int64") // {"ns": 1_000_000, "us": 1000, "ms": 1}[new["ts"].dt.unit]
+        newest = int(ms.to_numpy().argsort(kind="stable")[-1])
+        last = max(last, int(ms.iloc[newest]))
+        interval, active = int(new["interval_s"].iloc[newest]) * 1000, bool(active and not new["revoked"].any())
+        due = last + interval + 1
+        if active and (timer is None or due < timer):  # a shorter interval may bring it forward
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.last.update((last, interval, active, timer))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last, interval, active = self.last.get()
-        rows = [(int(key[0]), last, last + interval)] if active else []
-        yield pd.DataFrame(rows, columns=["member_id", "last_ms", "due_ms"])
+        last, interval, active, _ = self.last.get()
+        due = last + interval + 1
+        if not active or due <= timerValues.getCurrentWatermarkInMs():
+            self.last.update((last, interval, active, None))
+            rows = [(int(key[0]), last, last + interval)] if active else []
+            yield pd.DataFrame(rows, columns=["member_id", "last_ms", "due_ms"])
+        else:
+            self.handle.registerTimer(due)
+            self.last.update((last, interval, active, due))
 
     def close(self) -> None:
         pass

@@ -194,3 +194,79 @@ def test_an_early_fix_refuses_its_track_in_every_batch(spark, tmp_path):
     used, refused = SM.screened(spark, good, bad)
     assert sorted((r.track_id, r.seq) for r in used.collect()) == [(1, 1), (1, 2), (1, 3)]
     assert sorted((r.track_id, r.seq, r.reason) for r in refused.collect()) == [(2, k, "BEFORE_BASE_TIME") for k in (1, 2, 3, 4)]
+
+
+class _Held:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def _counted(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._counted(self.value)
+
+    def update(self, value):
+        self.value = self._counted(value)
+
+    def exists(self):
+        return self._counted(self.value is not None)
+
+    def getValue(self, key):
+        return self._counted(self.map.get(key))
+
+    def containsKey(self, key):
+        return self._counted(key in self.map)
+
+    def updateValue(self, key, value):
+        self.map[key] = self._counted(value)
+
+    def listTimers(self):
+        return self._counted(sorted(self.timers))
+
+    def registerTimer(self, ms):
+        self._counted(self.timers.add(ms))
+
+    def deleteTimer(self, ms):
+        self._counted(self.timers.discard(ms))
+
+    def getCurrentWatermarkInMs(self):
+        return self.value
+
+
+def test_lifecycle_reads_a_track_once_a_batch():
+    import pandas as pd
+
+    p = SM._Lifecycle()
+    p.version, p.tracks = _Held(), _Held()
+    n = 500
+    rows = pd.DataFrame({"seq": range(2 * n), "track_id": [k % 4 for k in range(2 * n)], "kind": ["UPLOAD"] * n + ["REJECT"] * n, "expected_version": [0] * (2 * n)})
+    out = pd.concat(p.handleInputRows((1,), iter([rows[:n]]), None))
+    assert out.empty and p.tracks.map == {(k,): ("UPLOADED",) for k in range(4)}
+    out = pd.concat(p.handleInputRows((1,), iter([rows[n:]]), None))
+    assert out["outcome"].tolist() == ["REJECTED"] * 4 + ["ALREADY_PROCESSED"] * (n - 4)
+    assert p.tracks.calls + p.version.calls <= 2 * (2 * 4 + 2)
+
+
+def test_overdue_timer_moves_only_when_it_fires():
+    import pandas as pd
+
+    p, state, clock = SM._Overdue(), _Held(), _Held()
+    p.handle, p.last = state, state
+    rows = lambda *s: pd.DataFrame({"ts": pd.to_datetime(list(s), unit="s"), "interval_s": 10, "revoked": False})
+    for s in ((5, 1), (7,), (9, 30)):
+        assert sum(len(d) for d in p.handleInputRows((4,), iter([rows(*s)]), None)) == 0
+    assert state.timers == {15001} and state.calls == 7
+
+    def fire(now):
+        clock.value, due = now, state.timers.pop()
+        assert due <= now
+        return [tuple(r) for d in p.handleExpiredTimer((4,), clock, None) for r in d.itertuples(index=False)]
+
+    assert fire(20000) == [] and state.timers == {40001}
+    assert fire(40001) == [(4, 30000, 40000)] and not state.timers
+    list(p.handleInputRows((4,), iter([rows(50)]), None))
+    assert state.timers == {60001}
