@@ -350,11 +350,11 @@ def _leave_out(total: np.ndarray, n: int, box: Box, names: Sequence[str]):
 # ---------------------------------------------------------------- terrain tilt
 
 
-def ring_masses(mu: float, sigma: float) -> tuple[np.ndarray, float]:
-    """Lognormal mass of a cell of each ring, and the mass outside."""
+def ring_masses(mu, sigma):
+    """Lognormal mass of a cell of each ring, and the mass outside; for arrays of models a row each."""
+    mu, sigma = np.asarray(mu, float)[..., None], np.asarray(sigma, float)[..., None]
     edge = (np.log(np.arange(1, geo.RINGS + 1) * geo.RING_M) - mu) / sigma
-    cdf = np.exp(log_ndtr(edge))
-    return np.diff(np.r_[0.0, cdf]) / geo.SECTORS, float(np.exp(log_ndtr(-edge[-1:]))[0])
+    return np.diff(np.exp(log_ndtr(edge)), prepend=0.0) / geo.SECTORS, np.exp(log_ndtr(-edge[..., -1:]))[..., 0]
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -370,7 +370,7 @@ def lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.array(np.ascontiguousarray(values).ravel()))
 
 
-SLICE = 64  # cases whose cells are in memory at a time
+SLICE = 16  # cases whose cells are in memory at a time; larger arrays are given back to the system and faulted in again each time
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -441,18 +441,75 @@ def tilt_terms(radials: Sequence[tuple[float, float]], features: Features = pack
     return terms
 
 
+def tilt_slopes(radial: tuple[float, float], features: Features = packed_features) -> Terms:
+    """Each case's loss at every pair of tilts but for a constant, its slopes (2) and curvatures (3): 6 numbers a node."""
+    cells = np.repeat(ring_masses(*radial)[0], geo.SECTORS)
+
+    def terms(batch: pa.RecordBatch, nodes: Sequence[tuple[float, float]]) -> np.ndarray:
+        label = column(batch, "label").astype(np.int64)
+        rise, steep = features(batch)
+        out = np.zeros((len(label), len(nodes), 6))
+        for i in np.flatnonzero(label < geo.POLAR_CELLS).tolist():
+            r, s, cell = rise[i], steep[i], label[i]
+            for j, (one, two) in enumerate(nodes):
+                score = one * r + two * s
+                top = score.max()
+                e = cells * np.exp(score - top)
+                z, er, es = e.sum(), e * r, e * s
+                mr, ms, rr, rs, ss = er.sum() / z, es.sum() / z, er @ r / z, er @ s / z, es @ s / z
+                out[i, j] = math.log(z) + top - score[cell], mr - r[cell], ms - s[cell], rr - mr * mr, rs - mr * ms, ss - ms * ms
+        return out.reshape(len(label), -1)
+
+    return terms
+
+
 TILT_BOUND = 3.0
+SMALL = 5e-3  # half width of a box of tilts in which the polynomial is exact to rounding
+
+
+def tilt_centre(cases: DataFrame, radial: tuple[float, float], penalty: float, features: Features = packed_features, close: float = 1e-3) -> np.ndarray:
+    """Tilts of all cases together, to less than ``close``: Newton steps, each one pass with one exponential a cell.
+
+    The loss is convex; a step that does not lower it is halved, and a tilt at its bound stays while its slope points out.
+    """
+    terms = tilt_slopes(radial, features)
+    place, at, best = np.zeros(2), np.zeros(2), math.inf
+    for _ in range(60):
+        r = sum_terms(cases, [], terms, [tuple(at.tolist())], rows=SLICE).first()
+        if r is None:
+            break
+        mean = np.array(r["values"]) / r["n"]
+        value = mean[0] + penalty / 2 * (at @ at)
+        if value > best + 1e-13 * abs(best):
+            at = (at + place) / 2
+        else:
+            place, best = at, value
+            slope, bend = mean[1:3] + penalty * place, mean[[3, 4, 4, 5]].reshape(2, 2) + penalty * np.eye(2)
+            free = np.flatnonzero(~((np.abs(place) >= TILT_BOUND) & (place * slope < 0)))
+            step = np.zeros(2)
+            step[free] = np.linalg.lstsq(bend[np.ix_(free, free)], slope[free])[0]
+            at = np.clip(place - step, -TILT_BOUND, TILT_BOUND)
+        if np.abs(at - place).max() < close:
+            return at
+    return place
 
 
 @dataclass(frozen=True)
 class TiltFit:
-    """Penalty on the squared tilts, nodes a side for tilts and for the radial models, and the first half width of the box."""
+    """Penalty on the squared tilts, nodes a side for tilts and for the radial models, and the first half width of the box.
+
+    A side of few thousandths needs fewer nodes for the same digits.
+    """
 
     penalty: float = 0.1
     tilt_nodes: int = 6
     radial_nodes: int = 5
     half: float = 0.12
 
+    def nodes(self, models: Box, box: Box) -> tuple[int, int]:
+        """Nodes a side for the radial models and for the tilts."""
+        return 3 if models.size().max() < 0.006 else self.radial_nodes, 5 if box.size().max() < 0.012 else self.tilt_nodes
+
 
 def fit_tilt_folds(cases: DataFrame, folds: DataFrame, excluded: DataFrame | None, radial: tuple[float, float], how: TiltFit = TiltFit(), features: Features = packed_features) -> DataFrame:
     """Tilts of every fold from the cases that it does not exclude: fold, train_n, mu, sigma, b1, b2, objective.
@@ -465,64 +522,88 @@ def fit_tilt_folds(cases: DataFrame, folds: DataFrame, excluded: DataFrame | Non
     """
     bounds = Box((-TILT_BOUND, -TILT_BOUND), (TILT_BOUND, TILT_BOUND))
     penalty = lambda p: how.penalty / 2 * (p * p).sum(1)
-    _, centre = settle(cases, tilt_terms([radial], features), bounds, penalty, how.half, NODES)
     r = folds.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("mu", "sigma")]).first()
     if r["min_mu"] is None:
         return folds.select("fold", "train_n", "mu", "sigma", *[F.lit(0.0).alias(c) for c in ("b1", "b2", "objective")])
     margin = 1e-3
     models = Box((r["min_mu"] - margin, max(r["min_sigma"] - margin, r["min_sigma"] / 2)), (r["max_mu"] + margin, r["max_sigma"] + margin))
-    points, half, last = centre[None], np.full(2, how.half), False
-    m, k = how.tilt_nodes, how.radial_nodes
     n_all = cases.count()
+    points, half, last = tilt_centre(cases, radial, how.penalty, features)[None], np.full(2, how.half), False
+    if excluded is None:  # one case of many moves the optimum little; a box that is too small costs a round
+        half = np.full(2, min(how.half, max(SMALL, 50 / max(n_all, 1))))
+        joined = cases.join(folds.select(F.col("fold").alias("case_id"), "train_n", "mu", "sigma"), "case_id", "left")
+        cases = cut_lineage(fan_out(joined.withColumn("__deal", F.xxhash64("case_id")), "__deal").drop("__deal"), "tilt-folds")  # dealt by case_id alone, small rows would stay in one task
     schema = T.StructType([folds.schema["fold"], folds.schema["train_n"]] + [T.StructField(c, T.DoubleType()) for c in ("mu", "sigma", "b1", "b2", "objective", "edge")])
     while True:
         box = bounds.around(points, half, bounds)
-        nodes = box.nodes(m)
-        values = cut_lineage(node_values(cases, ["case_id"], tilt_terms(models.nodes(k), features), nodes, SLICE), "tilt-values")
-        total = np.array(sum_values(values, []).first()["values"])
-        if excluded is None:
-            out = values.select(F.col("case_id").alias("fold"), F.lit(1).cast("long").alias("n"), "values")
+        k, m = how.nodes(models, box)
+        terms = tilt_terms(models.nodes(k), features)
+        if excluded is None:  # a case's own values are made again where it is fitted, not stored
+            rows, total = cases.where("mu is not null"), sum_terms(cases, [], terms, box.nodes(m), rows=SLICE).first()
+            total = np.array(total["values"])
+            solve = _solve_folds(total, n_all, models, k, box, m, penalty, bounds)
+            fitted = rows.mapInArrow(_fit_cases(solve, lambda b, t=terms, v=box.nodes(m): t(b, v), schema.names), schema)
         else:
+            values = cut_lineage(node_values(cases, ["case_id"], terms, box.nodes(m), SLICE), "tilt-values")
+            total = np.array(sum_values(values, []).first()["values"])
             out = sum_values(excluded.join(values, "case_id"), ["fold"])
-        joined = folds.select("fold", "train_n", "mu", "sigma").join(out, "fold", "left")
-        fitted = cut_lineage(joined.mapInArrow(_fit_folds(total, n_all, models, k, box, m, penalty, bounds, schema.names), schema), "tilt-fits")
+            joined = folds.select("fold", "train_n", "mu", "sigma").join(out, "fold", "left")
+            fitted = joined.mapInArrow(_fit_folds(_solve_folds(total, n_all, models, k, box, m, penalty, bounds), len(total), schema.names), schema)
+        fitted = cut_lineage(fitted, "tilt-fits")
         s = fitted.agg(F.max("edge").alias("edge"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("b1", "b2")]).first()
         points = np.array([[s["min_b1"], s["min_b2"]], [s["max_b1"], s["max_b2"]]])
         if s["edge"]:
             half, last = half * 2, False
             continue
-        if last:
-            return fitted.drop("edge")
         # once more in the box of the optima, so that the polynomial is exact to rounding
-        half, last = np.maximum((points[1] - points[0]) * 0.25, 5e-3), True
+        fine = np.maximum((points[1] - points[0]) * 0.25, SMALL)
+        if last or (half <= fine).all():
+            return fitted.drop("edge")
+        half, last = fine, True
 
 
-def _fit_folds(total: np.ndarray, n_all: int, models: Box, k: int, box: Box, m: int, penalty, bounds: Box, names: Sequence[str]):
+def _solve_folds(total: np.ndarray, n_all: int, models: Box, k: int, box: Box, m: int, penalty, bounds: Box):
+    """Fitted columns (b1, b2, objective, edge) of folds from the values and the number of the cases that they leave out."""
     nodes = np.array(box.nodes(m))
 
     def weights(x, axis):
         """Lagrange weights of the radial nodes at the folds' own parameters."""
-        at = models.axis(axis, k)
         unit = (2 * x - models.low[axis] - models.high[axis]) / (models.high[axis] - models.low[axis])
         inverse = np.linalg.inv(chebyshev.chebvander(-np.cos(np.pi * np.arange(k) / (k - 1)), k - 1))
-        return chebyshev.chebvander(unit, len(at) - 1) @ inverse
+        return chebyshev.chebvander(unit, k - 1) @ inverse
 
+    def solve(own: np.ndarray, count, mu: np.ndarray, sigma: np.ndarray) -> list[pa.Array]:
+        left = (total - own).reshape(len(own), k, k, m * m) / np.reshape(np.maximum(n_all - count, 1), (-1, 1, 1, 1))
+        at = np.einsum("fa,fb,fabt->ft", weights(mu, 0), weights(sigma, 1), left) + penalty(nodes)
+        place, value, _ = minimise(at, box, m)
+        return [pa.array(v) for v in (place[:, 0].copy(), place[:, 1].copy(), value, at_edge(place, box, bounds).any(1).astype(float))]
+
+    return solve
+
+
+def _fit_folds(solve, width: int, names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             lists, count = batch.column(5), batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
-            own = np.zeros((n, len(total)))
+            own = np.zeros((batch.num_rows, width))
             has = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
             if len(has):
                 own[has] = lists.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(has), -1)
             mu, sigma = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            left = (total - own).reshape(n, k, k, m * m) / np.maximum(n_all - count, 1)[:, None, None, None]
-            at = np.einsum("fa,fb,fabt->ft", weights(mu, 0), weights(sigma, 1), left) + penalty(nodes)
-            place, value, _ = minimise(at, box, m)
-            edge = at_edge(place, box, bounds).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(place[:, 0].copy()), pa.array(place[:, 1].copy()), pa.array(value), pa.array(edge.astype(float))], names=list(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *solve(own, count, mu, sigma)], names=list(names))
+
+    return run
+
+
+def _fit_cases(solve, own: Callable[[pa.RecordBatch], np.ndarray], names: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            if batch.num_rows:
+                left = np.concatenate([own(part) for part in slices([batch])])
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in ("case_id", "train_n", "mu", "sigma")]
+                yield pa.RecordBatch.from_arrays([*kept, *solve(left, 1, column(batch, "mu"), column(batch, "sigma"))], names=list(names))
 
     return run
 
@@ -536,30 +617,38 @@ def score_held_out(cases: DataFrame, fitted: DataFrame, group: str, shares: Sequ
     """
     names = [f"{kind}_hit{round(s * 100)}" for kind in ("base", "tilted") for s in shares]
     schema = T.StructType([cases.schema["case_id"], T.StructField("fold", fitted.schema["fold"].dataType)] + [T.StructField(c, T.DoubleType()) for c in ("base_nll", "nll")] + [T.StructField(c, T.BooleanType()) for c in names])
-    units = 2 * (np.arange(geo.POLAR_CELLS) // geo.SECTORS) + 1
+    ring_units = 2 * np.arange(geo.RINGS) + 1
+    units = np.repeat(ring_units, geo.SECTORS)
     limits = [round(s * geo.TOTAL_UNITS) for s in shares]
 
-    def one(cell, base, outside, score):
-        if cell >= geo.POLAR_CELLS:
-            return -math.log(outside), [False] * len(limits)
-        top = score.max()
-        e = np.repeat(base, geo.SECTORS) * np.exp(score - top)
+    def plain(cell, base, outside):
+        """Without tilts all cells of a ring are alike."""
+        ring, density = cell // geo.SECTORS, base / ring_units
+        before = (density > density[ring]) | ((density == density[ring]) & (np.arange(geo.RINGS) < ring))
+        covered = int(ring_units[before].sum() * geo.SECTORS + (cell % geo.SECTORS + 1) * ring_units[ring])
+        return -math.log(base[ring] / (base.sum() * geo.SECTORS)) - math.log1p(-outside), [covered <= v for v in limits]
+
+    def tilted(cell, base, outside, score):
+        e = (base[:, None] * np.exp(score - score.max()).reshape(geo.RINGS, -1)).ravel()
         density = e / units
-        before = (density > density[cell]) | ((density == density[cell]) & (np.arange(len(e)) < cell))
-        covered = int(units[before].sum() + units[cell])
+        before = density > density[cell]
+        before[:cell] |= density[:cell] == density[cell]
+        covered = int(before @ units + units[cell])
         return -math.log(e[cell] / e.sum()) - math.log1p(-outside), [covered <= v for v in limits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("label", "mu", "sigma", "b1", "b2")}
-            label, mu, sigma, b1, b2 = (cols[c].to_pylist() for c in cols)
+            label, mu, sigma, b1, b2 = (column(batch, c) for c in ("label", "mu", "sigma", "b1", "b2"))
             rise, steep = features(batch)
+            base, outside = ring_masses(mu, sigma)
             rows = []
-            for i, cell in enumerate(label):
-                base, outside = ring_masses(mu[i], sigma[i])
-                plain, plain_hits = one(cell, base, outside, np.zeros(geo.POLAR_CELLS))
-                tilted, hits = one(cell, base, outside, b1[i] * rise[i] + b2[i] * steep[i])
-                rows.append((plain, tilted, *plain_hits, *hits))
+            for i, cell in enumerate(label.astype(np.int64).tolist()):
+                if cell >= geo.POLAR_CELLS:
+                    rows.append((-math.log(outside[i]),) * 2 + (False,) * len(names))
+                    continue
+                old, old_hits = plain(cell, base[i], outside[i])
+                new, hits = tilted(cell, base[i], outside[i], b1[i] * rise[i] + b2[i] * steep[i])
+                rows.append((old, new, *old_hits, *hits))
             columns = list(zip(*rows, strict=True)) or [()] * (2 + len(names))
             kinds = [pa.float64()] * 2 + [pa.bool_()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)

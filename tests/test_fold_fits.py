@@ -170,6 +170,23 @@ def test_leave_one_out_tilts_are_the_refits(spark, tilted):
         assert (got[k].b1, got[k].b2) == pytest.approx(plain_tilt(train, radial_of(train)), abs=2e-5)
 
 
+def test_leave_one_out_stores_no_values_and_deals_its_cases(spark, tilted, monkeypatch):
+    rows, df = tilted
+    written, cut = {}, FF.cut_lineage
+    monkeypatch.setattr(FF, "cut_lineage", lambda d, purpose: written.setdefault(purpose, cut(d, purpose)))
+    FF.fit_tilt_folds(df, MD.case_folds(df), None, radial_of(rows)).count()
+    assert set(written) == {"tilt-folds", "tilt-fits"}
+    assert len(written["tilt-folds"].inputFiles()) > 1
+
+
+def test_tilt_centre_is_the_refit(spark, tilted, monkeypatch):
+    rows, df = tilted
+    passes, add = [], FF.sum_terms
+    monkeypatch.setattr(FF, "sum_terms", lambda *a, **k: passes.append(1) or add(*a, **k))
+    assert FF.tilt_centre(df, radial_of(rows), 0.1) == pytest.approx(plain_tilt(rows, radial_of(rows)), abs=1e-3)
+    assert len(passes) < 8
+
+
 def test_folds_with_too_few_cases_are_left_out(spark, tilted):
     _, df = tilted
     folds, out = MD.buffered_folds(df, min_train=45)
