@@ -120,6 +120,26 @@ def test_clock_bounds_against_all_pairs(spark, falls):
     assert got[9].upper is None and got[9].compatible
 
 
+def test_clock_of_short_tracks_takes_one_step(spark, monkeypatch):
+    """Tracks that fit a task cost no job a round; longer ones go through the rounds and give the same bounds."""
+    rnd, data = random.Random(5), []
+    for t in range(30):
+        x = [float(rnd.randint(0, 300)) for _ in range(1 + 4 * t)]
+        data += [(f"t{t}", i, v, v * rnd.uniform(0.8, 1.2) + rnd.uniform(-90, 90)) for i, v in enumerate(sorted(x) if t % 3 else x)]
+    data += [("t1", 99, float("nan"), 0.0), (None, 0, 1.0, 1.0), (None, 1, 2.0, 2.0)]
+    df = spark.createDataFrame(data, "track_id string, seq bigint, x double, y double").repartition(3)
+    written, cut = [], clock.cut_lineage
+    monkeypatch.setattr(clock, "cut_lineage", lambda d, purpose: written.append(purpose) or cut(d, purpose))
+    take = lambda n: {r.track_id: (r.lower, r.upper, r.compatible) for r in clock.scale_bounds(df, "track_id", "x", "y", 20.0, task_rows=n).collect()}
+    short = take(1000)
+    assert written == ["clock-points"]
+    mixed = take(60)
+    assert len(written) > 6 and set(short) == set(mixed) == {f"t{t}" for t in range(30)}
+    assert all(short[t] == pytest.approx(mixed[t]) for t in short)
+    for t in (3, 17, 29):
+        assert short[f"t{t}"][:2] == pytest.approx(brute_clock([r[1:] for r in data if r[0] == f"t{t}"], 20.0))
+
+
 def test_clock_hand_cases(spark):
     mk = lambda gps: spark.createDataFrame([(1, i, o, g) for i, (o, g) in enumerate(zip((0.0, 1000.0, 2000.0), gps))], "track_id bigint, seq bigint, x double, y double")
     assert not clock.scale_bounds(mk((0.0, 1000.0, 0.0)), "track_id", "x", "y", 128.0).first().compatible
