@@ -145,3 +145,26 @@ def test_sweep_pattern_single_row(spark):
     s = GR.sweep_pattern(z).where("direction = 'forward'").orderBy("step").collect()
     assert len(s) == 256 and s[0].cell == 16 * 512 + 16 and s[16].cell == 17 * 512 + 31
     assert all(abs(a.cell - b.cell) in (1, 512) for a, b in zip(s, s[1:]))
+
+
+def test_speed_rows_are_made_once_and_dealt_evenly(spark, monkeypatch):
+    """The rows that all forests learn from come from one reading of the edges, in pieces of like size."""
+    data = [(t, "hasty", t % 3, 1.0 + i / 50, i / 100) for t in range(40) for i in range(1 + t)]
+    rows = spark.createDataFrame(data, "track_id long, search_type string, team_id long, speed double, grade double")
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def cut(df, purpose):
+        seen.append(df)
+        raise Enough
+
+    monkeypatch.setattr(MD, "cut_lineage", cut)
+    with pytest.raises(Enough):
+        MD.speed_model(rows)
+    x = seen[0]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    sizes = [r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * len(data) / 4
+    assert all(r.weight == pytest.approx(1 / (1 + r.track_id)) for r in x.collect()) and x.count() == len(data)
