@@ -225,6 +225,41 @@ def test_passages_behind_overlapping_fragments(spark):
     assert (300, 100, 60) in {(300, p["ref_doc_id"], p["end"] - p["start"]) for p in got[300]["passages"]}
 
 
+def test_changed_passages_behind_overlapping_fragments(spark):
+    """No 30 words in a row are equal, and every seed has other holders before and between the two documents."""
+    fresh = iter(range(10**6))
+    junk = lambda n: [f"j{next(fresh)}" for _ in range(n)]
+    shared = [f"s{i}" for i in range(60)]
+    docs = {}
+    for i in range(0, 60, 4):  # pieces under 30 words before, between
+        docs[i] = junk(9) + shared[i : i + 26] + junk(9)
+        docs[200 + i] = junk(7) + shared[max(0, i - 5) : i + 20] + junk(9)
+    docs[100] = junk(40) + shared + junk(20)
+    docs[300] = junk(11) + [f"c{i}" if i % 12 == 10 else w for i, w in enumerate(shared)] + junk(5)
+    # a line of 11 words that many hold, alone or twice, links nobody
+    line = [f"l{i}" for i in range(11)]
+    for i in range(400, 420):
+        docs[i] = junk(20) + line + junk(20) + (line if i % 5 == 0 else [])
+    # the earlier document holds the phrase in other places, too
+    third = [f"t{i}" for i in range(40)]
+    docs[500] = [w for i in range(0, 40, 3) for w in third[i : i + 11] + junk(30)] + third + junk(9)
+    docs[510] = junk(12) + [f"d{i}" if i % 13 == 9 else w for i, w in enumerate(third)] + junk(12)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(df).collect()}
+    for d, ref, n in ((300, 100, 60), (510, 500, 40)):
+        assert got[d]["component_id"] == ref
+        assert any(p["ref_doc_id"] == ref and p["end"] - p["start"] >= n - 4 and 0 < p["edits"] <= 5 for p in got[d]["passages"]), got[d]
+    for d in docs:
+        assert d in (300, 510) or got[d]["n_passages"] == 0 and got[d]["component_id"] == d, d
+
+
+def test_places_of_a_seed_against_all_shifts():
+    assert chaining.periods([3, 4, 5, 6, 20, 22, 24, 90], 6) == [[3, 4, 5, 6], [20, 22, 24], [90]]
+    assert chaining.place_matches([1, 50], [7, 90], 6) == {(1, 7), (1, 90), (50, 7), (50, 90)}
+    got = chaining.place_matches(list(range(10, 40)), [2, 3, 4], 6)
+    assert got == {(10, 2), (11, 3), (12, 4), (37, 2), (38, 3), (39, 4)}
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(7)
     for _ in range(60):
