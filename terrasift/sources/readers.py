@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,6 +22,18 @@ GPX_SCHEMA = (
 ROW_BYTES = (1 << 31) - (1 << 20)  # what one binary value can hold
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders of a load are listed in no more tasks than a shuffle has; Spark's default is a task for each of 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fingerprint(spark: SparkSession, path: str, max_bytes: int = ROW_BYTES) -> DataFrame:
     """Size, SHA-256 and MD5 of every file below a path; the bytes stay on the executors.
 
@@ -61,8 +74,10 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx", max_bytes: int
     ``max_points``: files beyond them are refused with a reason too. Without, a file may be of any size
     that one row can hold.
     """
-    raw = spark.read.format("xml").option("rowTag", "gpx").option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", "true").schema(GPX_SCHEMA).load(path)
+    files = lambda fmt: spark.read.format(fmt).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    with few_listing_tasks(spark):  # files are listed as they are loaded, before any scan
+        raw = files("xml").option("rowTag", "gpx").option("mode", "PERMISSIVE").schema(GPX_SCHEMA).load(path)
+        listing = files("binaryFile").load(path).select(F.col("path").alias("file"), "length")
     if max_bytes is not None:  # refused below and never unfolded
         raw = raw.where(F.col("_metadata.file_size") <= max_bytes)
     raw = raw.withColumn("file", F.col("_metadata.file_path"))
@@ -79,15 +94,13 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx", max_bytes: int
     pts = cut_lineage(pts, "gpx-points")  # files are opened and parsed once
     kept = F.count_if("many")
     per = pts.groupBy("file").agg(kept.alias("points"), F.bool_or("bad").alias("bad"), F.bool_or("back").alias("back"))
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("file"), "length")
     key = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # the two scans write local paths differently
     verdict = listing.withColumn("k", key("file")).join(per.withColumn("k", key("file")).drop("file"), "k", "left")
     above = lambda c, most: F.lit(False) if most is None else F.col(c) > most
     reason = (
         F.when(above("length", max_bytes), "TOO_LARGE").when(F.col("points").isNull(), "NOT_READABLE").when(F.col("bad"), "INVALID_POINT")
         .when(F.col("back"), "TIME_NOT_INCREASING").when((F.col("points") < MIN_POINTS) | above("points", max_points), "POINT_COUNT"))
-    verdict = verdict.select("file", "k", reason.alias("reason"))
+    verdict = cut_lineage(verdict.select("file", "k", reason.alias("reason")), "gpx-verdicts")  # for fixes and rejects
     good = verdict.where(F.col("reason").isNull()).select("k")
     fixes = pts.where("many").withColumn("k", key("file")).join(good, "k", "left_semi").select("file", "segment_no", "point_no", "lon", "lat", "ts")
     return fixes, verdict.where(F.col("reason").isNotNull()).select("file", "reason")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +39,77 @@ def write_zones_csv(zones: DataFrame, path: str) -> None:
     z.repartition("mission_id").sortWithinPartitions("mission_id", "rank").drop("rank").write.partitionBy("mission_id").option("header", "true").mode("errorifexists").csv(path)
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder as tasks can open it, where ``path`` is in a mounted file system, and NULL in any other store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(p):
+        raise FileExistsError(path)
+    return files.makeQualified(p).toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def _key_folder(key: str, value: str | None) -> str:
+    """The name that Spark gives the folder of a key."""
+    text = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+    return f"{key}={text}"
+
+
+def _put_files(root: str, key: str, run: str):
+    """Writer of sorted (key, value) rows into a file a key; a file appears whole, and a task that runs again replaces it."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"part-{TaskContext.get().partitionId():05d}-{run}.txt"
+        attempt = f".{part}-{uuid.uuid4().hex}"
+        now, out, n = None, None, 0
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), part))
+
+        for b in batches:
+            if not len(b):
+                continue
+            keys, lines = b.column(0), pc.binary_join_element_wise(b.column(1), "", "\n", null_handling="replace", null_replacement="")
+            at, text = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset :], memoryview(lines.buffers()[2])
+            ends = pc.run_end_encode(keys)
+            start = 0
+            for value, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                if out is None or value != now:
+                    close()
+                    folder = os.path.join(root, _key_folder(key, value))
+                    os.makedirs(folder, exist_ok=True)
+                    now, out, n = value, open(os.path.join(folder, attempt), "wb"), n + 1
+                out.write(text[at[start] : at[end]])
+                start = end
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return put
+
+
 def write_files(lines: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """One text file for each key, of its ``value`` lines, in ``order`` where given.
 
     Small files cost by number and not by size, so keys are dealt over the session's shuffle partitions
-    whatever their bytes, and tasks put their files into place themselves, not the driver one by one.
+    whatever their bytes. In a mounted file system tasks create the files themselves (Hadoop's local writer
+    starts several processes a file to set its mode); elsewhere Spark writes them and tasks, not the driver
+    one by one, put them into place. The layout is the same.
     """
-    rows = fan_out(lines, key)
+    # dealt by a hash column: where the lines are a union of rows already dealt by the key, Spark leaves out
+    # a shuffle by the key itself, and a join below that turns into a broadcast one then spreads a key's rows
+    rows = fan_out(lines.withColumn("__deal", F.xxhash64(key)), "__deal")
     rows = rows if order is None else rows.sortWithinPartitions(key, order)
-    rows.select(key, "value").write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("errorifexists").text(path)
+    root = _local_folder(lines.sparkSession, path)
+    if root is None:
+        rows.select(key, "value").write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("errorifexists").text(path)
+        return
+    rows = rows if order is not None else rows.sortWithinPartitions(key)
+    done = rows.select(F.col(key).cast("string"), "value").mapInArrow(_put_files(root, key, uuid.uuid4().hex), "files bigint")
+    done.agg(F.sum("files")).collect()
 
 
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet") -> None:
